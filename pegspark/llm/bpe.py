@@ -15,7 +15,6 @@ from heapq import heapify, heappop, heappush
 from struct import pack
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

@@ -7,7 +7,10 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Documents handled at once inside a task; bounds a Python worker's memory whatever Spark's batch size is.
 SLICE_ROWS = 256
@@ -42,10 +45,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def with_text(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """row, a struct of the columns keep, and text unless row has it: what an Arrow function needs, clash-free."""
+    text = F.col(f"`{text_col}`").cast("string").alias("text")
+    row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")
+    return df.select(row) if text_col in keep and df.schema[text_col].dataType == T.StringType() else df.select(row, text)
+
+
+def text_of(batch: pa.RecordBatch, text_col: str) -> pa.Array:
+    return batch["text"] if "text" in batch.schema.names else pc.struct_field(batch["row"], text_col)
+
+
+def map_rows(df: DataFrame, function, ddl: str) -> DataFrame:
+    """mapInArrow of the rows of with_text: function yields row and the columns of ddl."""
+    return df.mapInArrow(function, T.StructType([df.schema["row"], *T.StructType.fromDDL(ddl).fields]))
+
+
+def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice has few rows and, but for a single longer row, few bytes of text."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+        texts = batch[text_col] if text_col in batch.schema.names else text_of(batch, text_col)
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if i > start and (i - start >= SLICE_ROWS or held + n > SLICE_BYTES):

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality
+from . import bpe, langid, linededup, packing, quality, simhash, tokencounts, urlfilter
 from .common import read
 
 
@@ -14,10 +15,27 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return tokencounts.count_sections(read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(quality.ledger(read(spark, sf_dir, "documents")))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(read(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the boilerplate lines of its source taken out, as counts and a digest."""
+    df = read(spark, sf_dir, "documents")
+    clean = linededup.dedup(df.select("doc_id", "source", "text", F.col("text").alias("clean")), "source", "clean")
+    n = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(F.split(c, "\n", -1))).cast("long")
+    return clean.select("doc_id", "source", n("text").alias("n_lines"), n("clean").alias("n_kept"), F.md5("clean").alias("clean_md5"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
@@ -26,8 +44,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+#: The rules of the URL query.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page; the last number in a path names the document it shows, whose labels say whether the page is bad."""
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("item"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
+    shown = F.regexp_extract(urlfilter.path(F.col("url")), "([0-9]+)[^0-9]*$", 1)
+    return urlfilter.judge(read(spark, sf_dir, "pages"), URL_RULES, labels, label_key=shown)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_quality_rules, op7_bpe, op9_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_rules, op4_simhash, op5_line_dedup, op7_bpe, op9_packing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

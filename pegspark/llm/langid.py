@@ -14,11 +14,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_rows, slices, text_of, with_text
 
 UNKNOWN = "und"
 BUCKETS = 1 << 12
@@ -172,28 +171,31 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return Model(_train(x, group), {name: _train(x[group == name], y[group == name]) for name in sorted(set(group))})
 
 
-def _predict(model):
+def _predict(model, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts = [t or "" for t in batch["text"].to_pylist()]
+        for batch in slices(batches, text_col):
+            texts = [t or "" for t in text_of(batch, text_col).to_pylist()]
             known = np.array([has_letter(t) for t in texts], bool)
             langs, scores = ([UNKNOWN] * len(texts), np.zeros(len(texts))) if model.value is None else model.value.predict(texts)
             langs = [lang if ok else UNKNOWN for lang, ok in zip(langs, known)]
-            yield pa.record_batch([batch["id"], pa.array(langs, pa.string()), pa.array(np.where(known, scores, 0.0), pa.float64())], ["id", "lang_pred", "score"])
+            yield pa.record_batch([batch["row"], pa.array(langs, pa.string()), pa.array(np.where(known, scores, 0.0), pa.float64())], ["row", "lang_pred", "score"])
 
     return run
 
 
+def predict_rows(df: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """row (a struct of the columns keep, all if left out), lang_pred and score. The model, fixed in size, is broadcast."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    return map_rows(with_text(df, text_col, keep or df.columns), _predict(shared, text_col), "lang_pred string, score double")
+
+
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, lang_pred and score (0 to 1) of each row.
 
     A text that is null or has no letter is `und` with score 0, and so is every text where model is None. Repeated rows
-    give repeated results; other columns are not read. The model, fixed in size, is broadcast.
+    give repeated results, an empty table no rows; other columns are not read.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_predict(shared), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return predict_rows(df, model, text_col, [id_col]).select(F.col("row")[id_col].alias(id_col), "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:

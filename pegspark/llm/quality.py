@@ -13,11 +13,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_rows, slices, text_of, with_text
 
 #: name -> SQL condition under which a document fails; the bit of a rule is its place in this table. Append only.
 RULES = {
@@ -83,12 +82,16 @@ def measure(text: bytes) -> tuple[int, ...]:
     )
 
 
-def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure_batches(text_col: str):
     names = [x.split()[0] for x in MEASURES.split(",")]
-    for batch in slices(batches):
-        texts = batch["text"].cast(pa.binary()).to_pylist()
-        rows = np.array([measure(t or b"") for t in texts], np.int64).reshape(-1, len(names))
-        yield pa.record_batch([batch["id"], *(pa.array(rows[:, k]) for k in range(len(names)))], ["id", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            texts = text_of(batch, text_col).cast(pa.binary()).to_pylist()
+            rows = np.array([measure(t or b"") for t in texts], np.int64).reshape(-1, len(names))
+            yield pa.record_batch([batch["row"], *(pa.array(rows[:, k]) for k in range(len(names)))], ["row", *names])
+
+    return run
 
 
 def mask(policy: str) -> int:
@@ -100,18 +103,22 @@ def rejected_by(policy: str, bits: str = "fail_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(mask(policy))) != 0
 
 
+def ledger_rows(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """row (a struct of the columns keep, all if left out), the columns of MEASURES, and fail_bits."""
+    rows = map_rows(with_text(df, text_col, keep or df.columns), _measure_batches(text_col), MEASURES)
+    bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.expr(sql), F.lit(1 << k)).otherwise(F.lit(0)) for k, sql in enumerate(RULES.values())))
+    return rows.withColumn("fail_bits", bits)
+
+
 def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Measurements and failure bits of each row: id_col, the columns of MEASURES, fail_bits.
 
     A null text counts as empty; an empty text has no words and fails too_few_words. Repeated rows give repeated
     results, an empty table an empty ledger; other columns of df are not read. Letters are ASCII letters and characters
-    beyond two-byte UTF-8's first value (0xC0 and above).
+    that begin at 0xC0 or above in UTF-8.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.mapInArrow(_measure_batches, f"id {kind}, {MEASURES}")
-    bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.expr(sql), F.lit(1 << k)).otherwise(F.lit(0)) for k, sql in enumerate(RULES.values())))
-    return rows.withColumn("fail_bits", bits).withColumnRenamed("id", id_col)
+    rows = ledger_rows(df, text_col, [id_col])
+    return rows.select(F.col("row")[id_col].alias(id_col), *(c for c in rows.columns if c != "row"))
 
 
 def verdicts(rows: DataFrame, policy: str = PRODUCTION) -> DataFrame:
