@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linededup, packing, quality, simhash, tokencounts, urlfilter
+from . import ann, bpe, langid, linededup, lmscore, packing, quality, simhash, tokencounts, urlfilter
 from .common import read
 
 
@@ -36,10 +36,19 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "source", n("text").alias("n_lines"), n("clean").alias("n_kept"), F.md5("clean").alias("clean_md5"))
 
 
+def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under the trigram model of all documents."""
+    return lmscore.score(read(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -56,7 +65,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_rules, op4_simhash, op5_line_dedup, op7_bpe, op9_packing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_rules, op4_simhash, op5_line_dedup, op6_vector_search, op7_bpe, op8_lm_scores, op9_packing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
