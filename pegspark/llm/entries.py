@@ -46,7 +46,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document under the trigram model of all documents."""
-    return lmscore.score(read(spark, sf_dir, "documents"))
+    return lmscore.score(read(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 6))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,5 +68,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_rules, op4_simhash, op5_line_dedup, op6_vector_search, op7_bpe, op8_lm_scores, op9_packing, op10_url_filter)}
 
 
+_WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
+#: SQL of the queries that it can express. Others need a trained model (1), a tokenizer (2, 7, 9), a seeded hash (4), or
+#: are approximate (6); their tests hold them against brute force, a round trip or held-out accuracy.
+_SQL = {
+    "op3_quality_rules": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS.format(text="text")} AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+t AS (SELECT r, k, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS k FROM d)),
+again AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, g) AS n FROM t) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([k, k + 1, k + 2]) AS p FROM again) GROUP BY r),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(regexp_extract_all(text, '[A-Z]')) AS BIGINT) AS n_upper,
+    CAST(len(regexp_extract_all(text, '[^\x00-@\[-`{{-\x7F]')) AS BIGINT) AS n_letters FROM d LEFT JOIN rep USING (r)),
+b AS (SELECT *, CAST({" + ".join(f"(CASE WHEN {sql} THEN {1 << k} ELSE 0 END)" for k, sql in enumerate(quality.RULES.values()))} AS INT) AS fail_bits FROM m)
+SELECT *, fail_bits & {quality.mask(quality.BASE)} <> 0 AS base_failed, fail_bits & {quality.mask(quality.BASE) | quality.mask(quality.PRODUCTION)} = 0 AS kept FROM b""",
+    "op5_line_dedup": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT DISTINCT r, site, x FROM (SELECT r, coalesce(source, '') AS site, unnest(ls) AS x FROM d) WHERE regexp_matches(x, '[^ \\t\\x0B\\x0C\\r]')),
+t AS (SELECT coalesce(source, '') AS site, count(*) AS total FROM documents GROUP BY 1),
+b AS (SELECT site, list(x) AS drops FROM (SELECT site, x, count(*) AS n FROM l GROUP BY site, x) JOIN t USING (site)
+    WHERE n >= {linededup.MIN_PAGES} AND n > CAST({linededup.MAX_RATIO} AS DOUBLE) * total GROUP BY site),
+c AS (SELECT doc_id, source, ls, list_filter(ls, lambda x: drops IS NULL OR NOT list_contains(drops, x)) AS kept FROM d LEFT JOIN b ON coalesce(source, '') = site)
+SELECT doc_id, source, coalesce(len(ls), 0) AS n_lines, coalesce(CASE WHEN len(kept) = 0 THEN 1 ELSE len(kept) END, 0) AS n_kept,
+    md5(array_to_string(kept, chr(10))) AS clean_md5 FROM c""",
+    "op8_lm_scores": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+t AS (SELECT r, k, w[k] AS c, CASE WHEN k > 1 THEN w[k - 1] END AS b, CASE WHEN k > 2 THEN w[k - 2] END AS a FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+one AS (SELECT c AS w, count(*) AS n FROM t GROUP BY 1), two AS (SELECT b, c, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY 1, 2),
+three AS (SELECT a, b, c, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY 1, 2, 3),
+s AS (SELECT r, CASE WHEN three.n >= 2 THEN 3 WHEN two.n >= 2 THEN 2 ELSE 1 END AS level, CASE WHEN k > 2 THEN 3 ELSE k END AS top,
+    CASE WHEN three.n >= 2 THEN ln(three.n / ctwo.n) WHEN two.n >= 2 THEN ln(two.n / cone.n) ELSE ln(one.n / (SELECT sum(n) FROM one)) END AS logp
+    FROM t JOIN one ON one.w = t.c LEFT JOIN two ON two.b = t.b AND two.c = t.c LEFT JOIN three ON three.a = t.a AND three.b = t.b AND three.c = t.c
+    LEFT JOIN two AS ctwo ON ctwo.b = t.a AND ctwo.c = t.b LEFT JOIN one AS cone ON cone.w = t.b),
+g AS (SELECT r, count(*) AS n, sum(logp + (top - level) * ln(0.4)) AS score, count(*) FILTER (level = 1) AS n1, count(*) FILTER (level = 2) AS n2, count(*) FILTER (level = 3) AS n3 FROM s GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_words, round(coalesce(score, 0), 6) AS log_score, coalesce(n1, 0) AS n_order1, coalesce(n2, 0) AS n_order2, coalesce(n3, 0) AS n_order3 FROM d LEFT JOIN g USING (r)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -114,8 +114,8 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Measurements and failure bits of each row: id_col, the columns of MEASURES, fail_bits.
 
     A null text counts as empty; an empty text has no words and fails too_few_words. Repeated rows give repeated
-    results, an empty table an empty ledger; other columns of df are not read. Letters are ASCII letters and characters
-    that begin at 0xC0 or above in UTF-8.
+    results, an empty table an empty ledger; other columns of df are not read. Letters are ASCII letters and all
+    characters beyond ASCII.
     """
     rows = ledger_rows(df, text_col, [id_col])
     return rows.select(F.col("row")[id_col].alias(id_col), *(c for c in rows.columns if c != "row"))
