@@ -23,7 +23,7 @@ from .common import slices
 #: Remembered fragments and words per Python worker; a full memory is emptied, which changes no result.
 MEMORY = 500_000
 NONE = 1 << 60
-_NOT_LATIN = re.compile("[^\x00-\u01ff]")
+_NOT_LATIN = re.compile("[^\x00-\u017f]")
 
 
 def byte_letters() -> list[str]:
@@ -51,7 +51,7 @@ class Codec:
         self.special_cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         split = next(p for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = split["pattern"]["Regex"]
-        self.latin_words = re.compile(self._with_classes("A-Za-zªµºÀ-ÖØ-öø-ǿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"))
+        self.latin_words = re.compile(self._with_classes("A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"))
         self.letters = byte_letters()
         #: Pairs of byte letters that stand side by side in some token; all others are certain cuts.
         self.inside = {pair for t in self.ids for u in (t.removesuffix(self.end) if self.end else t,) for pair in zip(u, u[1:])}
