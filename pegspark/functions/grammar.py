@@ -19,6 +19,46 @@ from ..plans.syntax import Program, parse
 from . import arrow
 
 VERSION = 1
+_HITS = "array<struct<start:int,end:int,text:string>>"
+#: Hits whose offsets are summed in one piece; appending to an array costs its length, so long lists go in pieces.
+PIECE = 256
+
+
+def _bind(value: Column, use) -> Column:
+    """use(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _spans(text: Column, pattern: str, with_text: bool) -> Column:
+    """Offsets of all hits of a pattern that never matches nothing, in characters of text."""
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    size = lambda p: F.length(p["gap"]) + F.length(p["hit"])
+    kind = _HITS if with_text else "array<struct<start:int,end:int>>"
+
+    def step(state: Column, p: Column) -> Column:
+        start, end = state["at"] + F.length(p["gap"]), state["at"] + size(p)
+        hit = F.struct(start.alias("start"), end.alias("end"), *([p["hit"].alias("text")] if with_text else []))
+        return F.struct(end.alias("at"), F.concat(state["hits"], F.array(hit)).alias("hits"))
+
+    def offsets(piece: Column, begin: Column) -> Column:
+        return F.aggregate(piece, F.struct(begin.alias("at"), F.array().cast(kind).alias("hits")), step, lambda s: s["hits"])
+
+    def in_pieces(pieces: Column) -> Column:
+        totals = F.transform(pieces, lambda q: F.aggregate(q, F.lit(0), lambda n, p: n + size(p)))
+        begins = F.aggregate(totals, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return _bind(begins, lambda at: F.flatten(F.transform(pieces, lambda q, k: offsets(q, F.get(at, k)))))
+
+    def whole(pairs: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.floor(F.size(pairs) / PIECE).cast("int")), lambda k: F.slice(pairs, k * PIECE + 1, PIECE))
+        return F.when(F.size(pairs) <= PIECE, offsets(pairs, F.lit(0))).otherwise(_bind(pieces, in_pieces))
+
+    zipped = _bind(hits, lambda h: F.arrays_zip(F.slice(gaps, 1, F.size(h)).alias("gap"), h.alias("hit")))
+    return F.when(text.isNotNull(), _bind(zipped, whole))
+
+
+def _from_bytes(hit: Column) -> Column:
+    """A hit found in bytes as characters, with its text read as UTF-8."""
+    return F.struct(hit["start"].alias("start"), hit["end"].alias("end"), F.decode(F.encode(hit["text"], "ISO-8859-1"), "UTF-8").alias("text"))
 
 
 @lru_cache(256)
@@ -114,27 +154,23 @@ class Grammar:
     def find(self, col: Column, tree: bool = False, unit: str = "codepoint") -> Column:
         """Hits as array<struct<start, end, text>>; unit: codepoint, utf16 or byte; with tree also nodes.
 
-        Native for code points: the pieces between hits and the hits alternate, and running lengths give the offsets.
+        Code points and bytes are native: the pieces between hits and the hits alternate, and running lengths give the
+        offsets.
         """
-        if tree or unit != "codepoint" or not self.native_hits:
+        if tree or unit not in ("codepoint", "byte") or not self.native_hits:
             return arrow.find(self.key, tree, unit)(col)
-        pattern = self.regex()
-        hits = F.regexp_extract_all(col, F.lit(f"({pattern})"), F.lit(1))
-        gaps = F.split(col, pattern, -1)
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("hits"))
-
-        def step(state: Column, pair: Column) -> Column:
-            start = state["at"] + F.length(pair["gap"])
-            end = start + F.length(pair["hit"])
-            return F.struct(end.alias("at"), F.concat(state["hits"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("text")))).alias("hits"))
-
-        spans = F.aggregate(F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit")), begin, step, lambda s: s["hits"])
+        if unit == "byte":  # hits start at code points, not inside them
+            spans = F.transform(_spans(self._text(col, True), rf"(?![\x80-\xBF])(?:{self.regex(True)})", True), _from_bytes)
+        else:
+            spans = _spans(col, self.regex(), True)
         needed = self._needed(col)
-        return spans if needed is None else F.when(needed, spans).when(col.isNotNull(), begin["hits"])
+        return spans if needed is None else F.when(needed, spans).when(col.isNotNull(), F.array().cast(_HITS))
 
     def scan_bytes(self, col: Column) -> Column:
         """Hits in a binary column as array<struct<start, end>> in bytes; every byte may start one."""
-        return arrow.scan_bytes(self.key)(col)
+        if not self.native or lowering.can_be_empty(self.program):
+            return arrow.scan_bytes(self.key)(col)
+        return _spans(F.decode(col, "ISO-8859-1"), self.regex(True), False)
 
     def replace(self, col: Column, before: str = "", after: str = "", with_text: str | None = None) -> Column:
         """The text with each hit replaced by with_text, or wrapped in before and after."""

@@ -165,3 +165,14 @@ def test_stream(spark, folder, tmp_path):
 def test_plan_stays_in_the_jvm(texts):
     plan = texts.select(DIGITS.find(F.col("t")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_many_hits_keep_their_offsets(spark):
+    text = "".join(f"x{'é' * (k % 3)}{k}" for k in range(1500))
+    df = spark.createDataFrame([(text,)], "t string")
+    import re
+
+    found = df.select(DIGITS.find(F.col("t")), DIGITS.find(F.col("t"), unit="byte"), DIGITS.scan_bytes(F.encode("t", "UTF-8"))).first()
+    assert [(h["start"], h["end"], h["text"]) for h in found[0]] == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", text)]
+    wanted = [(m.start(), m.end()) for m in re.finditer(b"[0-9]+", text.encode())]
+    assert [(h["start"], h["end"]) for h in found[1]] == wanted and [(h["start"], h["end"]) for h in found[2]] == wanted
