@@ -3,8 +3,8 @@
 The n-grams of all documents are exploded, counted in tables partitioned by hash, joined back and summed per document.
 The relations are packed: documents are gathered in batches, a row holds the distinct n-grams of one batch in one
 partition (bucket) of the hash space as arrays, and a frequent n-gram is there once per batch, not once per document.
-One shuffle by bucket counts all orders; the counts return by batch, where tokens and counts are joined and the
-logarithms are summed.
+One shuffle by bucket counts all orders; the counts return by batch, to a table of batches that is bucketed by batch and
+so not shuffled, where tokens and counts are joined and the logarithms are summed.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import bucketed
 
 ORDER = 3
 #: What each step back to a shorter n-gram costs.
@@ -29,12 +29,13 @@ BACKOFF = 0.4
 #: An n-gram of two words or more is in the tables if the corpus has it this often; else a text would vouch for itself.
 MIN_COUNT = 2
 #: Text per batch, and n-grams per bucket that the number of buckets is chosen for.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 12 << 20
 BUCKET_NGRAMS = 1 << 20
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Bytes of an n-gram's hash that travel, beside its bucket.
-HASH_BYTES = 6
+#: Bits of an n-gram's hash that travel, beside its bucket.
+HASH_BITS = 48
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 def words(text: bytes) -> list[bytes]:
@@ -48,8 +49,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned numbers in few bytes: the least width that holds them, byte plane by byte plane, compressed."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return width.to_bytes(1, "little") + len(values).to_bytes(8, "little") + _ZSTD.compress(np.ascontiguousarray(planes).tobytes(), asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(_ZSTD.decompress(data[9:], n * width), np.uint8).reshape(width, n).T
+    return wide.view("<u8").ravel()
+
+
 def _batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """batch, ids, lens (words per document), vocab (hashes of the batch's words), tokens (places in vocab)."""
+    """batch, ids, words, lens (words per document), vocab (hashes of the batch's words), tokens (places in vocab)."""
     import xxhash
 
     task, number = TaskContext.get().partitionId(), count()
@@ -57,124 +72,118 @@ def _batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids: list = []
     lens: list[int] = []
     tokens: list[np.ndarray] = []
-    held = 0
+    held, kind = 0, pa.null()
 
-    def full(kind: pa.DataType) -> pa.RecordBatch:
-        vocab = np.fromiter((xxhash.xxh64_intdigest(w) for w in place), "<u8", len(place))
-        columns = [pa.array([task << 32 | next(number)], pa.int64()), pa.array([ids], pa.list_(kind)), *(pa.array([x.tobytes()], pa.binary()) for x in (np.array(lens, "<u4"), vocab, np.concatenate([np.zeros(0, "<u4"), *tokens])))]
-        return pa.record_batch(columns, ["batch", "ids", "lens", "vocab", "tokens"])
+    def full() -> pa.RecordBatch:
+        vocab = np.fromiter((xxhash.xxh64_intdigest(w) for w in place), np.uint64, len(place))
+        found = np.concatenate([np.zeros(0, np.uint32), *tokens])
+        order = np.argsort(-np.bincount(found, minlength=len(vocab)), kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        packed = [pa.array([pack(x)], pa.binary()) for x in (np.array(lens, np.uint64), vocab[order], rank[found])]
+        return pa.record_batch([pa.array([task << 32 | next(number)], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([len(found)], pa.int64()), *packed], ["batch", "ids", "words", "lens", "vocab", "tokens"])
 
     for batch in batches:
+        kind = batch["id"].type
         for row in range(batch.num_rows):
-            text = batch["text"][row].as_py() or ""
-            found = words(text.encode())
+            text = (batch["text"][row].as_py() or "").encode()
+            found = words(text)
             ids.append(batch["id"][row].as_py())
             lens.append(len(found))
-            tokens.append(np.fromiter((place.setdefault(w, len(place)) for w in found), "<u4", len(found)))
+            tokens.append(np.fromiter((place.setdefault(w, len(place)) for w in found), np.uint32, len(found)))
             held += len(text)
             if held >= BATCH_BYTES:
-                yield full(batch["id"].type)
+                yield full()
                 place, ids, lens, tokens, held = {}, [], [], [], 0
-        if ids and batch.num_rows:
-            kind = batch["id"].type
     if ids:
-        yield full(kind)
+        yield full()
+
+
+def _since(size: np.ndarray) -> np.ndarray:
+    """Each token's place in its document."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
 
 
-def _ngrams(lens: bytes, vocab: bytes, tokens: bytes, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per order: sorted distinct hashes, how often each occurs in the batch, and for each token the place of the n-gram
-    that ends there (-1 if its document has too few words before)."""
-    size, word, at = np.frombuffer(lens, "<u4").astype(np.int64), np.frombuffer(vocab, "<u8"), np.frombuffer(tokens, "<u4").astype(np.int64)
-    since = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
-    out, hashes = [], word[at] if len(at) else np.zeros(0, np.uint64)
-    rolling = _mix(hashes)
+def _ngrams(size: np.ndarray, vocab: bytes, tokens: bytes, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per order: sorted distinct hashes, the distinct n-gram that ends at each token that has one, and where those are."""
+    hashes = unpack(vocab)[unpack(tokens)]
+    rolling, since = _mix(hashes), _since(size)
     for n in range(1, order + 1):
         if n > 1:
             longer = np.zeros_like(rolling)
             longer[1:] = _mix(rolling[:-1] * np.uint64(3) + hashes[1:])
             rolling = longer
-        there = since >= n - 1
-        distinct, which, found = np.unique(rolling[there], return_inverse=True, return_counts=True)
-        back = np.full(len(at), -1, np.int64)
-        back[there] = which
-        out.append((distinct, found, back))
-    return out
+        there = np.nonzero(since >= n - 1)[0]
+        distinct, which = np.unique(rolling[there], return_inverse=True)
+        yield distinct, which.astype(np.uint32), there
 
 
-def _bounds(distinct: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket, an equal part of the hash space, starts among sorted hashes."""
+def _edges(buckets: int) -> list[int]:
+    """The first hash of each bucket, an equal part of the hash space."""
     step = (1 << 64) // buckets + 1
-    edges = np.array([min(k * step, (1 << 64) - 1) for k in range(1, buckets)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(distinct, edges, "left"), [len(distinct)]))
-
-
-def _short(hashes: np.ndarray) -> bytes:
-    """The lowest HASH_BYTES bytes of each hash."""
-    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+    return [k * step for k in range(buckets)]
 
 
 def _explode(order: int, buckets: int):
+    begins = _edges(buckets)
+    shift = np.uint64(max(0, ((1 << 64) // buckets).bit_length() - HASH_BITS))
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                own = batch["batch"][row].as_py()
-                found = _ngrams(*(batch[c][row].as_py() for c in ("lens", "vocab", "tokens")), order)
-                columns: list[list] = [[], [], [], [], []]
-                for n, (distinct, times, _) in enumerate(found, 1):
-                    edges = _bounds(distinct, buckets)
-                    for k in np.nonzero(np.diff(edges))[0]:
-                        part = slice(edges[k], edges[k + 1])
-                        for column, value in zip(columns, (own, n, int(k), _short(distinct[part]), times[part].astype("<u4").tobytes())):
-                            column.append(value)
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], ["batch", "n", "bucket", "hashes", "times"])
+            for row in batch.to_pylist():
+                for n, (distinct, which, _) in enumerate(_ngrams(unpack(row["lens"]).astype(np.int64), row["vocab"], row["tokens"], order), 1):
+                    times = np.bincount(which, minlength=len(distinct))
+                    cuts = [*np.searchsorted(distinct, np.array(begins, np.uint64), "left"), len(distinct)]
+                    columns: list[list] = [[], [], [], [], []]
+                    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                        if a < b:
+                            inside = (distinct[a:b] - np.uint64(begins[k])) >> shift
+                            for column, value in zip(columns, (row["batch"], n, k, pack(np.diff(inside, prepend=np.uint64(0))), pack(times[a:b]))):
+                                column.append(value)
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], ["batch", "n", "bucket", "hashes", "times"])
 
     return run
 
 
 def _count(group: pa.Table) -> pa.Table:
     """One partition of the count table of one order; returns each batch's n-grams' counts, in the batch's order."""
-    blobs = group["hashes"].to_pylist()
-    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, HASH_BYTES)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :HASH_BYTES] = raw
-    times = np.frombuffer(b"".join(group["times"].to_pylist()), "<u4")
-    _, which = np.unique(wide.view("<u8").ravel(), return_inverse=True)
+    parts = [np.cumsum(unpack(x), dtype=np.uint64) for x in group["hashes"].to_pylist()]
+    ends = np.cumsum([len(p) for p in parts])
+    times = np.concatenate([unpack(x) for x in group["times"].to_pylist()])
+    _, which = np.unique(np.concatenate(parts), return_inverse=True)
     total = np.bincount(which, weights=times).astype(np.int64)[which]
-    ends = np.cumsum([len(b) // HASH_BYTES for b in blobs])
-    kind = "<u4" if int(total.max(initial=0)) < 1 << 32 else "<u8"
-    back = [part.astype(kind).tobytes() for part in np.split(total, ends[:-1])]
-    return pa.table({"batch": group["batch"], "n": group["n"], "bucket": group["bucket"], "counts": pa.array(back, pa.binary()), "wide": pa.array([kind == "<u8"] * len(back), pa.bool_())})
+    back = [pack(part) for part in np.split(total, ends[:-1])]
+    return pa.table({"batch": group["batch"], "n": group["n"], "bucket": group["bucket"], "counts": pa.array(back, pa.binary())})
 
 
 def _score(order: int, total: int, min_count: int, backoff: float):
+    names = ["n_words", "log_score", *(f"n_order{n}" for n in range(1, order + 1))]
+
     def run(docs: pa.Table, counted: pa.Table) -> pa.Table:
-        ids, out = [], [[] for _ in range(order + 2)]
+        ids, out = [], [[] for _ in names]
         for row in docs.to_pylist():
-            counts: list[np.ndarray] = []
-            answer = counted.filter(pc.equal(counted["batch"], row["batch"])).sort_by([("n", "ascending"), ("bucket", "ascending")])
-            for n in range(1, order + 1):
-                own = answer.filter(pc.equal(answer["n"], n))
-                parts = [np.frombuffer(c, "<u8" if w else "<u4").astype(np.int64) for c, w in zip(own["counts"].to_pylist(), own["wide"].to_pylist())]
-                counts.append(np.concatenate([np.zeros(0, np.int64), *parts]))
-            grams = _ngrams(row["lens"], row["vocab"], row["tokens"], order)
-            size = np.frombuffer(row["lens"], "<u4").astype(np.int64)
-            doc = np.repeat(np.arange(len(size)), size)
-            seen = [np.where(back >= 0, c[back], 0) if len(c) else np.zeros(len(back), np.int64) for (_, _, back), c in zip(grams, counts)]
-            log = np.log(np.maximum(seen[0], 1) / max(1, total))
-            level = np.ones(len(doc), np.int64)
-            longest = np.minimum(np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size) + 1, order)
-            for n in range(2, order + 1):
-                hit = seen[n - 1] >= min_count
-                context = np.concatenate(([1], seen[n - 2][:-1]))  # the shorter n-gram that ends one word before
-                log[hit] = np.log(seen[n - 1][hit] / context[hit])
-                level[hit] = n
+            size = unpack(row["lens"]).astype(np.int64)
+            since = _since(size)
+            log, level, shorter = np.zeros(len(since)), np.ones(len(since), np.int8), np.zeros(0, np.int64)
+            longest = np.minimum(since + 1, order)
+            for n, (_, which, there) in enumerate(_ngrams(size, row["vocab"], row["tokens"], order), 1):
+                own = counted.filter(pc.and_(pc.equal(counted["batch"], row["batch"]), pc.equal(counted["n"], n))).sort_by("bucket")
+                seen = np.zeros(len(since), np.int64)
+                seen[there] = np.concatenate([np.zeros(0, np.uint64), *map(unpack, own["counts"].to_pylist())])[which]
+                if n == 1:
+                    log = np.log(np.maximum(seen, 1) / max(1, total))
+                else:
+                    hit = np.nonzero(seen >= min_count)[0]
+                    log[hit] = np.log(seen[hit] / shorter[hit - 1])  # the shorter n-gram ends one word before
+                    level[hit] = n
+                shorter = seen
             log += (longest - level) * np.log(backoff)
+            doc = np.repeat(np.arange(len(size)), size)
             ids += row["ids"]
             for column, values in zip(out, (size, np.bincount(doc, weights=log, minlength=len(size)), *(np.bincount(doc[level == n], minlength=len(size)) for n in range(1, order + 1)))):
                 column.append(values)
         columns = [np.concatenate([np.zeros(0), *c]) for c in out]
-        names = ["n_words", "log_score", *(f"n_order{n}" for n in range(1, order + 1))]
         values = {name: pa.array(c if name == "log_score" else c.astype(np.int64)) for name, c in zip(names, columns)}
         return pa.table({"id": pa.array(ids, docs.schema.field("ids").type.value_type), **values})
 
@@ -190,12 +199,12 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
     """
     kind = df.schema[id_col].dataType
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    packed = T.StructType([T.StructField("batch", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(c, T.BinaryType()) for c in ("lens", "vocab", "tokens"))])
-    batches = table(rows.mapInArrow(_batch, packed), "lm-batches")
-    total = batches.agg(F.coalesce(F.sum(F.octet_length("tokens") / 4), F.lit(0)).cast("long")).first()[0]
+    packed = T.StructType([T.StructField("batch", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("words", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("lens", "vocab", "tokens"))])
+    batches = bucketed(rows.mapInArrow(_batch, packed), "lm_batches", "batch")
+    total = batches.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // bucket_ngrams))
     grams = batches.select("batch", "lens", "vocab", "tokens").mapInArrow(_explode(order, buckets), "batch long, n int, bucket int, hashes binary, times binary")
-    counts = grams.groupBy("n", "bucket").applyInArrow(_count, "batch long, n int, bucket int, counts binary, wide boolean")
+    counts = grams.groupBy("n", "bucket").applyInArrow(_count, "batch long, n int, bucket int, counts binary")
     result = T.StructType([T.StructField("id", kind), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType()), *(T.StructField(f"n_order{n}", T.LongType()) for n in range(1, order + 1))])
     scored = batches.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(_score(order, total, min_count, backoff), result)
     return scored.withColumnRenamed("id", id_col)
