@@ -50,7 +50,7 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"))
+    return packing.digest(packing.pack(read(spark, sf_dir, "documents")))
 
 
 #: The rules of the URL query.

@@ -8,7 +8,6 @@ pass cuts documents at window boundaries without moving any row. All windows but
 from __future__ import annotations
 
 import base64
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -62,7 +61,7 @@ def _encode(ranks: tuple[str, str], end_id: int):
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "ids"):
-            source, begin, size, crc = [], [], [], []
+            source, begin, size, cut = [], [], [], []
             first = batch["first"].to_numpy()
             counts = batch["doc_tokens"].to_numpy()
             for k, blob in enumerate(batch["ids"].to_pylist()):
@@ -73,19 +72,19 @@ def _cut(window: int):
                     source.append(k)
                     begin.append(at)
                     size.append(step)
-                    crc.append(zlib.crc32(words[at : at + step]))
+                    cut.append(words[at : at + step].tobytes())
                     at += step
             where = pa.array(source, pa.int32())
             start = np.array(begin, np.int64)
             place = first[np.array(source, np.int64)] + start
-            columns = [batch["id"].take(where), start, np.array(size, np.int64), np.array(crc, np.int64), counts[np.array(source, np.int64)], place // window, place % window]
-            yield pa.record_batch([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            columns = [batch["id"].take(where), start, np.array(size, np.int64), counts[np.array(source, np.int64)], place // window, place % window, pa.array(cut, pa.binary())]
+            yield pa.record_batch([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
     return run
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, ranks: tuple[str, str] | None = None) -> DataFrame:
-    """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: id_col, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
 
     A null or empty text has only end_id. Repeated rows are packed each; an empty table gives no pieces; other columns
     are not read. Ids are those of the byte-level BPE in ranks (a rank file and its splitting pattern).
@@ -98,5 +97,10 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     bases = table(totals.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "packing-bases")
     bases = F.broadcast(bases) if bases.count() <= BROADCAST_TASKS else bases
     placed = coded.join(bases, "task").select("id", (F.col("base") + F.col("task_start")).alias("first"), "doc_tokens", "ids")
-    pieces = placed.mapInArrow(_cut(window), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    pieces = placed.mapInArrow(_cut(window), f"id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
     return pieces.withColumnRenamed("id", id_col)
+
+
+def digest(pieces: DataFrame) -> DataFrame:
+    """Pieces with a checksum in place of their ids."""
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

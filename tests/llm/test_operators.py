@@ -416,17 +416,17 @@ def check_packing(pieces, texts, library, window):
 
 @pytest.mark.parametrize("window", [2048, 100])
 def test_packing(docs, texts, library, window):
-    check_packing(packing.pack(docs, window=window).toPandas(), texts, library, window)
+    check_packing(packing.digest(packing.pack(docs, window=window)).toPandas(), texts, library, window)
 
 
 def test_packing_many_tasks(docs, texts, library, monkeypatch):
     monkeypatch.setattr(packing, "BROADCAST_TASKS", 0)
-    check_packing(packing.pack(docs.repartition(7, "doc_id")).toPandas(), texts, library, 2048)
+    check_packing(packing.digest(packing.pack(docs.repartition(7, "doc_id"))).toPandas(), texts, library, 2048)
 
 
 def test_packing_odd(odd, none, library):
     once = odd.dropDuplicates(["doc_id", "text"]).filter("doc_id is not null")
-    check_packing(packing.pack(once).toPandas(), {k: t for k, t, _, _ in ODD if k is not None}, library, 2048)
+    check_packing(packing.digest(packing.pack(once)).toPandas(), {k: t for k, t, _, _ in ODD if k is not None}, library, 2048)
     assert packing.pack(none).count() == 0 and packing.pack(odd).select("doc_id").distinct().count() == 7
 
 
