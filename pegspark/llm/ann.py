@@ -24,7 +24,7 @@ FACTOR = 0.2
 SHARD = 16_384
 BLOCK = 4_096
 LEAF = 128
-#: Scores this close to the last place are measured exactly before they are dropped.
+#: Scores this close to the last place, for vectors of unit length, are measured exactly before they are dropped.
 SLACK = 1e-9
 
 
@@ -58,8 +58,9 @@ def build(points: np.ndarray, leaf: int = LEAF) -> Node:
 class Search:
     """The best k rows of each query so far, and the walk down a tree with all queries at once."""
 
-    def __init__(self, points: np.ndarray, queries: np.ndarray, k: int, factor: float):
+    def __init__(self, points: np.ndarray, queries: np.ndarray, k: int, factor: float, longest: float = 1.0):
         self.points, self.queries, self.k, self.factor = points, queries, k, factor
+        self.slack, self.square_slack = SLACK * max(1.0, longest), SLACK * max(1.0, longest * longest)
         self.norms = np.einsum("ij,ij->i", points, points)
         self.best = np.full((len(queries), k), np.inf)  # squared distances less the query's own square, ascending
         self.own = np.einsum("ij,ij->i", queries, queries)
@@ -72,7 +73,7 @@ class Search:
         got = self.norms[rows][None, :] - 2.0 * (self.queries[q] @ self.points[rows].T)
         both = np.concatenate([self.best[q], got], axis=1)
         self.best[q] = np.sort(np.partition(both, self.k - 1, axis=1)[:, : self.k], axis=1)
-        a, b = np.nonzero(got <= self.best[q, -1][:, None] + SLACK)
+        a, b = np.nonzero(got <= self.best[q, -1][:, None] + self.square_slack)
         self.rows.append((q[a], rows[b], got[a, b]))
 
     def walk(self, node: Node, q: np.ndarray) -> None:
@@ -85,15 +86,15 @@ class Search:
         self.walk(node.near, q[inner])
         self.walk(node.far, q[~inner])
         reach = self.factor * self.radius(q)
-        self.walk(node.near, q[~inner & (d - reach <= node.near_max + SLACK)])
-        self.walk(node.far, q[inner & (d + reach >= node.far_min - SLACK)])
+        self.walk(node.near, q[~inner & (d - reach <= node.near_max + self.slack)])
+        self.walk(node.far, q[inner & (d + reach >= node.far_min - self.slack)])
 
     def found(self) -> tuple[np.ndarray, np.ndarray]:
         """(query, row) of all that may be among the k best."""
         if not self.rows:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         q, r, d = (np.concatenate(x) for x in zip(*self.rows))
-        keep = d <= self.best[q, -1] + SLACK
+        keep = d <= self.best[q, -1] + self.square_slack
         return q[keep], r[keep]
 
 
@@ -103,6 +104,15 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
+def first_twins(x: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Places of the rows of x without those that have `most` equal rows with smaller ids: such a row is in no answer."""
+    whole = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
+    which = np.unique(whole, return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, which))
+    place = np.arange(len(order)) - np.searchsorted(which[order], which[order])
+    return np.sort(order[place < most])
+
+
 def _group(k: int, factor: float, leaf: int, longest: float):
     names = ["query_id", "vec_id", "score"]
 
@@ -111,8 +121,10 @@ def _group(k: int, factor: float, leaf: int, longest: float):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         x, y = _matrix(rows["v"]), _matrix(asked["v"])
         ids, wanted = rows["id"].to_numpy(), asked["id"].to_numpy()
+        few = first_twins(x, ids, k + 1)  # one more: the query itself
+        x, ids = x[few], ids[few]
         lift = np.sqrt(np.maximum(longest * longest - np.einsum("ij,ij->i", x, x), 0.0))
-        search = Search(np.column_stack([x, lift]), np.column_stack([y, np.zeros(len(y))]), min(k + 1, len(x)), factor)  # one more: the query itself
+        search = Search(np.column_stack([x, lift]), np.column_stack([y, np.zeros(len(y))]), min(k + 1, len(x)), factor, longest)
         search.walk(build(search.points, leaf), np.arange(len(y)))
         q, r = search.found()
         out: list[list[np.ndarray]] = [[], [], []]
@@ -141,11 +153,13 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: s
     """For each row where queries holds: query_id, rank (from 1), vec_id and score of its k nearest among all other rows.
 
     Ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite components take no part, nor do
-    rows with a null id or of another length than most; of rows with one id each is a candidate. Fewer candidates give
-    fewer rows, an empty table none. Every row is indexed; with factor 1 the result is exact.
+    rows with a null id or of another length than most; repeated rows count once, and of rows with one id but different
+    vectors the one with the smallest vector counts. Fewer candidates give fewer rows, an empty table none. Every row
+    is indexed; with factor 1 the result is exact.
     """
     vector = F.col(vector_col).cast("array<double>")
     rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vector.alias("v"), queries.alias("asks")).filter(usable(F.col("v")))
+    rows = table(rows.groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks")), "ann-vectors")
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     facts = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.sum(F.col("asks").cast("long")).alias("asks"), F.max(size).alias("longest"))
     most = facts.orderBy(F.desc("rows"), "n").first()

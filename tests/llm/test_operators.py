@@ -315,6 +315,23 @@ def test_search_odd(spark):
     assert ann.search(df.filter("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_search_repeated_rows_and_twins(spark):
+    rng = np.random.default_rng(5)
+    distinct = [(k, rng.normal(size=8).tolist()) for k in range(200)]
+    twins = [(k, [100.0] * 8) for k in range(200, 300)]  # a hundred equal vectors, near to all that point their way
+    rows = distinct + twins
+    want = brute_search([k for k, _ in rows], [np.array(v) for _, v in rows], 20)
+    repeated = rows + [rows[0]] * 40 + [rows[7]] * 3 + [twins[0]] * 30
+    df = spark.createDataFrame(repeated, "vec_id long, embedding array<double>")
+    got = found(ann.search(df, F.col("vec_id") % 20 == 0, factor=1.0, leaf=8))
+    assert {q: [v for v, _ in x] for q, x in got.items()} == {q: [v for v, _ in x] for q, x in want.items()}
+
+
+def test_search_first_twins():
+    x = np.array([[1.0, 2.0], [3.0, 4.0], [1.0, 2.0], [1.0, 2.0], [0.0, 0.0]])
+    assert ann.first_twins(x, np.array([9, 5, 7, 8, 1]), 2).tolist() == [1, 2, 3, 4]
+
+
 # -- BPE ------------------------------------------------------------------------------------------------------------------------------
 
 
