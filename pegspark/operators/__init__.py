@@ -1,5 +1,5 @@
 """Operators on DataFrames."""
 
-from .search import format_results, hits, search_lines
+from .search import format_results, hits, search_hits, search_lines
 
-__all__ = ["format_results", "hits", "search_lines"]
+__all__ = ["format_results", "hits", "search_hits", "search_lines"]

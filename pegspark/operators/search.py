@@ -12,7 +12,8 @@ COLOR, PLAIN = "\x1b[1;31m", "\x1b[0m"
 
 def hits(df: DataFrame, grammar: Grammar, text_col: str, tree: bool = False) -> DataFrame:
     """One row per hit: the columns of df, hit (from 0), start, end, text (and nodes)."""
-    found = df.select("*", F.posexplode(grammar.find(F.col(text_col), tree=tree)).alias("hit", "_hit"))
+    found = df.withColumn("_hits", grammar.find(F.col(text_col), tree=tree))  # a column first: a generator cannot hold Python
+    found = found.select("*", F.posexplode("_hits").alias("hit", "_hit"))
     return found.select(*(found[c] for c in [*df.columns, "hit"]), "_hit.start", "_hit.end", F.col("_hit.text").alias("hit_text"), *(["_hit.nodes"] if tree else []))
 
 
@@ -40,6 +41,13 @@ def search_lines(df: DataFrame, grammar: Grammar, text_col: str, label: Column |
     return lines.filter(grammar.has_hit(F.col("content"))).withColumn("matches", grammar.find(F.col("content")))
 
 
+def search_hits(df: DataFrame, grammar: Grammar, text_col: str, label: Column | None = None, **lines) -> DataFrame:
+    """One row per hit in a line: file, line (from 1), col and end_col (from 0, in bytes of the line)."""
+    found = search_lines(df, grammar, text_col, label, **lines)
+    found = found.select("file", "line", grammar.find(F.col("content"), unit="byte").alias("hits"))
+    return found.select("file", "line", F.explode("hits").alias("hit")).select("file", "line", F.col("hit.start").alias("col"), F.col("hit.end").alias("end_col"))
+
+
 def format_results(lines: DataFrame, color: bool = True) -> DataFrame:
     """`file:line: content` as column shown, hits highlighted."""
     marked = F.aggregate(

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import Grammar, register
-from .operators import format_results, hits, search_lines
-from .streaming import search_stream
+from .operators import format_results, hits, search_hits, search_lines
+from .sources import search_folder
+from .streaming import number_lines, search_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,25 +123,48 @@ _texts("find_title", 'main: "<title>" then (any character until including "</tit
 
 _SPANS = """WITH g AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS t, generate_subscripts(regexp_extract_all(text, '[0-9]+'), 1) AS k,
     unnest(list_slice(regexp_split_to_array(text, '[0-9]+'), 1, len(regexp_extract_all(text, '[0-9]+')))) AS gap FROM documents)
-SELECT doc_id, CAST(k - 1 AS BIGINT) AS hit, CAST(sum({size}(gap) + {size}(t)) OVER w - {size}(t) AS BIGINT) AS start_at, CAST(sum({size}(gap) + {size}(t)) OVER w AS BIGINT) AS end_at, t AS hit_text
+SELECT doc_id, CAST(k - 1 AS BIGINT) AS hit, CAST(sum({gap} + {t}) OVER w - {t} AS BIGINT) AS start_at, CAST(sum({gap} + {t}) OVER w AS BIGINT) AS end_at, t AS hit_text
 FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY k)"""
 
 
+def _span_sql(size: str) -> str:
+    return _SPANS.format(gap=size.format("gap"), t=size.format("t"))
+
+
 def _spans(df: DataFrame, grammar: str, unit: str) -> DataFrame:
     found = Grammar(grammar).find(F.col("text"), unit=unit)
     return df.select("doc_id", F.posexplode(found).alias("hit", "h")).select("doc_id", F.col("hit").cast("long").alias("hit"), F.col("h.start").cast("long").alias("start_at"), F.col("h.end").cast("long").alias("end_at"), F.col("h.text").alias("hit_text"))
 
 
-@query(_SPANS.format(size="length"))
+@query(_span_sql("length({0})"))
 def spans_codepoints(spark, sf_dir):
     return _spans(table(spark, sf_dir, "documents"), "main: one or more digits", "codepoint")
 
 
-@query(_SPANS.format(size="strlen"))
+@query(_span_sql("strlen({0})"))
 def spans_bytes(spark, sf_dir):
     return _spans(table(spark, sf_dir, "documents"), "main: one or more digits", "byte")
 
 
+@query(_span_sql("(length({0}) + len(regexp_extract_all({0}, '[\\x{{10000}}-\\x{{10FFFF}}]')))"))
+def spans_utf16(spark, sf_dir):
+    return _spans(table(spark, sf_dir, "documents"), "main: one or more digits", "utf16")
+
+
+_PAIR = "regexp_extract_all(url, '[a-z]+/[0-9]+')"
+
+
+@query(
+    "SELECT page_id, hit, unnest([{'rule': 'main', 'depth': 0, 'node_text': h}, {'rule': 'word', 'depth': 1, 'node_text': split_part(h, '/', 1)}, {'rule': 'num', 'depth': 1, 'node_text': split_part(h, '/', 2)}], recursive := true)"
+    f" FROM (SELECT page_id, CAST(generate_subscripts({_PAIR}, 1) - 1 AS BIGINT) AS hit, unnest({_PAIR}) AS h FROM pages)"
+)
+def scan_tree(spark, sf_dir):
+    g = Grammar("word: one or more lowercase\nnum: one or more digits\nmain: word then slash then num")
+    found = hits(table(spark, sf_dir, "pages").select("page_id", "url"), g, "url", tree=True)
+    nodes = found.select("page_id", F.col("hit").cast("long").alias("hit"), F.inline("nodes").alias("id", "parent", "depth", "rule", "start", "end", "node_text"))
+    return nodes.select("page_id", "hit", "rule", "depth", "node_text")
+
+
 @query("SELECT doc_id, regexp_matches(text, '[0-9]{3}-[0-9]{4}') AS has_hit, len(regexp_extract_all(text, '[0-9]{3}-[0-9]{4}')) AS n FROM documents")
 def has_hit_and_count(spark, sf_dir):
     g = Grammar("main: 3 digits then hyphen then 4 digits")
@@ -267,12 +293,55 @@ def format_search_results(spark, sf_dir):
     return format_results(_lines(spark, sf_dir))
 
 
+@query("SELECT file || ':' || line || ': ' || content AS shown FROM (" + _LINES.format(more="") + ")")
+def format_plain_results(spark, sf_dir):
+    return format_results(_lines(spark, sf_dir), color=False)
+
+
+_WORD = "[A-Z][a-z]+\\."
+
+
+@query(
+    f"WITH l AS (SELECT file, line, regexp_extract_all(content, '{_WORD}') AS h, regexp_split_to_array(content, '{_WORD}') AS g FROM ({_LINES.format(more='')})),"
+    " x AS (SELECT file, line, k, strlen(h[k]) AS t, strlen(g[k]) AS gap FROM (SELECT *, unnest(range(1, len(h) + 1)) AS k FROM l))"
+    " SELECT file, line, CAST(sum(gap + t) OVER w - t AS BIGINT) AS col, CAST(sum(gap + t) OVER w AS BIGINT) AS end_col FROM x WINDOW w AS (PARTITION BY file, line ORDER BY k)"
+)
+def search_hit_columns(spark, sf_dir):
+    label = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    found = search_hits(table(spark, sf_dir, "conversations"), Grammar("main: uppercase then one or more lowercase then period"), "text", label)
+    return found.select("file", *(F.col(c).cast("long").alias(c) for c in ("line", "col", "end_col")))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's address in the shared folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pegspark-query-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT content, count(*) AS n FROM ({_LINES.format(more='')}) GROUP BY content")
+def search_folder_files(spark, sf_dir):
+    """The conversations as a folder of text files, which is walked and searched."""
+    out = _scratch(spark, "folder-search")
+    table(spark, sf_dir, "conversations").select("text").write.text(out)
+    lines, _ = search_folder(spark, Grammar("main: uppercase then one or more lowercase then period"), urlparse(out).path, glob="*.txt")
+    return lines.groupBy("content").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type AS file, count(*) AS n_lines, CAST(1 AS BIGINT) AS first_line, count(*) AS last_line, count(*) AS n_numbers FROM events GROUP BY event_type")
+def stream_line_numbers(spark, sf_dir):
+    """The events as a stream of lines, numbered per type with the count so far as state."""
+    lines = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    numbered, out = number_lines(lines, "props", F.col("event_type")), _scratch(spark, "line-numbers")
+    numbered.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(numbered.schema).parquet(f"{out}/rows").groupBy("file")
+    return rows.agg(F.count("*").alias("n_lines"), F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.countDistinct("line").alias("n_numbers"))
+
+
 @query("SELECT event_id, props AS content FROM events WHERE regexp_matches(props, '[5-9][0-9]')")
 def stream_search(spark, sf_dir):
     """The events as a stream of lines, searched and written batch by batch, then read back."""
     lines = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pegspark-stream-")
-    out = f"{folder}/stream-search-{spark.sparkContext.applicationId}-{id(lines)}"
+    out = _scratch(spark, "stream-search")
     found = search_stream(lines, Grammar('main: "5" to "9" then digit'), "props", F.col("event_id").cast("string"))
     done = found.select(F.col("file").cast("long").alias("event_id"), "content")
     done.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").trigger(availableNow=True).start().awaitTermination()
