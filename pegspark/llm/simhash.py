@@ -182,6 +182,10 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows with a null id cannot be told apart and stay.
     """
-    found = components(df, id_col, text_col, limit, **options)
+    return first_rows(df, components(df, id_col, text_col, limit, **options), id_col, text_col)
+
+
+def first_rows(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of df whose id is the component_id of its component in found, once each."""
     chosen = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_chosen")).distinct()
     return df.join(chosen, df[id_col].eqNullSafe(chosen["_chosen"]), "left_semi").dropDuplicates([id_col, text_col])

@@ -545,6 +545,40 @@ def test_url_tree(spark):
     assert got[next(k for k, p in enumerate(pages) if p[1].startswith("/user"))]["template"].split("/", 1)[1] == "user/*/posts"
 
 
+# -- near copies in the pipeline ----------------------------------------------------------------------------------------------------
+
+
+def brute_shingles(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def test_pipeline_drops_near_copies(spark):
+    """Planted near copies of 0.8 to 0.95 go, less similar texts stay, chains and a group of many join."""
+    rng, rows = random.Random(5), []
+    for base in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 400))]
+        rows.append(words)
+        for _ in range(60 if base == 0 else 3):
+            changed = list(rows[-1] if base % 7 == 0 else words)
+            for at in rng.sample(range(len(words)), max(1, round(len(words) * rng.choice([0.006, 0.015, 0.022, 0.06])))):
+                changed[at] = f"x{rng.randrange(10**6)}"
+            rows.append(changed)
+    texts = [" ".join(w) for w in rows]
+    sets = [brute_shingles(t) for t in texts]
+    root, planted = list(range(len(texts))), 0
+    for a in range(len(texts)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            similar = common / (len(sets[a]) + len(sets[b]) - common)
+            if similar >= 0.8:
+                planted += similar < 0.95
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert planted > 100 and 60 < len(set(root)) < len(texts) / 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == set(root)
+
+
 # -- queries and pipeline ----------------------------------------------------------------------------------------------------------
 
 
