@@ -305,6 +305,17 @@ def test_search_recall(spark):
     assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 20 for q in want]) >= 0.9
 
 
+@pytest.mark.parametrize("latent", [5, 8, 16])
+def test_search_recall_of_few_dimensions(spark, latent):
+    rng = np.random.default_rng(latent)
+    x = rng.standard_normal((4000, latent)) @ rng.standard_normal((latent, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute_search(range(len(x)), x, 20)
+    got = found(ann.search(df, F.col("vec_id") % 20 == 0))
+    assert min(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 20 for q in want) >= 0.9
+
+
 def test_search_odd(spark):
     rows = [(k, [1.0, 0.0]) for k in range(1, 30)] + [(0, [2.0, 1.0]), (40, None), (60, [0.0, 0.0]), (80, [float("nan"), 1.0]), (100, [1.0, None]), (120, [float("inf"), 0.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
