@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: A line is boilerplate if it is on more than this share of its host's pages, and on at least MIN_PAGES of them.
-MAX_RATIO = 0.1
+MAX_RATIO = 0.01
 MIN_PAGES = 5
 #: Dropped lines of all hosts (two longs each) up to which they are broadcast; beyond it they are joined.
 BROADCAST_LINES = 1_000_000

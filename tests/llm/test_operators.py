@@ -264,6 +264,19 @@ def test_line_dedup_odd(odd, none, spark, monkeypatch):
     assert linededup.dedup(none, "source").count() == 0
 
 
+def test_line_dedup_default_ratio(spark):
+    """Planted lines on 2, 3 and 9 % of a host's pages go, whatever the host's size; lines of one or two pages stay."""
+    rows, want = [], {}
+    for host, pages in (("small", 400), ("hot", 2000)):
+        for k in range(pages):
+            clean = [f"{host} sentence {k // 2 if k < 20 else k}"]
+            planted = [f"planted {every}" for every in (11, 33, 50) if k % every == 0]
+            rows.append((len(rows), host, "\n".join(planted + clean)))
+            want[len(rows) - 1] = "\n".join(clean)
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup(df, "source").collect()} == want
+
+
 # -- vector search ------------------------------------------------------------------------------------------------------------------
 
 
