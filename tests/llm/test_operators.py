@@ -654,3 +654,9 @@ def test_stages_on_odd_documents(spark, odd, none):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "").columns == docs.columns, name
         assert stage(spark, docs.filter("false"), "").count() == 0, name
+
+
+def test_language_stage_without_labels(spark, odd):
+    docs = odd.withColumn("lang", F.lit(None).cast("string"))
+    got = corpus_pipeline.identify_language(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 1, 5, 7] and all(r["lang"] is None for r in got)
