@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 #: Documents handled at once inside a task; bounds a Python worker's memory whatever Spark's batch size is.
 SLICE_ROWS = 256
 SLICE_BYTES = 8 << 20
+#: Rows of a few numbers up to which a counted table is broadcast, some 50 MB; beyond it is joined.
+BROADCAST_ROWS = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +42,11 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """df, to be broadcast only if it is counted to have at most limit rows, which must be small each."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if limit is None else limit) else df
+
+
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """The same as a table bucketed by key: a later grouping by key reads it without a shuffle."""
     spark = df.sparkSession

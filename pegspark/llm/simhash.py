@@ -2,23 +2,26 @@
 
 A 64-bit fingerprint is mapped to the number of set bits in each of its 32 two-bit segments. The Manhattan distance of
 two such points never exceeds the fingerprints' Hamming distance, so points farther apart than the limit cannot link. The
-grid: the embedding is halved; a distance of at most 3 leaves at most 1 to one of the halves, so a pair meets in a cell
-of a half (16 counts) or in a neighbouring cell, where one count is greater by one. Pairs that meet are verified on the
-full fingerprints. Only distinct fingerprints are joined; a cell with very many is compared in bounded blocks, each of
-which returns a spanning forest of its links instead of the pairs.
+grid: the segments are cut into parts; a distance of at most 3 leaves all but 3 parts equal, so a pair meets in the cell
+of some choice of parts without those 3. More parts make finer and more cells; their number follows from the number of
+fingerprints. Pairs that meet are tested by Manhattan distance and verified on the full fingerprints. Only distinct
+fingerprints are joined; a cell with very many is compared in bounded blocks, each of which returns a spanning forest of
+its links instead of the pairs.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices, table
+from .common import BROADCAST_ROWS, few, slices, table
 
 SEED = 42
 SHINGLE = 3
@@ -26,9 +29,16 @@ MAX_DISTANCE = 3
 #: Fingerprints in one cell beyond which the cell is compared in blocks of BLOCK rows.
 HOT_CELL = 1000
 BLOCK = 2048
+#: Nodes of a task's links contracted at once, and partitions of a round with few links.
+CHUNK = 1 << 18
+LITTLE_PARTS = 8
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_EVEN = 0x55555555
+_EVEN = 0x5555555555555555
+SEGMENTS = 32
+#: Numbers of parts to choose from, and the chance that two unrelated fingerprints have one segment count in common.
+PARTS = (6, 8, 10, 12, 14)
+SAME_COUNT = 0.375
 
 
 def fingerprint(text: bytes) -> int:
@@ -51,31 +61,51 @@ def _ones(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
+def mark(text: Column) -> Column:
+    """A hash of a text that tells rows of one id apart."""
+    return F.xxhash64(text)
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         texts = batch["text"].cast(pa.binary()).to_pylist()
-        yield pa.record_batch([batch["id"], pa.array([fingerprint(t or b"") for t in texts], pa.int64())], ["id", "fp"])
+        yield pa.record_batch([batch["id"], batch["mark"], pa.array([fingerprint(t or b"") for t in texts], pa.int64())], ["id", "mark", "fp"])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp (signed 64-bit) of each row; a null text counts as empty."""
+    """id, mark and fp (signed 64-bit) of each row; a null text counts as empty."""
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, f"id {kind}, fp long")
+    text = F.col(text_col).cast("string")
+    rows = df.select(F.col(id_col).alias("id"), mark(text).alias("mark"), text.alias("text"))
+    return rows.mapInArrow(_fingerprints, f"id {kind}, mark long, fp long")
+
+
+def embedding(fp: Column) -> Column:
+    """The 32 segment counts in one long, two bits each: 0 as 00, 1 as 01, 2 as 11.
+
+    So written, the Manhattan distance of two points is the number of bits in which they differ.
+    """
+    other = F.shiftrightunsigned(fp, 1)
+    one = fp.bitwiseOR(other).bitwiseAND(F.lit(_EVEN))
+    return one.bitwiseOR(F.shiftleft(fp.bitwiseAND(other).bitwiseAND(F.lit(_EVEN)), 1))
+
+
+def grids(parts: int, limit: int) -> list[int]:
+    """For each choice of parts that may be the equal ones, the mask (signed) of their segments."""
+    edges = [SEGMENTS * k // parts for k in range(parts + 1)]
+    masks = [(1 << 2 * b) - (1 << 2 * a) for a, b in zip(edges, edges[1:])]
+    return [m - (m >> 63 << 64) for chosen in combinations(masks, parts - limit) for m in [sum(chosen)]]
 
 
-def _embedding(half: Column) -> Column:
-    """The 16 segment counts of 32 bits, two bits each, in one long."""
-    return half.bitwiseAND(F.lit(_EVEN)) + F.shiftright(half, 1).bitwiseAND(F.lit(_EVEN))
+def choose_parts(n: int, limit: int) -> int:
+    """The number of parts with the fewest cells and expected meetings of n unrelated fingerprints."""
 
+    def cost(parts: int) -> float:
+        edges = [SEGMENTS * k // parts for k in range(parts + 1)]
+        least = sum(sorted(b - a for a, b in zip(edges, edges[1:]))[: parts - limit])
+        return comb(parts, limit) * (n + n * n / 2 * SAME_COUNT**least)
 
-def _cells(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Own cells of each fp (one per half), and the cells to look in: its own and those greater by one in one count."""
-    halves = F.array(F.shiftrightunsigned(F.col("fp"), 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    own = points.select("fp", F.posexplode(halves).alias("half", "bits")).select("fp", "half", _embedding(F.col("bits")).alias("cell"))
-    steps = [F.when(F.shiftright("cell", 2 * k).bitwiseAND(F.lit(3)) < 2, F.col("cell") + F.lit(1 << 2 * k)) for k in range(16)]
-    look = own.select("fp", "half", F.explode(F.array_compact(F.array(F.col("cell"), *steps))).alias("cell"))
-    return own, look
+    return min((p for p in PARTS if p > limit and comb(p, limit) <= 1000), key=cost)
 
 
 def _forest(values: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -101,51 +131,79 @@ def _block_links(limit: int):
     return run
 
 
-def links(points: DataFrame, limit: int = MAX_DISTANCE, hot_cell: int = HOT_CELL, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between distinct fingerprints: every pair within limit is linked or joined by a chain of links."""
-    if not 0 <= limit <= 3:
-        raise ValueError("the two halves cover distances up to 3")
-    own, look = _cells(points)
-    sizes = own.groupBy("half", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > hot_cell)
-    hot = table(sizes, "simhash-hot")
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit
+def deal(rows: DataFrame, by: str, group: list[str]) -> DataFrame:
+    """rows, of groups in k blocks each, once for every pair of blocks i <= j of the group that has the row's own."""
+    dealt = rows.withColumn("mine", F.pmod(F.xxhash64(by), F.col("k")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("mine", "other", "k")
+
+
+def links(points: DataFrame, limit: int = MAX_DISTANCE, hot_cell: int = HOT_CELL, block: int = BLOCK, parts: int | None = None) -> DataFrame:
+    """Links (a, b) between distinct fingerprints: every pair within limit is linked or joined by a chain of links.
+
+    parts is chosen by the count of points if left out; results are the same for any.
+    """
+    if not 0 <= limit <= 6:
+        raise ValueError("distances up to 6 can be searched")
+    masks = grids(parts or choose_parts(points.count(), limit), limit)
+    own = points.select("fp", embedding(F.col("fp")).alias("point"))
+    own = own.select("fp", "point", F.posexplode(F.array(*(F.col("point").bitwiseAND(F.lit(m)) for m in masks))).alias("grid", "cell"))
+    hot = table(own.groupBy("grid", "cell").agg(F.count("*").alias("m")).filter(F.col("m") > hot_cell), "simhash-hot")
     crowded = not hot.isEmpty()
-    if crowded:
-        look_cool, own_cool = look.join(hot, ["half", "cell"], "left_anti"), own.join(hot, ["half", "cell"], "left_anti")
-    else:
-        look_cool, own_cool = look, own
-    pairs = look_cool.withColumnRenamed("fp", "a").join(own_cool.withColumnRenamed("fp", "b"), ["half", "cell"])
-    found = pairs.select("a", "b").filter((F.col("a") != F.col("b")) & apart)
-    if crowded:  # all that look into a hot cell, in blocks; each pair of blocks is one group of at most 2 * block rows
-        width = F.ceil(F.col("m") / F.lit(block)).cast("int")
-        seekers = look.join(hot, ["half", "cell"], "left_semi")
-        many = seekers.groupBy("half", "cell").agg(F.count("*").alias("m"))
-        mine = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
-        dealt = seekers.join(many, ["half", "cell"]).withColumn("k", width).withColumn("mine", mine)
-        dealt = dealt.select("fp", "half", "cell", "mine", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-        dealt = dealt.select("fp", "half", "cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-        found = found.unionByName(dealt.groupBy("half", "cell", "i", "j").applyInArrow(_block_links(limit), "a long, b long"))
+    cool = own.join(few(hot), ["grid", "cell"], "left_anti") if crowded else own
+    pairs = cool.select("grid", "cell", F.col("fp").alias("a"), F.col("point").alias("p")).join(cool.select("grid", "cell", F.col("fp").alias("b"), F.col("point").alias("q")), ["grid", "cell"])
+    apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= limit
+    found = pairs.filter((F.col("a") < F.col("b")) & apart("p", "q") & apart("a", "b")).select("a", "b")
+    if crowded:  # all in a hot cell, in blocks; each pair of blocks is one group of about 2 * block rows
+        many = own.select("fp", "grid", "cell").join(few(hot), ["grid", "cell"]).withColumn("k", F.ceil(F.col("m") / F.lit(block)).cast("int")).drop("m")
+        found = found.unionByName(deal(many, "fp", ["grid", "cell"]).groupBy("grid", "cell", "i", "j").applyInArrow(_block_links(limit), "a long, b long"))
     return found
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of one task as stars: within at most CHUNK nodes at once, each node is linked to the smallest it reaches."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    def stars() -> pa.RecordBatch:
+        pairs = [(x, top(x)) for x in list(up)]
+        up.clear()
+        return pa.record_batch([pa.array([x for x, r in pairs if x != r], pa.int64()), pa.array([r for x, r in pairs if x != r], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for x, y in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
+            x, y = sorted((top(x), top(y)))
+            up[y] = x
+        if len(up) >= CHUNK:
+            yield stars()
+    yield stars()
+
+
 def roots(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root: the smallest node of each linked node's component, by alternating large and small stars.
 
-    Each round replaces links by links to smaller nodes; minima are taken by aggregation, so that no task holds a node's
-    neighbours. Rounds grow with the logarithm of the longest chain; each is checkpointed.
+    Links are first contracted within their tasks. Each round replaces links by links to smaller nodes; minima are taken
+    by aggregation, so that no task holds a node's neighbours. Rounds grow with the logarithm of the longest chain; each
+    is written to the shared folder.
     """
-    edges = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
+    edges = table(edges.mapInArrow(_contract, "a long, b long").distinct(), "links")
     mark = _mark(edges)
     for _ in range(max_rounds):
         if not mark[0]:
             break
+        little = mark[0] <= BROADCAST_ROWS  # what is joined then has at most two rows for each link
+        hint = F.broadcast if little else lambda x: x
         ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = edges.select(F.col("b").alias("u"), F.col("a").alias("v")).join(least.select(F.col("a").alias("u"), "m"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(small, "a")
+        least = ways.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = edges.select(F.col("b").alias("u"), F.col("a").alias("v")).join(hint(least), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        joined = large.join(hint(large.groupBy("a").agg(F.min("b").alias("m"))), "a")
         edges = joined.select("a", F.col("m").alias("b")).unionByName(joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        edges = checkpoint(edges)
+        edges = table(edges.coalesce(LITTLE_PARTS) if little else edges, "links")
         now = _mark(edges)
         if now == mark:
             break
@@ -160,32 +218,49 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
+def _classes(rows: DataFrame, limit: int, **options) -> DataFrame:
+    """rows (id, fp and more) with component_id."""
+    points = table(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-points")
+    found = roots(links(points.select("fp"), limit, **options))
+    named = points.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(named.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "fp")
+
+
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_DISTANCE, **options) -> DataFrame:
     """id_col, fingerprint (16 lowercase hex digits) and component_id, the smallest id reachable, of each row.
 
     Null and wordless texts share the fingerprint zero. Repeated rows give repeated results; null ids are linked but
     never smallest (a component of null ids only has a null component_id); an empty table gives no rows; other columns
-    are not read.
+    are not read. A very long text is read whole, its shingles counted in pieces.
     """
-    rows = table(fingerprints(df, id_col, text_col), "simhash-fingerprints")
-    points = table(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-points")
-    found = roots(links(points.select("fp"), limit, **options))
-    named = points.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(classes, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    found = _classes(table(fingerprints(df, id_col, text_col), "simhash-fingerprints"), limit, **options)
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_DISTANCE, **options) -> DataFrame:
     """The rows of df without near copies: of each component the document with the smallest id stays, once.
 
-    Rows with a null id cannot be told apart and stay.
+    Rows with a null id take no part: they stay, and no row goes because of them.
     """
-    return first_rows(df, components(df, id_col, text_col, limit, **options), id_col, text_col)
+    known = df.filter(F.col(f"`{id_col}`").isNotNull())
+    return keep_first(df, _classes(table(fingerprints(known, id_col, text_col), "simhash-fingerprints"), limit, **options), id_col, text_col)
+
 
+def keep_first(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of df but those that found (id, mark, component_id) puts behind another id; repeated rows stay once.
 
-def first_rows(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of df whose id is the component_id of its component in found, once each."""
-    chosen = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_chosen")).distinct()
-    return df.join(chosen, df[id_col].eqNullSafe(chosen["_chosen"]), "left_semi").dropDuplicates([id_col, text_col])
+    What goes is joined, not what stays, so that texts are shuffled only where very much goes.
+    """
+    found = table(found.select("id", "mark", "component_id"), "near-classes")
+
+    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        key = few(keys.select(F.struct("id", "mark").alias("_key")))
+        text = rows[text_col].cast("string")
+        return rows.join(key, (rows[id_col] == key["_key"]["id"]) & (mark(text) == key["_key"]["mark"]), how)
+
+    kept = among(df, found.filter("id <> component_id"), "left_anti")
+    again = table(found.filter("id = component_id").groupBy("id", "mark").count().filter("count > 1"), "near-repeated")
+    if again.isEmpty():
+        return kept
+    return among(kept, again, "left_anti").unionByName(among(kept, again, "left_semi").dropDuplicates([id_col, text_col]))
