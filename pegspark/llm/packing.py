@@ -8,8 +8,10 @@ pass cuts documents at window boundaries without moving any row. All windows but
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +26,106 @@ END_ID = 1
 SPECIAL = "<|endoftext|>"
 #: One row of 16 bytes per task of the scan; beyond this many tasks the totals are joined instead of broadcast.
 BROADCAST_TASKS = 1_000_000
+#: Characters encoded at once. A longer text is cut where a word ends and a space and a letter follow, which no word spans.
+LONG = 1 << 19
+#: Runs of equal bytes up to which a word beyond LONG is merged run by run.
+MANY_RUNS = 10_000
+_CUT = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z])")
+
+
+class Coder:
+    """A byte-level BPE from a rank file; the special token takes the id after the last rank."""
+
+    def __init__(self, ranks_path: str, pattern: str, special: str = SPECIAL):
+        import tiktoken
+
+        with open(ranks_path, "rb") as f:
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.pattern, self.special, self.special_id = pattern, special, max(self.ranks.values()) + 1
+        self.fast = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={special: self.special_id})
+
+    @property
+    def size(self) -> int:
+        return self.fast.n_vocab
+
+    def token_bytes(self, k: int) -> bytes:
+        return self.fast.decode_single_token_bytes(k)
+
+    def encode(self, text: str, special: bool = True) -> np.ndarray:
+        """Ids of a text of any length; special says whether the special token's text stands for its id."""
+        one = (lambda t: self.fast.encode(t, allowed_special="all")) if special else self.fast.encode_ordinary
+        if len(text) <= LONG:
+            return np.array(one(text), np.uint32)
+        out = []
+        for piece in self._pieces(text):
+            if len(piece) <= LONG:
+                out.append(np.array(one(piece), np.uint32))
+                continue
+            parts = piece.split(self.special) if special else [piece]
+            for k, part in enumerate(parts):
+                out += [np.array([self.special_id], np.uint32)] * (k > 0) + self._words(part)
+        return np.concatenate(out)
+
+    @staticmethod
+    def _pieces(text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > LONG:
+            found = None
+            for begin in (at + LONG - LONG // 64, at + LONG // 2, at + LONG):  # just before LONG, before it, or wherever it can be
+                found = _CUT.search(text, begin, at + LONG if begin < at + LONG else len(text))
+                if found:
+                    break
+            if not found:
+                break
+            yield text[at : found.end()]
+            at = found.end()
+        yield text[at:]
+
+    def _words(self, text: str) -> list[np.ndarray]:
+        """The same for a text with words so long that the library's splitter or merging cannot take them."""
+        import regex
+
+        out = []
+        for word in regex.finditer(self.pattern, text):
+            data = word[0].encode()
+            runs = [(bytes([b]), sum(1 for _ in g)) for b, g in groupby(data)] if len(data) > LONG and len(set(data)) < 8 else []
+            if runs and len(runs) <= MANY_RUNS:
+                out.append(self._merge_runs(runs))
+            else:
+                out.append(np.array(self.fast._encode_single_piece(data), np.uint32))
+        return out
+
+    def _merge_runs(self, runs: list[tuple[bytes, int]]) -> np.ndarray:
+        """A word of few runs of equal bytes: the pair of lowest rank is merged, everywhere, until no pair has a rank."""
+        while True:
+            pairs = {t + t for t, n in runs if n > 1} | {a + b for (a, _), (b, _) in zip(runs, runs[1:])}
+            best = min((p for p in pairs if p in self.ranks), key=self.ranks.__getitem__, default=None)
+            if best is None:
+                return np.concatenate([np.full(n, self.ranks[t], np.uint32) for t, n in runs])
+            made: list[tuple[bytes, int]] = []
+
+            def put(token: bytes, n: int) -> None:
+                if n and made and made[-1][0] == token:
+                    made[-1] = (token, made[-1][1] + n)
+                elif n:
+                    made.append((token, n))
+
+            for token, n in runs:
+                if made and made[-1][0] != token and made[-1][0] + token == best:
+                    last, m = made.pop()
+                    put(last, m - 1)
+                    put(best, 1)
+                    n -= 1
+                if token + token == best:
+                    put(best, n // 2)
+                    n %= 2
+                put(token, n)
+            runs = made
 
 
 @lru_cache(2)
-def byte_bpe(ranks_path: str, pattern: str, special: str = SPECIAL):
-    """The byte-level BPE of a rank file; the special token takes the id after the last rank."""
-    import tiktoken
-
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={special: max(ranks.values()) + 1})
+def byte_bpe(ranks_path: str, pattern: str, special: str = SPECIAL) -> Coder:
+    return Coder(ranks_path, pattern, special)
 
 
 def default_ranks() -> tuple[str, str]:
@@ -48,8 +140,8 @@ def _encode(ranks: tuple[str, str], end_id: int):
         for batch in slices(batches):
             ids, starts, counts = [], [], []
             for text in batch["text"].to_pylist():
-                one = np.array([*coder.encode(text or "", allowed_special="all"), end_id], "<u4")
-                ids.append(one.astype("<u2").tobytes() if coder.n_vocab <= 65536 else one.tobytes())
+                one = np.append(coder.encode(text or ""), np.uint32(end_id))
+                ids.append(one.astype("<u2" if coder.size <= 65536 else "<u4").tobytes())
                 starts.append(start)
                 counts.append(len(one))
                 start += len(one)
@@ -87,7 +179,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     """One row per piece: id_col, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
 
     A null or empty text has only end_id. Repeated rows are packed each; an empty table gives no pieces; other columns
-    are not read. Ids are those of the byte-level BPE in ranks (a rank file and its splitting pattern).
+    are not read. Ids are those of the byte-level BPE in ranks (a rank file and its splitting pattern). A text of any
+    length is one document: it is encoded in parts, and its pieces fill as many sequences as they need.
     """
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -35,43 +35,63 @@ def allocate(sizes: np.ndarray, ends: np.ndarray, rule: str) -> tuple[np.ndarray
     last = np.searchsorted(ends, stop - 1, "right")
     whole = first == last
     got = np.bincount(first[whole], minlength=n).astype(float)
-    crossing = np.zeros(n, np.int64)
-    for s, e, a, b in zip(start[~whole], stop[~whole], first[~whole], last[~whole]):
-        edges = np.concatenate(([s], ends[a:b], [e]))
-        share = np.diff(edges)
-        crossing[a : b + 1] += share > 0
-        if rule == "first":
-            got[a] += 1
-        elif rule == "last":
-            got[b] += 1
-        elif rule == "largest":
-            got[a + int(np.argmax(share))] += 1
-        else:
-            got[a : b + 1] += share / (e - s)
+    s, e, a, b = start[~whole], stop[~whole], first[~whole], last[~whole]
+    if not len(s):
+        return got, np.zeros(n, np.int64)
+    many = b - a + 1  # a row for each crossing token and part from its first to its last
+    head = np.cumsum(many) - many
+    token = np.repeat(np.arange(len(s)), many)
+    part = np.arange(many.sum()) - head[token] + a[token]
+    share = np.minimum(ends[part], e[token]) - np.maximum(np.concatenate(([0], ends))[part], s[token])
+    crossing = np.bincount(part[share > 0], minlength=n)
+    if rule == "first":
+        got += np.bincount(a, minlength=n)
+    elif rule == "last":
+        got += np.bincount(b, minlength=n)
+    elif rule == "largest":
+        most = np.nonzero(share == np.maximum.reduceat(share, head)[token])[0]
+        got += np.bincount(part[most[np.unique(token[most], return_index=True)[1]]], minlength=n)
+    else:
+        got += np.bincount(part, weights=share / (e - s)[token], minlength=n)
     return got, crossing
 
 
+#: Parts in one Arrow batch of results.
+OUTPUT_ROWS = 1 << 16
+
+
 def _batches(ranks: tuple[str, str], rule: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = byte_bpe(*ranks)
-        sizes = np.array([len(coder.decode_single_token_bytes(k)) for k in range(coder.n_vocab)], np.int64)
+        sizes = np.array([len(coder.token_bytes(k)) for k in range(coder.size)], np.int64)
+        held: list[list[np.ndarray]] = []
+
+        def full(ids: pa.Array) -> pa.RecordBatch:
+            of, *columns = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            return pa.record_batch([ids.take(pa.array(of)), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["id", "part", "start_byte", "end_byte", "n_tokens", "n_crossing", "doc_tokens"])
+
         for batch in slices(batches):
-            of, part, begin, end, tokens, crossing, total = [], [], [], [], [], [], []
-            for row, (text, lengths) in enumerate(zip(batch["text"].to_pylist(), batch["lengths"].to_pylist())):
-                if not lengths:
+            rows = 0
+            for row in range(batch.num_rows):
+                lengths = batch["lengths"][row].values
+                if lengths is None or not len(lengths):
                     continue
-                ids = coder.encode_ordinary(text or "")
-                ends = np.cumsum(np.array(lengths, np.int64))
-                got, crossed = allocate(sizes[ids] if ids else np.zeros(0, np.int64), ends, rule)
-                of += [row] * len(lengths)
-                part += range(len(lengths))
-                begin += (ends - lengths).tolist()
-                end += ends.tolist()
-                tokens += got.tolist()
-                crossing += crossed.tolist()
-                total += [len(ids)] * len(lengths)
-            columns = [pa.array(part, pa.int32()), pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(tokens, pa.float64()), pa.array(crossing, pa.int64()), pa.array(total, pa.int64())]
-            yield pa.record_batch([batch["id"].take(pa.array(of, pa.int32())), *columns], ["id", "part", "start_byte", "end_byte", "n_tokens", "n_crossing", "doc_tokens"])
+                lengths = lengths.to_numpy()
+                ids = coder.encode(batch["text"][row].as_py() or "", special=False)
+                ends = np.cumsum(lengths)
+                got, crossed = allocate(sizes[ids], ends, rule)
+                for at in range(0, len(ends), OUTPUT_ROWS):
+                    own = slice(at, at + OUTPUT_ROWS)
+                    n = len(ends[own])
+                    held.append([np.full(n, row, np.int32), np.arange(at, at + n), (ends - lengths)[own], ends[own], got[own], crossed[own], np.full(n, len(ids))])
+                    rows += n
+                    if rows >= OUTPUT_ROWS:
+                        yield full(batch["id"])
+                        rows = 0
+            if held:
+                yield full(batch["id"])
 
     return run
 
@@ -94,7 +114,8 @@ def count_sections(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A section is a stretch between separators, with the separator that ends it. A null or empty text is one empty
     section with no tokens. Special tokens written out in a text are ordinary text. Repeated rows give repeated results,
-    an empty table no rows; other columns are not read.
+    an empty table no rows; other columns are not read. A text of any length is one document, and its sections, however
+    many, leave the task in batches of OUTPUT_ROWS.
     """
     kind = df.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
