@@ -24,6 +24,8 @@ from .common import slices
 MEMORY = 500_000
 NONE = 1 << 60
 _NOT_LATIN = re.compile("[^\x00-\u017f]")
+#: White space that parts words whatever stands around it: no normalisation, lower case or word spans it.
+_SPACES = {k: " " for k in range(9, 14)}
 
 
 def byte_letters() -> list[str]:
@@ -57,6 +59,7 @@ class Codec:
         self.inside = {pair for t in self.ids for u in (t.removesuffix(self.end) if self.end else t,) for pair in zip(u, u[1:])}
         self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.known_foreign: dict[str, tuple[list[bytes], list[str]]] = {}
 
     def _with_classes(self, letter: str, number: str, space: str) -> str:
         return self.pattern.replace(r"\p{L}", letter).replace(r"\p{N}", number).replace(r"\s", space)
@@ -155,20 +158,53 @@ class Codec:
                 ids.append(pack("<I", self.special[part]))
                 said.append(part)
                 continue
-            if _NOT_LATIN.search(part):
-                found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
-                both = [self.word(letters) for letters, _ in found]
-                ids += [b[0] for b in both if b[0]]
-                said += [b[1] for b in both if b[0]]
-                continue
-            words = self.split(part)
-            both = list(map(self.known.get, words))
-            if None in both:
-                both = [b or self.remember(w) for b, w in zip(both, words)]
-            ids += [b[0] for b in both]
-            said += [b[1] for b in both]
+            for stretch, foreign in stretches(part):
+                if foreign:
+                    more, spoken = self.foreign(stretch)
+                    ids += more
+                    said += spoken
+                    continue
+                words = self.split(stretch)
+                both = list(map(self.known.get, words))
+                if None in both:
+                    both = [b or self.remember(w) for b, w in zip(both, words)]
+                ids += [b[0] for b in both]
+                said += [b[1] for b in both]
         return ids, said
 
+    def foreign(self, stretch: str) -> tuple[list[bytes], list[str]]:
+        """Ids and decodings of the words of a stretch without spaces, normalised and split by the library."""
+        both = self.known_foreign.get(stretch)
+        if both is None:
+            found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(stretch))
+            pairs = [pair for letters, _ in found if (pair := self.word(letters))[0]]
+            both = [p[0] for p in pairs], [p[1] for p in pairs]
+            if len(stretch) <= 64:
+                if len(self.known_foreign) >= MEMORY:
+                    self.known_foreign.clear()
+                self.known_foreign[stretch] = both
+        return both
+
+
+def stretches(text: str) -> Iterator[tuple[str, bool]]:
+    """A text in pieces between spaces: those with a character beyond U+017F alone (True), all between them together."""
+    if not _NOT_LATIN.search(text):
+        yield text, False
+        return
+    flat, at = text.translate(_SPACES), 0
+    for found in _NOT_LATIN.finditer(text):
+        if found.start() < at:
+            continue
+        begin = max(at, flat.rfind(" ", at, found.start()) + 1)
+        end = flat.find(" ", found.end())
+        end = len(text) if end < 0 else end
+        if begin > at:
+            yield text[at:begin], False
+        yield text[begin:end], True
+        at = end
+    if at < len(text):
+        yield text[at:], False
+
 
 @lru_cache(2)
 def codec(vocabulary_path: str) -> Codec:
@@ -199,7 +235,8 @@ def transcode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     """id_col, ids (little-endian unsigned 32-bit, packed) and decoded text of each row.
 
     A null text counts as empty: no ids, empty decoding. Repeated rows give repeated results, an empty table no rows;
-    other columns are not read. Special tokens written out in a text become their ids.
+    other columns are not read. Special tokens written out in a text become their ids. A text of any length is encoded
+    whole; a word of n letters takes n log n steps.
     """
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
