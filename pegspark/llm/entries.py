@@ -107,44 +107,47 @@ SELECT doc_id, coalesce(n, 0) AS n_words, round(coalesce(score, 0), 6) AS log_sc
 }
 
 
+#: Levels of the tree that the SQL spells out; the operator has no such limit, and the tables have two.
+SQL_LEVELS = 4
+
+
 def _url_sql() -> str:
-    """The template tree level by level, then its statistics, as one statement."""
-    u, depth = urlfilter, urlfilter.DEPTH
-    seg = [f"CASE WHEN len(parts) > {k} THEN regexp_replace(parts[{k + 1}], '[0-9]+', '*', 'g') END" for k in range(depth)]
-    seg[-1] = f"CASE WHEN len(parts) > {depth} THEN '**' ELSE {seg[-1]} END"
-    lexical = ", ".join(f"s{k}" for k in range(depth))
-    steps = []
-    for k in range(depth):
-        node = ["host", *(f"t{j}" for j in range(k))]
-        same = " AND ".join(f"w.{c} IS NOT DISTINCT FROM x.{c}" for c in node)
+    """The template tree level by level, then its branches, as one statement."""
+    u, steps = urlfilter, []
+    for k in range(1, SQL_LEVELS + 1):
+        child = f"template || '/' || rest[{k}]"
         steps.append(
-            f"w{k} AS (SELECT {', '.join(node)} FROM (SELECT DISTINCT {', '.join(node)}, t{k} FROM x{k} WHERE t{k} IS NOT NULL) GROUP BY ALL HAVING count(*) > {u.MAX_CHILDREN}),"
-            f" x{k + 1} AS (SELECT x.* REPLACE (CASE WHEN w.host IS NOT NULL AND x.t{k} IS NOT NULL THEN '*' ELSE x.t{k} END AS t{k}) FROM x{k} x LEFT JOIN w{k} w ON {same})"
+            f"c{k} AS (SELECT *, CASE WHEN len(rest) >= {k} AND NOT over THEN {child} END AS child FROM l{k - 1}),"
+            f" w{k} AS (SELECT *, CASE WHEN child IS NOT NULL AND sum(pages) OVER (PARTITION BY child) < {u.MIN_PAGES} THEN template || '/*' END AS wild FROM c{k}),"
+            f" l{k} AS (SELECT host, lexical, pages, rest, wild IS NOT NULL AND sum(pages) OVER (PARTITION BY wild) < {u.MIN_PAGES} OR over AS over,"
+            f" CASE WHEN wild IS NOT NULL AND sum(pages) OVER (PARTITION BY wild) < {u.MIN_PAGES} THEN template || '/**' ELSE coalesce(wild, child, template) END AS template FROM w{k})"
         )
-    parent = ", ".join(f"CASE WHEN t{k + 1} IS NOT NULL THEN t{k} END" for k in range(depth - 1))
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}')"
     best = sorted(URL_RULES, key=lambda r: -len(r[1]))
     case = lambda give: "CASE " + " ".join(f"WHEN {fits(*r.split('/', 1))} THEN '{give(v, r)}'" for v, r in best) + " END"
+    prefixes = "list_transform(range(1, len(string_split(template, '/')) + 1), lambda k: array_to_string(list_slice(string_split(template, '/'), 1, k), '/'))"
     return f"""
-WITH p AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
-q AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{u.UPPER}', '{u.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
-r AS (SELECT *, regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS item, list_filter(string_split(path, '/'), lambda s: s <> '') AS parts FROM q),
+WITH p AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS tail FROM pages),
+q AS (SELECT page_id, translate(regexp_extract(tail, '^[^/?#]*'), '{u.UPPER}', '{u.LOWER}') AS host, regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r AS (SELECT *, regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS item,
+    array_to_string(list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: '/' || regexp_replace(s, '[0-9]+', '*', 'g')), '') AS lexical FROM q),
 known AS (SELECT CAST(doc_id AS VARCHAR) AS item, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
-v AS (SELECT page_id, host, path, bad, {", ".join(f"{x} AS s{k}" for k, x in enumerate(seg))} FROM r LEFT JOIN known USING (item)),
-x0 AS (SELECT host, {lexical}, {", ".join(f"s{k} AS t{k}" for k in range(depth))}, count(bad) AS labels, coalesce(sum(bad), 0) AS bad FROM v GROUP BY ALL),
+paths AS (SELECT host, lexical, count(*) AS pages, count(bad) AS labels, coalesce(sum(bad), 0) AS bad FROM r LEFT JOIN known USING (item) GROUP BY ALL),
+l0 AS (SELECT host, lexical, pages, string_split(lexical, '/')[2:] AS rest, false AS over, host AS template FROM paths),
 {", ".join(steps)},
-tree AS (SELECT host, {lexical}, labels, bad, host || '/' || concat_ws('/', {", ".join(f"t{k}" for k in range(depth))}) AS template, host || '/' || concat_ws('/', {parent}) AS parent FROM x{depth}),
-stats AS (SELECT host, parent, template, sum(labels) AS labels, sum(bad) AS bad FROM tree GROUP BY ALL),
-share AS (SELECT CAST(sum(bad) AS DOUBLE) / greatest(1, sum(labels)) AS s FROM stats),
-hosts AS (SELECT host, (sum(bad) + CAST({u.SMOOTHING} AS DOUBLE) * (SELECT s FROM share)) / (sum(labels) + CAST({u.SMOOTHING} AS DOUBLE)) AS prior FROM stats GROUP BY host),
-pool AS (SELECT host, parent, sum(bad) / greatest(sum(labels), 1) AS p FROM stats GROUP BY ALL),
-rated AS (SELECT *, abs(bad - labels * p) <= {u.MERGE_Z} * sqrt(greatest(labels * p * (1 - p), 0.25)) AS alike FROM stats JOIN pool USING (host, parent)),
-merged AS (SELECT host, parent, sum(labels) AS m_labels, sum(bad) AS m_bad FROM rated WHERE alike GROUP BY ALL),
-counted AS (SELECT host, template, prior, CASE WHEN alike THEN m_labels ELSE labels END AS n, CASE WHEN alike THEN m_bad ELSE bad END AS b FROM rated LEFT JOIN merged USING (host, parent) JOIN hosts USING (host)),
-judged AS (SELECT host, template, n >= {u.MIN_LABELS} AND (b + CAST({u.SMOOTHING} AS DOUBLE) * prior) / (n + CAST({u.SMOOTHING} AS DOUBLE)) > {u.MAX_BAD} AS blocked FROM counted),
-final AS (SELECT host, {lexical}, template, blocked FROM tree JOIN judged USING (host, template))
-SELECT page_id, v.host, path, {case(lambda _, r: r)} AS rule, coalesce({case(lambda verdict, _: verdict)}, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict, template
-FROM v LEFT JOIN final f ON v.host = f.host AND {" AND ".join(f"v.s{k} IS NOT DISTINCT FROM f.s{k}" for k in range(depth))}""".replace("(host = ", "(v.host = ").replace("ends_with(host", "ends_with(v.host")
+tree AS (SELECT host, template, sum(labels) AS labels, sum(bad) AS bad FROM l{SQL_LEVELS} JOIN paths USING (host, lexical) GROUP BY ALL),
+ends AS (SELECT host, template, labels, bad, unnest({prefixes}) AS node FROM tree),
+nodes AS (SELECT node, sum(labels) AS n, sum(bad) AS b FROM ends WHERE labels > 0 GROUP BY node),
+own AS (SELECT c.node FROM nodes c JOIN nodes u ON u.node = regexp_replace(c.node, '/[^/]*$', '') AND u.node <> c.node
+    WHERE c.n >= {u.MIN_LABELS} AND abs(c.b - c.n * (u.b / u.n)) > {u.MERGE_Z} * sqrt(greatest(c.n * (u.b / u.n) * (1 - u.b / u.n), 0.25))),
+cut AS (SELECT template, arg_max(node, length(node)) AS branch FROM ends JOIN own USING (node) GROUP BY template),
+merged AS (SELECT host, template, labels, bad, coalesce(branch, host) AS branch FROM tree LEFT JOIN cut USING (template)),
+share AS (SELECT CAST(sum(bad) AS DOUBLE) / greatest(1, sum(labels)) AS s FROM tree),
+hosts AS (SELECT host, (sum(bad) + CAST({u.SMOOTHING} AS DOUBLE) * (SELECT s FROM share)) / (sum(labels) + CAST({u.SMOOTHING} AS DOUBLE)) AS prior FROM tree GROUP BY host),
+judged AS (SELECT branch, sum(labels) >= {u.MIN_LABELS} AND (sum(bad) + CAST({u.SMOOTHING} AS DOUBLE) * any_value(prior)) / (sum(labels) + CAST({u.SMOOTHING} AS DOUBLE)) > {u.MAX_BAD} AS blocked FROM merged JOIN hosts USING (host) GROUP BY branch),
+final AS (SELECT l.host, l.lexical, l.template, blocked FROM l{SQL_LEVELS} l JOIN merged USING (template) JOIN judged USING (branch))
+SELECT page_id, r.host, path, {case(lambda _, r: r)} AS rule, coalesce({case(lambda verdict, _: verdict)}, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict, template
+FROM r JOIN final f ON r.host = f.host AND r.lexical = f.lexical""".replace("(host = ", "(r.host = ").replace("ends_with(host", "ends_with(r.host")
 
 
 def oracle_sql() -> dict[str, str]:
