@@ -1,13 +1,16 @@
 """Nearest neighbours by largest inner product with vantage-point trees, one per shard.
 
-Vectors get one more component, so that the largest inner product is the smallest Euclidean distance. Rows are dealt to
-shards of bounded size and queries to blocks; each (shard, block) is a group that builds the shard's tree and sends the
-whole block down it. A subtree is skipped if the triangle inequality, with the search radius times the relaxation
-factor, rules it out: factor one is exact, smaller factors skip more. The shards' lists are merged per query.
+Vectors get one more component, so that the largest inner product is the smallest Euclidean distance. A bounded number of
+rows are the top-level vantage points; every row belongs to the region of the nearest one, whose radius is kept, and a
+region is cut into shards of bounded size, each with a tree. A query first searches its own region; the distance of its
+last place there is its radius, and it is sent on only to regions that the triangle inequality, with the radius times the
+relaxation factor, cannot rule out; the same test skips subtrees. Factor one is exact, smaller factors skip more. A
+shard's rows come before its queries in one sorted partition, so a tree is built once and queries stream past it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import few, table
 
 NEAREST = 20
 #: Search radius factor of the triangle inequality: 1 is exact on any vectors; how much less loses depends on the table.
 FACTOR = 1.0
-#: Expected rows of a shard, queries of a block, and rows of a leaf.
+#: Top-level vantage points at most: a sample of rows by a hash, fewer for small tables.
+PIVOTS = 1024
+#: Expected rows of a shard, queries that meet one tree before it is built again elsewhere, and rows of a leaf.
 SHARD = 16_384
-BLOCK = 4_096
+BLOCK = 262_144
 LEAF = 128
 #: Scores this close to the last place, for vectors of unit length, are measured exactly before they are dropped.
 SLACK = 1e-9
@@ -58,11 +63,12 @@ def build(points: np.ndarray, leaf: int = LEAF) -> Node:
 class Search:
     """The best k rows of each query so far, and the walk down a tree with all queries at once."""
 
-    def __init__(self, points: np.ndarray, queries: np.ndarray, k: int, factor: float, longest: float = 1.0):
+    def __init__(self, points: np.ndarray, queries: np.ndarray, k: int, factor: float, longest: float = 1.0, bound: np.ndarray | float = np.inf):
         self.points, self.queries, self.k, self.factor = points, queries, k, factor
         self.slack, self.square_slack = SLACK * max(1.0, longest), SLACK * max(1.0, longest * longest)
         self.norms = np.einsum("ij,ij->i", points, points)
-        self.best = np.full((len(queries), k), np.inf)  # squared distances less the query's own square, ascending
+        # squared distances less the query's own square, ascending; none beyond bound is wanted
+        self.best = np.full((len(queries), k), np.inf) if np.isscalar(bound) else np.repeat(bound[:, None], k, axis=1)
         self.own = np.einsum("ij,ij->i", queries, queries)
         self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -98,80 +104,186 @@ class Search:
         return q[keep], r[keep]
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def first_twins(x: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
-    """Places of the rows of x without those that have `most` equal rows with smaller ids: such a row is in no answer."""
-    whole = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
-    which = np.unique(whole, return_inverse=True)[1].ravel()
-    order = np.lexsort((ids, which))
-    place = np.arange(len(order)) - np.searchsorted(which[order], which[order])
-    return np.sort(order[place < most])
+@dataclass(frozen=True)
+class Map:
+    """The regions: lifted vantage points, radii, first shard of each and number of its shards; longest vector."""
 
+    pivots: np.ndarray
+    radius: np.ndarray
+    first: np.ndarray
+    many: np.ndarray
+    longest: float
 
-def _group(k: int, factor: float, leaf: int, longest: float):
-    names = ["query_id", "vec_id", "score"]
+    def lift(self, x: np.ndarray) -> np.ndarray:
+        """Rows, all as long as the longest."""
+        return np.column_stack([x, np.sqrt(np.maximum(self.longest**2 - np.einsum("ij,ij->i", x, x), 0.0))])
 
-    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        if not rows.num_rows or not asked.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        x, y = _matrix(rows["v"]), _matrix(asked["v"])
-        ids, wanted = rows["id"].to_numpy(), asked["id"].to_numpy()
-        few = first_twins(x, ids, k + 1)  # one more: the query itself
-        x, ids = x[few], ids[few]
-        lift = np.sqrt(np.maximum(longest * longest - np.einsum("ij,ij->i", x, x), 0.0))
-        search = Search(np.column_stack([x, lift]), np.column_stack([y, np.zeros(len(y))]), min(k + 1, len(x)), factor, longest)
-        search.walk(build(search.points, leaf), np.arange(len(y)))
+    def aim(self, y: np.ndarray) -> np.ndarray:
+        """Queries, which have no such component; their length does not change an order, so they are made as long."""
+        return np.column_stack([y * (self.longest / np.linalg.norm(y, axis=1))[:, None], np.zeros(len(y))])
+
+    def far(self, z: np.ndarray) -> np.ndarray:
+        """Distances from lifted points to all vantage points."""
+        square = np.einsum("ij,ij->i", z, z)[:, None] + np.einsum("ij,ij->i", self.pivots, self.pivots)[None, :] - 2.0 * (z @ self.pivots.T)
+        return np.sqrt(np.maximum(square, 0.0))
+
+
+def _regions(shared, lifted: bool):
+    """tag, id, v, region and the distance from its vantage point, of rows (lifted) or queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch["v"])
+                far = shared.value.far(shared.value.lift(x) if lifted else shared.value.aim(x))
+                region = far.argmin(axis=1)
+                yield pa.record_batch([batch["tag"], batch["id"], batch["v"], pa.array(region, pa.int32()), pa.array(far[np.arange(len(x)), region])], ["tag", "id", "v", "region", "far"])
+
+    return run
+
+
+def _onward(shared, factor: float):
+    """Queries (with region, kth: the score of their last place, or null) for each other shard that may hold better rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        slack = SLACK * max(1.0, m.longest)
+        for whole in batches:
+            for batch in (whole.slice(at, 1024) for at in range(0, whole.num_rows, 1024)):
+                y = _matrix(batch["v"])
+                kth = batch["kth"].to_numpy(zero_copy_only=False).astype(np.float64)
+                bound = np.where(np.isnan(kth), np.inf, m.longest**2 - 2.0 * kth * (m.longest / np.linalg.norm(y, axis=1)))
+                reach = factor * np.sqrt(np.maximum(bound + m.longest**2, 0.0))
+                near = m.far(m.aim(y)) - m.radius[None, :] <= reach[:, None] + slack
+                near[np.arange(len(y)), batch["region"].to_numpy()] = False
+                q, r = np.nonzero(near)
+                to = np.repeat(np.arange(len(q)), m.many[r])
+                shard = m.first[r][to] + np.arange(len(to)) - (np.cumsum(m.many[r]) - m.many[r])[to]
+                rows = pa.array(q[to])
+                yield pa.record_batch([batch["tag"].take(rows), batch["id"].take(rows), batch["v"].take(rows), pa.array(shard, pa.int32()), pa.array(bound[q[to]])], ["tag", "id", "v", "shard", "bound"])
+
+    return run
+
+
+def _walked(shared, k: int, factor: float, leaf: int):
+    """A sorted partition: of each shard and block first the rows, then the queries (asks), which stream past the tree."""
+
+    def answer(index: tuple[np.ndarray, ...], tree: Node, points: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+        tags, ids, x = index
+        y, asked = _matrix(batch["v"]), batch["tag"].to_numpy()
+        search = Search(points, shared.value.aim(y), min(k + 1, len(x)), factor, shared.value.longest, batch["bound"].to_numpy())
+        search.walk(tree, np.arange(len(y)))
         q, r = search.found()
-        out: list[list[np.ndarray]] = [[], [], []]
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         for part in np.array_split(np.arange(len(q)), max(1, len(q) >> 16)):
-            other = ids[r[part]] != wanted[q[part]]
-            a, b = q[part][other], r[part][other]
-            for column, values in zip(out, (wanted[a], ids[b], (y[a] * x[b]).sum(axis=1))):
+            a, b = q[part], r[part]
+            other = tags[b] != asked[a]
+            for column, values in zip(out, (a[other], b[other], (y[a[other]] * x[b[other]]).sum(axis=1))):
                 column.append(values)
-        query, vec, score = (np.concatenate(c) for c in out)
-        order = np.lexsort((vec, -score, query))
-        query, vec, score = query[order], vec[order], score[order]
-        place = np.arange(len(query)) - np.searchsorted(query, query)
-        top = place < k
-        return pa.table(dict(zip(names, (query[top], vec[top], score[top]))))
+        query, row, score = (np.concatenate(c) for c in out)
+        order = np.lexsort((tags[row], ids[row], -score, query))
+        query, row, score = query[order], row[order], score[order]
+        top = np.arange(len(query)) - np.searchsorted(query, query) < k
+        query, row = query[top], row[top]
+        return pa.record_batch([pa.array(asked[query]), batch["id"].take(pa.array(query)), pa.array(tags[row]), pa.array(ids[row]), pa.array(score[top])], ["q_tag", "query_id", "tag", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, built = None, [], None
+        for batch in batches:
+            keys = np.stack([batch["shard"].to_numpy(), batch["block"].to_numpy(), batch["asks"].to_numpy(zero_copy_only=False).astype(np.int32)], 1)
+            edges = [0, *(np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if now != (key := tuple(keys[a, :2])):
+                    now, parts, built = key, [], None
+                part = batch.slice(a, b - a)
+                if not keys[a, 2]:
+                    parts.append((part["tag"].to_numpy(), part["id"].to_numpy(), _matrix(part["v"])))
+                elif parts:
+                    if built is None:
+                        index = tuple(np.concatenate(c) for c in zip(*parts))
+                        points = shared.value.lift(index[2])
+                        built = index, build(points, leaf), points
+                    yield answer(*built, part)
 
     return run
 
 
+_FOUND = "q_tag long, query_id long, tag long, vec_id long, score double"
+
+
+def _search(index: DataFrame, asked: DataFrame, block: int, walked) -> DataFrame:
+    """asked (with shard and bound) sent past the trees of index; a shard's rows are copied for each block of its queries."""
+    asked = table(asked, "ann-visits")
+    blocks = few(asked.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("k")))
+    rows = index.join(blocks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"), F.lit(False).alias("asks"), "tag", "id", "v", F.lit(0.0).alias("bound"))
+    sent = asked.join(blocks, "shard").select("shard", F.pmod(F.xxhash64("tag"), F.col("k")).cast("int").alias("block"), F.lit(True).alias("asks"), "tag", "id", "v", "bound")
+    return rows.unionByName(sent).repartition("shard", "block").sortWithinPartitions("shard", "block", "asks").mapInArrow(walked, _FOUND)
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector takes part: not null, not zero, and without null or non-finite components."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, factor: float = FACTOR, shard: int = SHARD, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
+def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, factor: float = FACTOR, shard: int = SHARD, block: int = BLOCK, leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
     """For each row where queries holds: query_id, rank (from 1), vec_id and score of its k nearest among all other rows.
 
     Ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite components take no part, nor do
-    rows with a null id or of another length than most; repeated rows count once, and of rows with one id but different
-    vectors the one with the smallest vector counts. Fewer candidates give fewer rows, an empty table none. Every row
-    is indexed; with factor 1 the result is exact.
+    rows with a null id; vectors of another length than the query's are no candidates of it, so each length is a table of
+    its own. Repeated rows and rows that share an id are rows of their own: each asks, and each may be found. Fewer
+    candidates give fewer rows, an empty table none; other columns are not read. Every row is indexed but those that no
+    answer can hold: of equal vectors the k + 1 with the smallest ids. With factor 1 the result is exact.
     """
-    vector = F.col(vector_col).cast("array<double>")
-    rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vector.alias("v"), queries.alias("asks")).filter(usable(F.col("v")))
-    rows = table(rows.groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks")), "ann-vectors")
+    vector = F.col(f"`{vector_col}`").cast("array<double>")
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), vector.alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).filter(F.col("id").isNotNull() & usable(F.col("v")))
+    rows = table(rows.withColumn("tag", F.monotonically_increasing_id()), "ann-vectors")
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    facts = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.sum(F.col("asks").cast("long")).alias("asks"), F.max(size).alias("longest"))
-    most = facts.orderBy(F.desc("rows"), "n").first()
-    n, asks, longest = (0, 0, 0.0) if most is None else (most["rows"], most["asks"] or 0, most["longest"])
-    rows = rows.filter(F.size("v") == F.lit(most["n"] if most else -1))
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-asks // block))
-    dealt = lambda seed, parts: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    index = rows.select("id", "v", dealt(1, shards).alias("shard"), every(blocks).alias("block"))
-    asked = rows.filter("asks").select("id", "v", dealt(2, blocks).alias("block"), every(shards).alias("shard"))
-    found = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_group(k, factor, leaf, longest * (1 + 1e-12)), "query_id long, vec_id long, score double")
-    if shards > 1:
-        found = table(found, "ann-shards")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.max(size).alias("longest")).orderBy("n").collect()
+    found = None
+    for one in lengths:  # one a length of vectors
+        part = _one_length(rows.filter(F.size("v") == one["n"]), one["rows"], one["longest"] * (1 + 1e-12), k, factor, shard, block, leaf, pivots)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def _one_length(rows: DataFrame, n: int, longest: float, k: int, factor: float, shard: int, block: int, leaf: int, pivots: int) -> DataFrame:
+    spark = rows.sparkSession
+    twin = Window.partitionBy("v").orderBy("id", "tag")
+    index = rows.withColumn("place", F.row_number().over(twin)).filter(F.col("place") <= k + 1)
+    many = max(1, min(pivots, n // shard))
+    chosen = rows.select("v").orderBy(F.xxhash64("tag", F.lit(1))).limit(many).collect()
+    at = Map(np.zeros((0, 0)), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), longest)
+    start = spark.sparkContext.broadcast(Map(at.lift(np.unique(np.array([r["v"] for r in chosen]), axis=0)), *(np.zeros(0, np.int64),) * 3, longest))
+    placed = "tag long, id long, v array<double>, region int, far double"
+    index = table(index.select("tag", "id", "v").mapInArrow(_regions(start, True), placed), "ann-regions")
+    facts = {r["region"]: r for r in index.groupBy("region").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # one of each vantage point
+    places = range(len(start.value.pivots))
+    sizes = np.array([-(-facts[p]["n"] // shard) if p in facts else 0 for p in places], np.int64)
+    radius = np.array([facts[p]["far"] if p in facts else -np.inf for p in places]) + SLACK * max(1.0, longest)
+    shared = spark.sparkContext.broadcast(Map(start.value.pivots, radius, np.cumsum(sizes) - sizes, sizes, longest))
+    known = [(p, int(shared.value.first[p]), int(sizes[p])) for p in places if sizes[p]]
+    shards = F.broadcast(spark.createDataFrame(known, "region int, first int, many int"))  # one row of each vantage point
+    index = index.join(shards, "region").select("tag", "id", "v", (F.col("first") + F.pmod(F.xxhash64("tag"), F.col("many"))).cast("int").alias("shard"))
+
+    walked = _walked(shared, k, factor, leaf)
+    asked = table(rows.filter("asks").select("tag", "id", "v").mapInArrow(_regions(shared, False), placed).drop("far"), "ann-queries")
+    home = F.explode(F.sequence("first", F.col("first") + F.col("many") - 1)).alias("shard")
+    own = asked.join(shards, "region").select("tag", "id", "v", home, F.lit(float("inf")).alias("bound"))
+    best = Window.partitionBy("q_tag").orderBy(F.desc("score"), "vec_id", "tag")
+    top = lambda df: df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    found = _search(index, own, block, walked)
+    if len(known) > 1:
+        first = table(top(found), "ann-home")
+        kth = first.filter(F.col("rank") == k).select(F.col("q_tag").alias("tag"), F.col("score").alias("kth"))
+        onward = asked.join(kth, "tag", "left").mapInArrow(_onward(shared, factor), "tag long, id long, v array<double>, shard int, bound double")
+        found = first.drop("rank").unionByName(_search(index, onward, block, walked))
+    return top(table(found, "ann-found") if sizes.sum() > 1 else found)
