@@ -13,11 +13,23 @@ from .syntax import Alt, Any, Byte, Extract, Isnt, Joined, Minus, NoneOf, OneOf,
 from .vocabulary import CHARACTERS, SAME_CHARACTER
 
 EXTRACT = "<extract>"
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 200_000))
+#: Rules within rules that are followed; deeper, a text is refused with that reason. A rule takes few Python frames, which
+#: are kept on the heap.
+DEEPEST = 1_000_000
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 40 * DEEPEST))
+#: Remembered results of rules beyond which a search for hits forgets those it has passed.
+MEMORY = 100_000
 Found = tuple[int, tuple, tuple]
 _NAMES = {c: name for name, c in CHARACTERS.items() if name not in SAME_CHARACTER}
 
 
+class TooDeep(Exception):
+    """A text nests deeper than DEEPEST; at is where."""
+
+    def __init__(self, at: int):
+        self.at = at
+
+
 def describe(byte: int) -> str:
     if 0x20 <= byte <= 0x7E:
         return f'"{chr(byte)}" (0x{byte:02X})'
@@ -67,6 +79,8 @@ class Matcher:
                         self.expected |= labels
                 return found
             before = self.furthest
+            if len(self.stack) >= DEEPEST:
+                raise TooDeep(at)
             self.stack.append(name)
             got = body(at)
             self.stack.pop()
@@ -262,10 +276,32 @@ def _label(e) -> str:
     return "pattern"
 
 
+def accepts(m: Matcher, data: bytes) -> bool:
+    """Whether the whole input matches; one that nests too deep does not."""
+    return prefix(m, data) == len(data)
+
+
+def prefix(m: Matcher, data: bytes) -> int:
+    """Bytes matched from the start, or -1."""
+    m.begin(data, quiet=True)
+    try:
+        got = m.entry(0)
+    except TooDeep:
+        return -1
+    return -1 if got is None else got[0]
+
+
 def whole(m: Matcher, data: bytes) -> dict:
-    """A full match, or the report of the furthest failure and of what was matched before it."""
+    """A full match, or the report of the furthest failure and of what was matched before it.
+
+    Where the input nests too deep, that is the failure, with nothing matched before it.
+    """
     m.begin(data)
-    got = m.entry(0)
+    try:
+        got = m.entry(0)
+    except TooDeep as deep:
+        got, m.best = None, (0, (), ())
+        m.furthest, m.expected, m.where = deep.at, {f"at most {DEEPEST} rules within rules"}, (m.program.entry,)
     if got is not None and got[0] == len(data):
         return {"matched": True, "consumed": got[0], "nodes": got[1], "extracts": got[2]}
     if got is not None:
@@ -288,7 +324,12 @@ def hits(m: Matcher, data: bytes, every_byte: bool = False) -> list[Found]:
     m.begin(data, quiet=True)
     out, at = [], 0
     while at < len(data):
-        got = m.entry(at)
+        if len(m.memo) > MEMORY:
+            m.memo.clear()
+        try:
+            got = m.entry(at)
+        except TooDeep:  # no hit begins here
+            got, m.stack = None, []
         if got is not None and got[0] > at:
             out.append((at, *got))
             at = got[0]

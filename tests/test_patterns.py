@@ -127,5 +127,14 @@ def test_joined_by_of_empty_parts_ends():
     assert accepts("main: (zero or more letters) joined by (optional comma)", "")
 
 
-def test_deep_recursion():
-    assert accepts("main: open paren then optional main then close paren", "(" * 2000 + ")" * 2000)
+def test_deep_recursion(monkeypatch):
+    nested = "main: open paren then optional main then close paren"
+    assert accepts(nested, "(" * 200_000 + ")" * 200_000)
+    m = matcher.Matcher(analysis.check(parse(nested)))
+    monkeypatch.setattr(matcher, "DEEPEST", 50)
+    assert matcher.accepts(m, b"(" * 49 + b")" * 49) and not matcher.accepts(m, b"(" * 50 + b")" * 50)
+    assert matcher.prefix(m, b"(" * 60 + b")" * 60) == -1
+    report = matcher.whole(m, b"(" * 60 + b")" * 60)
+    assert not report["matched"] and report["offset"] == 50 and report["expected"] == ["at most 50 rules within rules"] and report["nodes"] == ()
+    assert [h[:2] for h in matcher.hits(m, b"(" * 60 + b")" * 60 + b"()")] == [(11, 109), (120, 122)]
+    assert matcher.whole(m, b"()")["matched"]
