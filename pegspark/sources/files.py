@@ -3,19 +3,19 @@
 The driver lists names only and deals them to partitions by size; executors read. Folders on a list of build and version
 control names, and those that begin with a dot, are skipped; symbolic links to folders are followed once; files with a NUL
 byte near their start are skipped as binary; a file that cannot be read is a row with an error. The folder must be
-visible to driver and executors (a shared mount); for object stores use Spark's own text or binaryFile reader.
+visible to driver and executors (a shared mount); a path in another store is read with Spark's own file source, which
+also leaves out files whose names begin with a dot or an underscore.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.grammar import Grammar
 from ..operators.search import search_lines
@@ -60,7 +60,7 @@ def listed(folder: str, glob: str | None) -> list[tuple[str, int, float]]:
     """(path, size, time of change) of the files of a folder, or of one file."""
     want = glob_regex(glob) if glob else None
     found = []
-    for path in [folder] if os.path.isfile(folder) else walk(folder):
+    for path in walk(folder) if os.path.isdir(folder) else [folder]:
         if want is None or want.fullmatch(os.path.basename(path)):
             try:
                 stat = os.stat(path)
@@ -84,50 +84,52 @@ class Files(InputPartition):
         self.paths = paths
 
 
+def dealt(found: list[tuple[str, int]]) -> list[Files]:
+    """Paths with their sizes, dealt to partitions."""
+    out, held = [], 0
+    for path, size in found:
+        if not out or held + size > PARTITION_BYTES:
+            out.append(Files([]))
+            held = 0
+        out[-1].paths.append(path)
+        held += size
+    return out or [Files([])]
+
+
+def read_files(partition: Files) -> Iterator[tuple]:
+    return (row for path in partition.paths if (row := read_file(path)) is not None)
+
+
 class FolderReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.glob = options["path"], options.get("glob")
 
     def partitions(self) -> list[Files]:
-        out, held = [], PARTITION_BYTES
-        for path, size, _ in listed(self.path, self.glob):
-            if held + size > PARTITION_BYTES:
-                out.append(Files([]))
-                held = 0
-            out[-1].paths.append(path)
-            held += size
-        return out or [Files([])]
+        return dealt([(path, size) for path, size, _ in listed(self.path, self.glob)])
 
-    def read(self, partition: Files):
-        for path in partition.paths:
-            row = read_file(path)
-            if row is not None:
-                yield row
+    def read(self, partition: Files) -> Iterator[tuple]:
+        return read_files(partition)
 
 
-class FolderStream(SimpleDataSourceStreamReader):
-    """New and changed files since the last batch; the offset is the latest time of change seen, with its paths."""
+class FolderStream(DataSourceStreamReader):
+    """New and changed files since the last batch. An offset holds each path with its size and time of change, so a batch
+    can be replayed, and a file that comes late with an old time is new all the same. Offsets grow with the folder's list of
+    names; for folders of very many files use Spark's own file stream."""
 
     def __init__(self, options: dict):
         self.path, self.glob = options["path"], options.get("glob")
 
     def initialOffset(self) -> dict:
-        return {"time": -1.0, "paths": "[]"}
+        return {"files": {}}
 
-    def _new(self, start: dict, end: dict | None):
-        seen = set(json.loads(start["paths"]))
-        for path, _, at in listed(self.path, self.glob):
-            if (at > start["time"] or at == start["time"] and path not in seen) and (end is None or at <= end["time"]):
-                yield path, at
+    def latestOffset(self) -> dict:
+        return {"files": {path: [size, at] for path, size, at in listed(self.path, self.glob)}}
 
-    def read(self, start: dict):
-        found = list(self._new(start, None))
-        time = max([start["time"], *(at for _, at in found)])
-        latest = [p for p, at in found if at == time] + (json.loads(start["paths"]) if time == start["time"] else [])
-        return iter([row for p, _ in found if (row := read_file(p))]), {"time": time, "paths": json.dumps(sorted(latest))}
+    def partitions(self, start: dict, end: dict) -> list[Files]:
+        return dealt([(path, now[0]) for path, now in sorted(end["files"].items()) if start["files"].get(path) != now])
 
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return iter([row for p, _ in self._new(start, end) if (row := read_file(p))])
+    def read(self, partition: Files) -> Iterator[tuple]:
+        return read_files(partition)
 
 
 class FolderSource(DataSource):
@@ -141,18 +143,33 @@ class FolderSource(DataSource):
     def reader(self, schema) -> FolderReader:
         return FolderReader(self.options)
 
-    def simpleStreamReader(self, schema) -> FolderStream:
+    def streamReader(self, schema) -> FolderStream:
         return FolderStream(self.options)
 
 
 def read_folder(spark: SparkSession, path: str, glob: str | None = None, stream: bool = False) -> DataFrame:
+    """file, text and error of the files of a folder or of one file."""
+    scheme, _, rest = path.partition(":")
+    if rest.startswith("//") and scheme != "file":
+        return _stored(spark, path, glob, stream)
     spark.dataSource.register(FolderSource)
-    reader = (spark.readStream if stream else spark.read).format("grammar_folder").option("path", path)
+    reader = (spark.readStream if stream else spark.read).format("grammar_folder").option("path", rest.removeprefix("//") if scheme == "file" and rest else path)
     return (reader.option("glob", glob) if glob else reader).load()
 
 
+def _stored(spark: SparkSession, path: str, glob: str | None, stream: bool) -> DataFrame:
+    """The same of a folder in a store that only Spark reads."""
+    reader = (spark.readStream if stream else spark.read).format("binaryFile").option("recursiveFileLookup", "true")
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    store = "^[A-Za-z0-9+.-]+:(//[^/]*)?"  # written in more than one way
+    parts, above = F.split(F.regexp_replace("path", store, ""), "/"), len(re.sub(store, "", path.rstrip("/")).split("/"))
+    skipped = F.exists(F.slice(parts, F.lit(above + 1), F.greatest(F.size(parts) - above - 1, F.lit(0))), lambda name: name.startswith(".") | name.isin(*SKIPPED))
+    binary = F.instr(F.decode(F.substring("content", 1, SNIFFED), "ISO-8859-1"), "\0") > 0
+    return files.filter(~skipped & ~binary).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("text"), F.lit(None).cast("string").alias("error"))
+
+
 def search_folder(spark: SparkSession, grammar: Grammar, path: str, glob: str | None = None, start_line: int | None = None, end_line: int | None = None, stream: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(lines with hits, files with errors) of a folder or one file."""
+    """(lines with hits, files with errors) of a folder or one file; a line's hits are its column matches."""
     files = read_folder(spark, path, glob, stream)
     lines = search_lines(files.filter("text is not null"), grammar, "text", F.col("file"), start_line, end_line)
     return lines, files.filter("error is not null").select("file", "error")
