@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -13,6 +14,9 @@ from . import text as drawn
 
 NODES = "array<struct<id:int,parent:int,depth:int,rule:string,start:int,end:int,text:string>>"
 EXTRACTS = "array<struct<rule:string,start:int,end:int,text:string>>"
+#: Bytes of node texts of one tree; beyond, a node with children has no text, only its place (a deep tree would hold its
+#: input once a level).
+TREE_TEXT = 16 << 20
 RESULT = f"matched boolean, consumed int, nodes {NODES}, extracts {EXTRACTS}, offset int, line int, column int, expected array<string>, found string, rule_stack array<string>"
 
 
@@ -41,12 +45,19 @@ def _said(data: bytes, start: int, end: int) -> str:
 
 def flat(nodes, data: bytes, shift: int = 0) -> list[dict]:
     """A tree in pre-order; parent is a node's place in the list, -1 for a root."""
-    out, todo = [], [(n, -1, 0) for n in reversed(nodes)]
+    out, inner, held, todo = [], [], 0, [(n, -1, 0) for n in reversed(nodes)]
     while todo:
         (rule, start, end, children), parent, depth = todo.pop()
         own = len(out)
-        out.append({"id": own, "parent": parent, "depth": depth, "rule": rule, "start": start + shift, "end": end + shift, "text": _said(data, start, end)})
+        held += end - start if children else 0
+        if children:
+            inner.append(own)
+        text = _said(data, start, end) if not children or held <= TREE_TEXT else None
+        out.append({"id": own, "parent": parent, "depth": depth, "rule": rule, "start": start + shift, "end": end + shift, "text": text})
         todo += [(c, own, depth + 1) for c in reversed(children)]
+    if held > TREE_TEXT:
+        for own in inner:
+            out[own]["text"] = None
     return out
 
 
@@ -89,39 +100,18 @@ def match(key: Key, partial: bool = False):
 
 
 def accepts(key: Key):
-    def one(value) -> bool:
-        data, own = _data(value), _matcher(key)
-        own.begin(data, quiet=True)
-        got = own.entry(0)
-        return got is not None and got[0] == len(data)
-
-    return _udf("boolean", one)
+    return _udf("boolean", lambda value: m.accepts(_matcher(key), _data(value)))
 
 
 def accepts_each(key: Key):
     def each(values) -> list:
-        own = _matcher(key)
-        out = []
-        for v in values:
-            if v is None:
-                out.append(None)
-                continue
-            own.begin(data := _data(v), quiet=True)
-            got = own.entry(0)
-            out.append(got is not None and got[0] == len(data))
-        return out
+        return [None if v is None else m.accepts(_matcher(key), _data(v)) for v in values]
 
     return _udf("array<boolean>", each)
 
 
 def prefix(key: Key):
-    def one(value) -> int:
-        own = _matcher(key)
-        own.begin(_data(value), quiet=True)
-        got = own.entry(0)
-        return -1 if got is None else got[0]
-
-    return _udf("int", one)
+    return _udf("int", lambda value: m.prefix(_matcher(key), _data(value)))
 
 
 def _units(data: bytes, unit: str):
@@ -139,20 +129,53 @@ def _units(data: bytes, unit: str):
     return to
 
 
+@lru_cache(64)
+def _expression(key: Key) -> re.Pattern | None:
+    """The grammar as an expression over bytes for Python, where it is regular and reads whole characters."""
+    from ..plans import lowering
+    from .grammar import compiled
+
+    program = compiled(key.source, key.modules)
+    try:
+        found = None if lowering.needs_bytes(program) else lowering.lower(program, True)[0]
+    except lowering.NotRegular:
+        return None
+    return None if found is None else re.compile(rf"(?![\x80-\xBF])(?:{found})".encode("latin-1"))
+
+
+def spans(key: Key, data: bytes) -> list[tuple[int, int]]:
+    """Places of all hits in bytes, by the expression where there is one, else by the matcher."""
+    found = _expression(key)
+    if found is not None:
+        return [h.span() for h in found.finditer(data) if h.end() > h.start()]
+    return [h[:2] for h in m.hits(_matcher(key), data)]
+
+
+def find_one(key: Key, text: str | bytes, unit: str = "codepoint") -> list[dict]:
+    data = _data(text)
+    to = _units(data, unit)
+    return [{"start": to(a), "end": to(b), "text": _said(data, a, b)} for a, b in spans(key, data)]
+
+
 def find(key: Key, tree: bool, unit: str):
     if unit not in ("codepoint", "utf16", "byte"):
         raise ValueError("unit must be codepoint, utf16 or byte")
     kind = f"array<struct<start:int,end:int,text:string{',nodes:' + NODES if tree else ''}>>"
 
-    def one(value) -> list:
+    def with_trees(value) -> list:
         data = _data(value)
-        to, out = _units(data, unit), []
-        for start, end, nodes, _ in m.hits(_matcher(key), data):
-            hit = {"start": to(start), "end": to(end), "text": _said(data, start, end)}
-            out.append(hit | {"nodes": flat(nodes, data)} if tree else hit)
-        return out
+        to = _units(data, unit)
+        return [{"start": to(a), "end": to(b), "text": _said(data, a, b), "nodes": flat(nodes, data)} for a, b, nodes, _ in m.hits(_matcher(key), data)]
+
+    return _udf(kind, with_trees if tree else lambda value: find_one(key, value, unit))
+
+
+def texts(key: Key):
+    return _udf("array<string>", lambda value: [h["text"] for h in find_one(key, value)])
+
 
-    return _udf(kind, one)
+def count(key: Key):
+    return _udf("bigint", lambda value: len(spans(key, _data(value))))
 
 
 def scan_bytes(key: Key):
@@ -163,7 +186,7 @@ def replace(key: Key, before: str, after: str, with_text: str | None):
     def one(value) -> str:
         data = _data(value)
         out, at = [], 0
-        for start, end, _, _ in m.hits(_matcher(key), data):
+        for start, end in spans(key, data):
             out += [data[at:start], (before + _said(data, start, end) + after if with_text is None else with_text).encode()]
             at = end
         return b"".join([*out, data[at:]]).decode("utf-8", "replace")

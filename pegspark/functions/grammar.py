@@ -29,14 +29,19 @@ def _bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _spans(text: Column, pattern: str, with_text: bool) -> Column:
-    """Offsets of all hits of a pattern that never matches nothing, in characters of text."""
+def _utf16(text: Column) -> Column:
+    """UTF-16 code units of a text: characters beyond U+FFFF have two."""
+    return F.shiftright(F.octet_length(F.encode(text, "UTF-16BE")), 1)
+
+
+def _spans(text: Column, pattern: str, with_text: bool, length=F.length) -> Column:
+    """Offsets of all hits of a pattern that never matches nothing, in characters of text, or as length measures."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    size = lambda p: F.length(p["gap"]) + F.length(p["hit"])
+    size = lambda p: length(p["gap"]) + length(p["hit"])
     kind = _HITS if with_text else "array<struct<start:int,end:int>>"
 
     def step(state: Column, p: Column) -> Column:
-        start, end = state["at"] + F.length(p["gap"]), state["at"] + size(p)
+        start, end = state["at"] + length(p["gap"]), state["at"] + size(p)
         hit = F.struct(start.alias("start"), end.alias("end"), *([p["hit"].alias("text")] if with_text else []))
         return F.struct(end.alias("at"), F.concat(state["hits"], F.array(hit)).alias("hits"))
 
@@ -115,7 +120,9 @@ class Grammar:
         """A cheap condition that every text with a hit meets: it contains the rarest-looking literal."""
         found = analysis.literals(self.program)
         rare = max(found, key=lambda t: (len(t), not t.isalnum()), default=None)
-        return None if rare is None or rare in (" ", "\n") else F.contains(col, F.lit(rare))
+        if rare is None or rare in (" ", "\n", "\t"):
+            return None
+        return F.contains(col, F.lit(rare))
 
     def is_match(self, col: Column) -> Column:
         """Whether the whole text matches."""
@@ -149,20 +156,24 @@ class Grammar:
         return found if needed is None else F.when(needed, found).when(col.isNotNull(), F.array().cast("array<string>"))
 
     def count(self, col: Column) -> Column:
-        return F.size(self.texts(col)).cast("long")
+        """Number of hits of a text."""
+        if not self.native_hits:
+            return F.size(self.texts(col)).cast("long")
+        found, needed = F.regexp_count(col, F.lit(self.regex())).cast("long"), self._needed(col)
+        return found if needed is None else F.when(needed, found).when(col.isNotNull(), F.lit(0).cast("long"))
 
     def find(self, col: Column, tree: bool = False, unit: str = "codepoint") -> Column:
         """Hits as array<struct<start, end, text>>; unit: codepoint, utf16 or byte; with tree also nodes.
 
-        Code points and bytes are native: the pieces between hits and the hits alternate, and running lengths give the
-        offsets.
+        Native where hits cannot be empty: the pieces between hits and the hits alternate, and running lengths give the
+        offsets. Other regular grammars run as an expression in an Arrow function.
         """
-        if tree or unit not in ("codepoint", "byte") or not self.native_hits:
+        if tree or unit not in ("codepoint", "utf16", "byte") or not self.native_hits:
             return arrow.find(self.key, tree, unit)(col)
         if unit == "byte":  # hits start at code points, not inside them
             spans = F.transform(_spans(self._text(col, True), rf"(?![\x80-\xBF])(?:{self.regex(True)})", True), _from_bytes)
         else:
-            spans = _spans(col, self.regex(), True)
+            spans = _spans(col, self.regex(), True, _utf16 if unit == "utf16" else F.length)
         needed = self._needed(col)
         return spans if needed is None else F.when(needed, spans).when(col.isNotNull(), F.array().cast(_HITS))
 
@@ -172,6 +183,12 @@ class Grammar:
             return arrow.scan_bytes(self.key)(col)
         return _spans(F.decode(col, "ISO-8859-1"), self.regex(True), False)
 
+    def count_bytes(self, col: Column) -> Column:
+        """Number of hits in a binary column; every byte may start one."""
+        if not self.native or lowering.can_be_empty(self.program):
+            return F.size(self.scan_bytes(col)).cast("long")
+        return F.regexp_count(F.decode(col, "ISO-8859-1"), F.lit(self.regex(True))).cast("long")
+
     def replace(self, col: Column, before: str = "", after: str = "", with_text: str | None = None) -> Column:
         """The text with each hit replaced by with_text, or wrapped in before and after."""
         if not self.native_hits:

@@ -10,35 +10,46 @@ from . import arrow
 from .grammar import Grammar
 
 
+@F.udtf(returnType="hit int, start int, end int, hit_text string")
+class GrammarHits:
+    """grammar_hits(text, grammar): a row per hit; a null text or grammar has none."""
+
+    def eval(self, text: str, source: str):
+        if text is not None and source is not None:
+            for k, hit in enumerate(arrow.find_one(arrow.Key(source, ()), text)):
+                yield k, hit["start"], hit["end"], hit["text"]
+
+
 def register(spark: SparkSession) -> None:
-    """Make grammar_is_match(text, grammar) and grammar_find(text, grammar) known to SQL."""
+    """Make grammar_is_match(text, grammar), grammar_find(text, grammar) and the table function grammar_hits known to SQL.
+
+    The grammar may differ from row to row (a catalogue of grammars joined to texts), so they run in Arrow functions.
+    """
 
     @F.pandas_udf("boolean")
     def grammar_is_match(texts: pd.Series, sources: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None or s is None else _accepts(s, t) for t, s in zip(texts, sources)], dtype=object)
+        return pd.Series([None if t is None or s is None else arrow.m.accepts(arrow._matcher(arrow.Key(s, ())), t.encode()) for t, s in zip(texts, sources)], dtype=object)
 
     @F.pandas_udf("array<struct<start:int,end:int,text:string>>")
     def grammar_find(texts: pd.Series, sources: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None or s is None else _find(s, t) for t, s in zip(texts, sources)], dtype=object)
+        return pd.Series([None if t is None or s is None else arrow.find_one(arrow.Key(s, ()), t) for t, s in zip(texts, sources)], dtype=object)
 
     spark.udf.register("grammar_is_match", grammar_is_match)
     spark.udf.register("grammar_find", grammar_find)
+    spark.udtf.register("grammar_hits", GrammarHits)
 
 
 def register_grammar(spark: SparkSession, name: str, grammar: Grammar) -> None:
-    """Make <name>_find(text) known to SQL for one grammar; use the DataFrame functions for plans inside the JVM."""
+    """Make <name>_match, <name>_texts, <name>_count and <name>_find of a text known to SQL for one grammar.
+
+    Where the grammar is regular the first three are SQL functions over its expression and stay inside the JVM.
+    """
+    if grammar.native_hits:
+        found = grammar.regex()  # holds no quote: every ASCII sign is written as \xHH
+        for suffix, kind, body in (("match", "BOOLEAN", rf"t RLIKE r'\A(?:{found})\z'"), ("texts", "ARRAY<STRING>", f"regexp_extract_all(t, r'({found})', 1)"), ("count", "BIGINT", f"CAST(regexp_count(t, r'{found}') AS BIGINT)")):
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_{suffix}(t STRING) RETURNS {kind} RETURN {body}")
+    else:
+        spark.udf.register(f"{name}_match", arrow.accepts(grammar.key))
+        spark.udf.register(f"{name}_texts", arrow.texts(grammar.key))
+        spark.udf.register(f"{name}_count", arrow.count(grammar.key))
     spark.udf.register(f"{name}_find", arrow.find(grammar.key, False, "codepoint"))
-    spark.udf.register(f"{name}_match", arrow.accepts(grammar.key))
-
-
-def _accepts(source: str, text: str) -> bool:
-    own = arrow._matcher(arrow.Key(source, ()))
-    own.begin(data := text.encode(), quiet=True)
-    got = own.entry(0)
-    return got is not None and got[0] == len(data)
-
-
-def _find(source: str, text: str) -> list[dict]:
-    data = text.encode()
-    to = arrow._units(data, "codepoint")
-    return [{"start": to(a), "end": to(b), "text": data[a:b].decode("utf-8", "replace")} for a, b, _, _ in arrow.m.hits(arrow._matcher(arrow.Key(source, ())), data)]

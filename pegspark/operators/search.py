@@ -50,10 +50,8 @@ def search_hits(df: DataFrame, grammar: Grammar, text_col: str, label: Column |
 
 def format_results(lines: DataFrame, color: bool = True) -> DataFrame:
     """`file:line: content` as column shown, hits highlighted."""
-    marked = F.aggregate(
-        F.array_sort("matches"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("text")),
-        lambda s, h: F.struct(h["end"].alias("at"), F.concat(s["text"], F.substring(F.col("content"), s["at"] + 1, h["start"] - s["at"]), F.lit(COLOR), h["text"], F.lit(PLAIN)).alias("text")),
-        lambda s: F.concat(s["text"], F.substr("content", s["at"] + 1)),
-    )
+    found = F.array_sort("matches")
+    before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(found, k - 1)["end"])
+    pieces = F.transform(found, lambda h, k: F.concat(F.substring(F.col("content"), before(k) + 1, h["start"] - before(k)), F.lit(COLOR), h["text"], F.lit(PLAIN)))
+    marked = F.concat(F.array_join(pieces, ""), F.substr("content", F.coalesce(F.get(found, F.size(found) - 1)["end"], F.lit(0)) + 1))
     return lines.select(F.concat(F.col("file"), F.lit(":"), F.col("line").cast("string"), F.lit(": "), marked if color else F.col("content")).alias("shown"))

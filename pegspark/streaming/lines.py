@@ -31,10 +31,20 @@ def _count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
 def number_lines(lines: DataFrame, content_col: str = "value", label: Column | None = None, start_line: int | None = None, end_line: int | None = None) -> DataFrame:
     """file, line (from 1, in order of arrival) and content; lines outside start_line..end_line are left out.
 
-    The number of lines so far is kept per label, so labels are counted in parallel.
+    The number of lines so far is kept per label, so labels are counted in parallel; one label is one task, as its lines
+    have one order. Give parts of a large stream labels of their own.
     """
     named = lines.select((F.lit(STREAM) if label is None else label).alias("file"), F.regexp_replace(content_col, "\r$", "").alias("content"))
     numbered = named.groupBy("file").applyInPandasWithState(_count, "file string, line long, content string", "seen long", "append", GroupStateTimeout.NoTimeout)
     if start_line is not None:
         numbered = numbered.filter(F.col("line") >= start_line)
     return numbered if end_line is None else numbered.filter(F.col("line") <= end_line)
+
+
+def search_numbered(lines: DataFrame, grammar: Grammar, content_col: str = "value", label: Column | None = None, start_line: int | None = None, end_line: int | None = None) -> DataFrame:
+    """The lines of a stream that have a hit, with their numbers: file, line, content, matches.
+
+    All lines are counted, also those outside start_line..end_line, which are then not searched.
+    """
+    numbered = number_lines(lines, content_col, label, start_line, end_line)
+    return numbered.filter(grammar.has_hit(F.col("content"))).withColumn("matches", grammar.find(F.col("content")))
