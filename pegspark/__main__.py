@@ -1,39 +1,68 @@
-"""python -m pegspark GRAMMAR_FILE PATH [lines A to B] [--glob G] [--no-color]: search files, one line of output a hit line."""
+"""python -m pegspark GRAMMAR_FILE [PATH] [lines A to B] [--glob G] [--no-color]: search files, one line of output a hit line.
+
+Without a path, or with -, standard input is searched. Hits are coloured if the output is a terminal.
+"""
 
 from __future__ import annotations
 
 import os
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .functions.grammar import Grammar
-from .operators.search import format_results
+from .operators.search import format_results, search_lines
 from .sources.files import search_folder
 
+#: Lines of standard input that make one row.
+CHUNK_LINES = 10_000
+
+
+def piped(spark: SparkSession, lines) -> DataFrame:
+    """Standard input as rows of text with the number of lines before each; it comes through this process in any case."""
+    chunks, held, before = [], [], 0
+    for line in lines:
+        held.append(line.removesuffix("\n"))
+        if len(held) == CHUNK_LINES:
+            chunks.append((before, "\n".join(held)))
+            before, held = before + len(held), []
+    if held:
+        chunks.append((before, "\n".join(held)))
+    return spark.createDataFrame(chunks, "before long, text string")
+
+
+def search_piped(spark: SparkSession, grammar: Grammar, lines, first: int | None, last: int | None) -> DataFrame:
+    found = search_lines(piped(spark, lines), grammar, "text", F.col("before").cast("string"))
+    found = found.withColumn("line", F.col("line") + F.col("file").cast("long")).withColumn("file", F.lit("<stdin>"))
+    found = found if first is None else found.filter(F.col("line") >= first)
+    return found if last is None else found.filter(F.col("line") <= last)
+
 
 def main(args: list[str]) -> int:
-    color = "--no-color" not in args and "NO_COLOR" not in os.environ
+    color = "--no-color" not in args and "NO_COLOR" not in os.environ and sys.stdout.isatty()
     args = [a for a in args if a != "--no-color"]
-    glob = None
-    if "--glob" in args:
+    glob = first = last = None
+    if "--glob" in args[:-1]:
         k = args.index("--glob")
         glob, args = args[k + 1], args[:k] + args[k + 2 :]
-    first = last = None
-    if len(args) == 6 and args[2] == "lines" and args[4] == "to":
-        first, last, args = int(args[3]), int(args[5]), args[:2]
-    if len(args) != 2:
+    if len(args) >= 5 and args[-4] == "lines" and args[-2] == "to" and args[-3].isdigit() and args[-1].isdigit():
+        first, last, args = int(args[-3]), int(args[-1]), args[:-4]
+    if len(args) not in (1, 2) or args[0].startswith("--"):
         print(__doc__, file=sys.stderr)
         return 2
     with open(args[0], encoding="utf-8") as f:
         grammar = Grammar(f.read())
     spark = SparkSession.builder.appName("pegspark").getOrCreate()
-    lines, errors = search_folder(spark, grammar, args[1], glob, first, last)
+    if len(args) == 1 or args[1] == "-":
+        lines, errors = search_piped(spark, grammar, sys.stdin, first, last), None
+    else:
+        lines, errors = search_folder(spark, grammar, args[1], glob, first, last)
     shown = 0
     for row in format_results(lines.orderBy("file", "line"), color).toLocalIterator():
         print(row["shown"])
         shown += 1
-    for row in errors.toLocalIterator():
+    for row in errors.toLocalIterator() if errors is not None else ():
         print(f"{row['file']}: {row['error']}", file=sys.stderr)
     if not shown:
         print("no matches found")
