@@ -5,15 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import Grammar, register
+from .functions.sql import register_grammar
 from .operators import format_results, hits, search_hits, search_lines
-from .sources import search_folder
-from .streaming import number_lines, search_stream
+from .sources import read_folder, search_folder
+from .streaming import number_lines, search_numbered, search_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,10 +44,10 @@ def _matches(name: str, grammar: str, source: str, key: str, column: str, sql: s
 
 
 def _texts(name: str, grammar: str, source: str, key: str, column: str, regex: str) -> None:
-    """A query of one row per hit: key, its place, and its text."""
+    """A query of one row per hit: key, its place, and its text; column is a column or an expression that both engines know."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = Grammar(grammar).texts(F.col(column))
+        found = Grammar(grammar).texts(F.expr(column))
         return table(spark, sf_dir, source).select(key, F.posexplode(found).alias("hit", "hit_text")).withColumn("hit", F.col("hit").cast("long"))
 
     query(f"SELECT {key}, generate_subscripts(h, 1) - 1 AS hit, unnest(h) AS hit_text FROM (SELECT {key}, regexp_extract_all({column}, '{regex}') AS h FROM {source})", name)(run)
@@ -77,10 +77,13 @@ _matches("match_modules", 'use "numbers" (whole number)\nmain: "Brand#" then who
 _matches("match_optional_nested", "main: optional (5 digits) then zero or more any characters", "customer", "c_custkey", "c_name", "true")
 
 
-@query("SELECT c_custkey, c_name || ',' AS csv, false AS strict, true AS lenient FROM customer")
+_CSV = "c_name || repeat(',', CAST(c_custkey % 3 AS INT)) || CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment ELSE '' END || CASE WHEN c_custkey % 7 = 0 THEN ',' ELSE '' END"
+
+
+@query(f"SELECT c_custkey, csv, regexp_full_match(csv, '[^,]+(,[^,]+)*') AS strict, regexp_full_match(csv, '[^,]+(,[^,]+)*,?') AS lenient FROM (SELECT c_custkey, {_CSV} AS csv FROM customer)")
 def match_joined_by_lenient(spark, sf_dir):
     field = "field: one or more characters except (comma)\n"
-    csv = F.concat("c_name", F.lit(","))
+    csv = F.expr(_CSV)
     rows = table(spark, sf_dir, "customer").select("c_custkey", csv.alias("csv"))
     return rows.select("c_custkey", "csv", Grammar(field + "main: field joined by comma").is_match(F.col("csv")).alias("strict"), Grammar(field + "main: field joined by comma lenient").is_match(F.col("csv")).alias("lenient"))
 
@@ -101,7 +104,19 @@ def count_any_character(spark, sf_dir):
 @query("SELECT doc_id, len(regexp_extract_all(text, '[À-ÿ]')) AS n FROM documents")
 def scan_bytes(spark, sf_dir):
     g = Grammar("main: byte 0xC3 then byte 0x80 to byte 0xBF")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(g.scan_bytes(F.encode("text", "UTF-8"))).cast("long").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", g.count_bytes(F.encode("text", "UTF-8")).alias("n"))
+
+
+@query(
+    """WITH x AS (SELECT c_custkey, 'é' || c_name || 'Ü' || c_custkey || 'ß' AS t FROM customer),
+    g AS (SELECT c_custkey, k, strlen(list_extract(regexp_split_to_array(t, '[À-ÿ]'), k)) AS gap FROM (SELECT c_custkey, t, unnest(range(1, 4)) AS k FROM x))
+    SELECT c_custkey, CAST(sum(gap + 2) OVER w - 2 AS BIGINT) AS start_at, CAST(sum(gap + 2) OVER w AS BIGINT) AS end_at FROM g WINDOW w AS (PARTITION BY c_custkey ORDER BY k)"""
+)
+def scan_byte_spans(spark, sf_dir):
+    g = Grammar("main: byte 0xC3 then byte 0x80 to byte 0xBF")
+    data = F.encode(F.concat(F.lit("é"), "c_name", F.lit("Ü"), F.col("c_custkey").cast("string"), F.lit("ß")), "UTF-8")
+    found = table(spark, sf_dir, "customer").select("c_custkey", F.inline(g.scan_bytes(data)).alias("start_at", "end_at"))
+    return found.select("c_custkey", F.col("start_at").cast("long").alias("start_at"), F.col("end_at").cast("long").alias("end_at"))
 
 
 # -- hits in texts ----------------------------------------------------------------------------------------------------------
@@ -113,12 +128,17 @@ DATE = "main: 4 digits then hyphen then 2 digits then hyphen then 2 digits"
 HEX_COLOR = "main: hash then 6 hex digits"
 _texts("find_digits", "main: one or more digits", "documents", "doc_id", "text", "[0-9]+")
 _texts("find_email", EMAIL, "documents", "doc_id", "text", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+")
-_texts("find_uri", URI, "documents", "doc_id", "text", 'https?://[^ \\t\\n\\r"<>]+')
-_texts("find_uri_in_html", URI, "pages", "page_id", "html", 'https?://[^ \\t\\n\\r"<>]+')
+#: Texts of the tables with addresses, dates and colours of their own rows between them.
+URI_TEXT = "concat(text, ' see http://', lang, '.example/', doc_id, ' or \"https://x.example/?q=', n_chars, '\"')"
+URI_HTML = "concat('<a href=\"', url, '\">', html, '</a> <b>https://', page_id, '</b>')"
+DATE_TEXT = "concat('due 19', 70 + o_orderkey % 30, '-0', 1 + o_orderkey % 9, '-1', o_orderkey % 10, ', not ', o_orderkey, '-0', o_orderkey % 10, '-00; ', o_orderpriority, ' 2001-02-03')"
+COLOR_TEXT = "concat('a #', 100000 + c_custkey, 'ff b #', 'abcdef', ' c #12 ', c_name)"
+_texts("find_uri", URI, "documents", "doc_id", URI_TEXT, 'https?://[^ \\t\\n\\r"<>]+')
+_texts("find_uri_in_html", URI, "pages", "page_id", URI_HTML, 'https?://[^ \\t\\n\\r"<>]+')
 _texts("find_ip", IP, "documents", "doc_id", "text", "[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}")
 _texts("find_uri_in_urls", URI, "pages", "page_id", "url", 'https?://[^ \\t\\n\\r"<>]+')
-_texts("find_date", DATE, "documents", "doc_id", "text", "[0-9]{4}-[0-9]{2}-[0-9]{2}")
-_texts("find_hex_color", HEX_COLOR, "documents", "doc_id", "text", "#[0-9A-Fa-f]{6}")
+_texts("find_date", DATE, "orders", "o_orderkey", DATE_TEXT, "[0-9]{4}-[0-9]{2}-[0-9]{2}")
+_texts("find_hex_color", HEX_COLOR, "customer", "c_custkey", COLOR_TEXT, "#[0-9A-Fa-f]{6}")
 _texts("find_title", 'main: "<title>" then (any character until including "</title>")', "pages", "page_id", "html", "<title>(?:[^<]|<[^/])*</title>")
 
 _SPANS = """WITH g AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS t, generate_subscripts(regexp_extract_all(text, '[0-9]+'), 1) AS k,
@@ -230,24 +250,42 @@ def recursive_nested(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", got["matched"].alias("matched"), F.when(got["matched"], got["consumed"]).cast("long").alias("consumed"))
 
 
-_BROKEN = "substr(c_name, 1, CAST(c_custkey % 9 AS INT) + 9) || 'x'"
+@query("SELECT c_custkey, c_custkey % 4 <> 0 AS matched, CAST(CASE WHEN c_custkey % 4 <> 0 THEN 2 * (1000 + c_custkey % 50 * 100) ELSE -1 END AS BIGINT) AS consumed FROM customer WHERE c_custkey <= 150")
+def recursive_deep(spark, sf_dir):
+    """Thousands of rules within rules."""
+    deep = (1000 + F.col("c_custkey") % 50 * 100).cast("int")
+    text = F.concat(F.repeat(F.lit("("), deep), F.repeat(F.lit(")"), F.when(F.col("c_custkey") % 4 == 0, deep - 1).otherwise(deep)))
+    g = Grammar("main: open paren then optional main then close paren")
+    return table(spark, sf_dir, "customer").filter("c_custkey <= 150").select("c_custkey", g.is_match(text).alias("matched"), g.prefix_length(text).cast("long").alias("consumed"))
 
 
-@query(f"SELECT c_custkey, CAST(c_custkey % 9 + 9 AS BIGINT) AS failed_at, CAST(1 AS BIGINT) AS line, CAST(c_custkey % 9 + 10 AS BIGINT) AS col, 'digit' AS expected, '\"x\" (0x78)' AS found FROM customer WHERE {_BROKEN} IS NOT NULL")
+#: Names with a sign put in somewhere, sometimes after a line break.
+_BROKEN = "CASE WHEN c_custkey % 4 = 0 THEN chr(10) ELSE '' END || substr(c_name, 1, CAST(c_custkey % 19 AS INT)) || CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE '-' END || 'zzzzzzzzz'"
+_AT = "(c_custkey % 19)"
+_LINE = "(CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END)"
+_WANT = f"CASE WHEN {_AT} < 9 THEN '\"Customer#\"' WHEN {_AT} < 18 THEN 'digit' ELSE 'end of input' END"
+_SIGN = "CASE WHEN c_custkey % 3 = 0 THEN '\"x\" (0x78)' ELSE '\"-\" (0x2D)' END"
+_NAME = 'main: optional newline then "Customer#" then 9 digits'
+
+
+@query(f"SELECT c_custkey, CAST({_AT} + {_LINE} AS BIGINT) AS failed_at, CAST(1 + {_LINE} AS BIGINT) AS line, CAST({_AT} + 1 AS BIGINT) AS col, CASE WHEN {_AT} = 0 AND {_LINE} = 0 THEN '\"Customer#\", newline' ELSE {_WANT} END AS expected, {_SIGN} AS found FROM customer")
 def diagnose_offset(spark, sf_dir):
-    got = Grammar('main: "Customer#" then 9 digits').match(F.expr(_BROKEN))
+    got = Grammar(_NAME).match(F.expr(_BROKEN))
     return table(spark, sf_dir, "customer").select("c_custkey", got["offset"].cast("long").alias("failed_at"), got["line"].cast("long").alias("line"), got["column"].cast("long").alias("col"), F.array_join(got["expected"], ", ").alias("expected"), got["found"].alias("found"))
 
 
-@query("SELECT c_custkey, 'match failed at byte 9 (line 1, column 10):' || chr(10) || '  expected: letter' || chr(10) || '  found: \"0\" (0x30)' || chr(10) || '  in: main' || chr(10) || chr(10) || '  ' || c_name || chr(10) || repeat(' ', 11) || '^' AS report FROM customer")
+@query(
+    f"SELECT c_custkey, 'match failed at byte ' || ({_AT} + {_LINE}) || ' (line ' || (1 + {_LINE}) || ', column ' || ({_AT} + 1) || '):' || chr(10) || '  expected: ' || {_WANT} || chr(10) || '  found: ' || {_SIGN} || chr(10)"
+    f" || CASE WHEN {_AT} < 18 THEN '  in: main' || chr(10) ELSE '' END || chr(10) || '  ' || ltrim({_BROKEN}, chr(10)) || chr(10) || '  ' || repeat(' ', CAST({_AT} AS INT)) || '^' AS report FROM customer WHERE {_AT} > 0"
+)
 def diagnose_report(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", Grammar('main: "Customer#" then one or more letters').diagnose(F.col("c_name")).alias("report"))
+    return table(spark, sf_dir, "customer").filter(F.expr(f"{_AT} > 0")).select("c_custkey", Grammar(_NAME).diagnose(F.expr(_BROKEN)).alias("report"))
 
 
-@query("SELECT c_custkey, CAST(9 AS BIGINT) AS consumed, 'Customer#' AS partial_text FROM customer")
+@query("SELECT c_custkey, CAST(n AS BIGINT) AS consumed, CASE WHEN n > 0 THEN substr(t, 1, CAST(n AS INT)) END AS partial_text FROM (SELECT c_custkey, t, length(regexp_extract(t, '^[A-Za-z]+#?[0-9]*')) AS n FROM (SELECT c_custkey, substr(c_name, CAST(1 + c_custkey % 10 AS INT)) || '!' AS t FROM customer))")
 def try_parse(spark, sf_dir):
-    got = Grammar('main: "Customer#" then one or more letters').try_parse(F.col("c_name"))
-    return table(spark, sf_dir, "customer").select("c_custkey", got["consumed"].cast("long").alias("consumed"), got["nodes"][0]["text"].alias("partial_text"))
+    got = Grammar("main: one or more letters then hash then one or more digits then period").try_parse(F.expr("substr(c_name, CAST(1 + c_custkey % 10 AS INT)) || '!'"))
+    return table(spark, sf_dir, "customer").select("c_custkey", got["consumed"].cast("long").alias("consumed"), F.get(got["nodes"], F.lit(0))["text"].alias("partial_text"))
 
 
 @query("SELECT c_custkey, 'main [0..18] \"' || c_name || '\"' || chr(10) || '└── num [9..18] \"' || substr(c_name, 10) || '\"' AS drawn FROM customer")
@@ -267,6 +305,26 @@ def sql_function(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.expr("grammar_is_match(p_brand, 'main: \"Brand#\" then 2 digits')").alias("matched"))
 
 
+@query("SELECT p_partkey, regexp_full_match(p_brand, 'Brand#[0-9]+') AS matched, len(regexp_extract_all(p_name, '[a-z]+')) AS n, list_extract(regexp_extract_all(p_name, '[a-z]+'), 2) AS second FROM part")
+def sql_bound_functions(spark, sf_dir):
+    """SQL functions bound to grammars stay inside the JVM."""
+    register_grammar(spark, "brand", Grammar('main: "Brand#" then one or more digits'))
+    register_grammar(spark, "lower", Grammar("main: one or more lowercase"))
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", "brand_match(p_brand) AS matched", "lower_count(p_name) AS n", "get(lower_texts(p_name), 1) AS second")
+
+
+@query(
+    "SELECT g.name, p_partkey, hit, hit_text FROM (SELECT 'digits' AS name, p_partkey, unnest(regexp_extract_all(p_brand, '[0-9]+')) AS hit_text, generate_subscripts(regexp_extract_all(p_brand, '[0-9]+'), 1) - 1 AS hit FROM part"
+    " UNION ALL SELECT 'letters', p_partkey, unnest(regexp_extract_all(p_brand, '[A-Za-z]+')), generate_subscripts(regexp_extract_all(p_brand, '[A-Za-z]+'), 1) - 1 FROM part) g"
+)
+def sql_table_function(spark, sf_dir):
+    """A catalogue of grammars joined to texts, and a table function with a row per hit."""
+    register(spark)
+    catalogue = spark.createDataFrame([("digits", "main: one or more digits"), ("letters", "main: one or more letters")], "name string, source string")
+    table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.explode(F.array(F.lit("digits"), F.lit("letters"))).alias("name")).join(F.broadcast(catalogue), "name").createOrReplaceTempView("grammar_catalogue_texts")
+    return spark.sql("SELECT name, p_partkey, CAST(hit AS BIGINT) AS hit, hit_text FROM grammar_catalogue_texts, LATERAL grammar_hits(p_brand, source)")
+
+
 # -- search by lines --------------------------------------------------------------------------------------------------------
 
 _LINES = "SELECT conv_id || '/' || turn AS file, CAST(k AS BIGINT) AS line, content FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM conversations) WHERE regexp_matches(content, '[A-Z][a-z]+\\.'){more}"
@@ -314,19 +372,50 @@ def search_hit_columns(spark, sf_dir):
 
 def _scratch(spark: SparkSession, name: str) -> str:
     """A new folder's address in the shared folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pegspark-query-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="pegspark-query-")
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+def _nested_folder(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The conversations as text files, a folder for each role, with folders that a search skips and files that are binary."""
+    out, texts = _scratch(spark, name), table(spark, sf_dir, "conversations")
+    texts.select("text", "role").write.partitionBy("role").text(out)
+    for skipped in ("node_modules", ".git"):
+        texts.select("text").limit(10).coalesce(1).write.text(f"{out}/deep/{skipped}")
+    texts.select("conv_id").limit(10).coalesce(1).write.parquet(f"{out}/deep/binary")
+    return out
+
+
 @query(f"SELECT content, count(*) AS n FROM ({_LINES.format(more='')}) GROUP BY content")
 def search_folder_files(spark, sf_dir):
-    """The conversations as a folder of text files, which is walked and searched."""
-    out = _scratch(spark, "folder-search")
-    table(spark, sf_dir, "conversations").select("text").write.text(out)
-    lines, _ = search_folder(spark, Grammar("main: uppercase then one or more lowercase then period"), urlparse(out).path, glob="*.txt")
+    """A tree of folders is walked and searched: each conversation's text is found once, whatever else lies there."""
+    lines, _ = search_folder(spark, Grammar("main: uppercase then one or more lowercase then period"), _nested_folder(spark, sf_dir, "folder-search"), glob="*")
     return lines.groupBy("content").agg(F.count("*").alias("n"))
 
 
+@query("SELECT role, count(*) AS n_lines FROM (SELECT role, unnest(string_split(text, chr(10))) AS content FROM conversations) WHERE content <> '' GROUP BY role")
+def folder_stream(spark, sf_dir):
+    """The same tree as a stream of files, which executors read; blank lines aside, every line of every role comes once."""
+    folder, out = _nested_folder(spark, sf_dir, "folder-stream"), _scratch(spark, "folder-stream-out")
+    files = read_folder(spark, folder, "*.txt", stream=True)
+    lines = files.select(F.regexp_extract("file", "role=([a-z_]+)", 1).alias("role"), F.explode(F.split("text", "\n", -1)).alias("content")).filter("content <> ''")
+    lines.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(lines.schema).parquet(f"{out}/rows").groupBy("role").agg(F.count("*").alias("n_lines"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n_binary, CAST(1 AS BIGINT) AS n_errors")
+def folder_errors(spark, sf_dir):
+    """Binary files give no row; a file that is gone is a row with an error and stops nothing."""
+    folder = _nested_folder(spark, sf_dir, "folder-errors")
+    binary = read_folder(spark, folder, "*.parquet")
+    gone = read_folder(spark, f"{folder}/gone.txt").filter("error is not null")
+    return binary.select(F.lit(1).alias("b"), F.lit(0).alias("e")).unionByName(gone.select(F.lit(0).alias("b"), F.lit(1).alias("e"))).agg(F.coalesce(F.sum("b"), F.lit(0)).alias("n_binary"), F.coalesce(F.sum("e"), F.lit(0)).alias("n_errors"))
+
+
 @query("SELECT event_type AS file, count(*) AS n_lines, CAST(1 AS BIGINT) AS first_line, count(*) AS last_line, count(*) AS n_numbers FROM events GROUP BY event_type")
 def stream_line_numbers(spark, sf_dir):
     """The events as a stream of lines, numbered per type with the count so far as state."""
@@ -337,6 +426,17 @@ def stream_line_numbers(spark, sf_dir):
     return rows.agg(F.count("*").alias("n_lines"), F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.countDistinct("line").alias("n_numbers"))
 
 
+@query("SELECT event_type AS file, count(*) AS n_hits, CAST(max(n) AS BIGINT) AS longest FROM (SELECT *, len(regexp_extract_all(props, '[5-9][0-9]')) AS n FROM events) WHERE n > 0 GROUP BY event_type")
+def stream_search_numbered(spark, sf_dir):
+    """The events as a stream of lines, numbered per type and searched from line 1 on."""
+    lines = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    found, out = search_numbered(lines, Grammar('main: "5" to "9" then digit'), "props", F.col("event_type"), 1), _scratch(spark, "numbered-search")
+    done = found.select("file", "line", F.size("matches").alias("n"))
+    done.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(done.schema).parquet(f"{out}/rows").groupBy("file")
+    return rows.agg(F.countDistinct("line").alias("n_hits"), F.max("n").cast("long").alias("longest"))
+
+
 @query("SELECT event_id, props AS content FROM events WHERE regexp_matches(props, '[5-9][0-9]')")
 def stream_search(spark, sf_dir):
     """The events as a stream of lines, searched and written batch by batch, then read back."""

@@ -9,7 +9,7 @@ from pegspark.functions import Grammar, register
 from pegspark.functions.sql import register_grammar
 from pegspark.operators import format_results, hits, search_hits, search_lines
 from pegspark.sources import read_folder, search_folder
-from pegspark.streaming import number_lines, search_stream
+from pegspark.streaming import number_lines, search_numbered, search_stream
 
 from test_matcher import random_cases
 
@@ -118,6 +118,12 @@ def test_match_many_and_portable(spark):
 def test_sql_functions(spark):
     register(spark)
     register_grammar(spark, "digits", DIGITS)
+    register_grammar(spark, "nested", Grammar("main: open paren then optional main then close paren"))
+    bound = spark.sql("select digits_count('a1b22'), digits_texts('a1b22'), nested_match('(())'), nested_count('()(())'), nested_texts('x()'), digits_match(null)").first()
+    assert tuple(bound) == (2, ["1", "22"], True, 2, ["()"], None)
+    plan = spark.sql("select digits_match(t), digits_count(t), digits_texts(t) from values ('a1') as x(t)")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert values(spark.sql("select hit, start, end, hit_text from grammar_hits('a1 b22', 'main: one or more digits')")) == [(0, 1, 2, "1"), (1, 4, 6, "22")]
     row = spark.sql("select grammar_is_match('123', 'main: 3 digits'), grammar_find('a12', 'main: one or more digits'), digits_match('1'), digits_find('x9')").first()
     assert row[0] and row[1][0]["text"] == "12" and row[2] and row[3][0]["start"] == 1
 
@@ -176,7 +182,85 @@ def test_stream(spark, folder, tmp_path):
     assert sorted(r["line"] for r in spark.table("files").collect()) == [1, 1, 2]  # the loop leads to the files above
 
 
+def test_folder_stream(spark, tmp_path):
+    """Executors read the files; what comes late with an old time, or changes, is new; nothing comes twice."""
+    folder, state = tmp_path / "in", str(tmp_path / "state")
+    folder.mkdir()
+    (folder / "a.txt").write_text("1")
+    os.utime(folder / "a.txt", (2_000_000_000, 2_000_000_000))
+
+    def batch():
+        files = read_folder(spark, str(folder), stream=True)
+        files.writeStream.format("parquet").option("checkpointLocation", state).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((os.path.basename(r["file"]), r["text"]) for r in spark.read.schema(files.schema).parquet(str(tmp_path / "out")).collect())
+
+    assert batch() == [("a.txt", "1")]
+    (folder / "late.txt").write_text("2")
+    os.utime(folder / "late.txt", (1_000_000_000, 1_000_000_000))
+    assert batch() == [("a.txt", "1"), ("late.txt", "2")]
+    (folder / "a.txt").write_text("13")
+    assert batch() == batch() == [("a.txt", "1"), ("a.txt", "13"), ("late.txt", "2")]
+
+
+def test_folder_through_sparks_own_source(spark, folder):
+    """As for a store that only Spark reads: the same but for names with a dot."""
+    from pegspark.sources import files
+
+    os.remove(folder / "sub" / "loop")
+    got = files._stored(spark, f"file://{folder}", None, False).collect()
+    assert {os.path.basename(r["file"]) for r in got} - {"d.ts"} == {"a.ts", "b.js", "c.md"}
+
+
+def test_missing_file_is_an_error_row(spark, tmp_path):
+    lines, errors = search_folder(spark, DIGITS, str(tmp_path / "gone.txt"))
+    assert lines.count() == 0 and [os.path.basename(r["file"]) for r in errors.collect()] == ["gone.txt"]
+
+
+def test_numbered_stream(spark, tmp_path):
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "x.txt").write_text("one 1\nnone\ntwo 2\nthree 3\n")
+    found = search_numbered(spark.readStream.text(str(tmp_path / "lines")), DIGITS, start_line=2, end_line=3)
+    found.writeStream.format("memory").queryName("numbered_search").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert [(r["file"], r["line"], r["content"], r["matches"][0]["text"]) for r in spark.table("numbered_search").collect()] == [("<stream>", 3, "two 2", "2")]
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import io
+
+    from pegspark import __main__ as cli
+
+    grammar, text = tmp_path / "g.txt", tmp_path / "t.txt"
+    grammar.write_text("main: one or more digits")
+    text.write_text("a 1\nb\nc 22\n")
+    assert cli.main([str(grammar), str(text)]) == 0
+    assert capsys.readouterr().out == f"{text}:1: a 1\n{text}:3: c 22\n"  # no colour: the output is no terminal
+    assert cli.main([str(grammar), str(text), "lines", "2", "to", "3"]) == 0 and capsys.readouterr().out == f"{text}:3: c 22\n"
+    monkeypatch.setattr(cli, "CHUNK_LINES", 2)
+    monkeypatch.setattr("sys.stdin", io.StringIO("x\ny 5\nz 6\n"))
+    assert cli.main([str(grammar)]) == 0 and capsys.readouterr().out == "<stdin>:2: y 5\n<stdin>:3: z 6\n"
+    monkeypatch.setattr("sys.stdin", io.StringIO("x\ny 5\nz 6\n"))
+    assert cli.main([str(grammar), "-", "lines", "3", "to", "9"]) == 0 and capsys.readouterr().out == "<stdin>:3: z 6\n"
+    monkeypatch.setattr("sys.stdin", io.StringIO(""))
+    assert cli.main([str(grammar)]) == 1 and capsys.readouterr().out == "no matches found\n"
+    monkeypatch.setattr("sys.stdout", type("Terminal", (io.StringIO,), {"isatty": lambda self: True})())
+    assert cli.main([str(grammar), str(text)]) == 0 and "\x1b[1;31m22\x1b[0m" in __import__("sys").stdout.getvalue()
+    assert cli.main([]) == 2
+
+
+def test_deep_trees(spark, monkeypatch):
+    """A tree that nests deep keeps places, and texts only where it ends; a report says where one is too deep."""
+    from pegspark.functions import arrow
+
+    g, n = Grammar("leaf: digit\nmain: open paren then (main or leaf) then close paren"), 6000
+    df = spark.createDataFrame([("(" * n + "7" + ")" * n,)], "t string")
+    nodes = df.select(F.inline(g.match(F.col("t"))["nodes"])).agg(F.count("*"), F.count("text"), F.max("depth"), F.max(F.struct("id", "text"))["text"]).first()
+    assert tuple(nodes) == (n + 1, 1, n, "7")
+    assert [x["text"] for x in arrow.flat((("main", 0, 3, (("leaf", 1, 2, ()),)),), b"(7)")] == ["(7)", "7"]
+
+
 def test_plan_stays_in_the_jvm(texts):
+    plan = texts.select(DIGITS.find(F.col("t"), unit="utf16"), DIGITS.count(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
     plan = texts.select(DIGITS.find(F.col("t")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
