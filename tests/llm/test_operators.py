@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pegspark.llm import ann, bpe, entries, langid, linededup, lmscore, packing, quality, simhash, tokencounts, urlfilter
+from pegspark.llm import ann, bpe, common, entries, langid, linededup, lmscore, nearcopies, packing, quality, simhash, tokencounts, urlfilter
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "long word " * 60_000
@@ -82,6 +82,34 @@ def test_language_hierarchy(docs):
     assert one.predict(["the"])[0] == ["en"]
 
 
+def brute_language(model, text):
+    """The same weights, by plain loops over letters and pairs."""
+    data = b" " + bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode()) + b"  "
+    grams = [((data[k] << 16 | data[k + 1] << 8 | data[k + 2]) * 2654435761 % (1 << 32)) >> 20 for k in range(len(data) - 2) if data[k + 1] != 32]
+
+    def vote(v):
+        won, least, k = dict.fromkeys(v.labels, 0), dict.fromkeys(v.labels, math.inf), 0
+        for a, x in enumerate(v.labels):
+            for y in v.labels[a + 1 :]:
+                margin = sum(float(v.weights[g, k]) for g in grams) / max(1, len(grams)) + float(v.bias[k])
+                won[x if margin > 0 else y] += 1
+                least[x], least[y], k = min(least[x], margin), min(least[y], -margin), k + 1
+        best = max(v.labels, key=lambda name: won[name] + 1e-3 * math.tanh(least[name]))
+        return best, 1 if len(v.labels) == 1 else 1 / (1 + math.exp(-3 * max(-10, min(10, least[best]))))
+
+    group, sure = vote(model.families)
+    lang, more = vote(model.within[group])
+    return lang, sure * more
+
+
+def test_language_brute(docs, texts):
+    model = langid.fit(docs.filter(~langid.held_out()))
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    for k in sorted(texts)[:60]:
+        lang, score = brute_language(model, texts[k]) if langid.has_letter(texts[k]) else ("und", 0.0)
+        assert got[k]["lang_pred"] == lang and math.isclose(got[k]["score"], score, rel_tol=1e-4, abs_tol=1e-6)
+
+
 # -- token counts --------------------------------------------------------------------------------------------------------------
 
 
@@ -94,8 +122,8 @@ def test_token_counts(docs, texts, rule):
         ends = [len(b"\n".join(text.split(b"\n")[: k + 1])) + 1 for k in range(text.count(b"\n") + 1)]
         ends[-1] -= 1
         want, at = [0.0] * len(ends), 0
-        for token in coder.encode_ordinary(texts[doc_id]):
-            size = len(coder.decode_single_token_bytes(token))
+        for token in coder.encode(texts[doc_id], special=False).tolist():
+            size = len(coder.token_bytes(token))
             share = [max(0, min(at + size, e) - max(at, b)) for b, e in zip([0, *ends], ends)]
             owners = [k for k, s in enumerate(share) if s]
             if rule == "split":
@@ -226,6 +254,40 @@ def test_simhash_links(spark, hot_cell, block):
     assert [found.get(f, f) for f in fps] == [smallest[r] for r in want]
 
 
+@pytest.mark.parametrize("parts", [6, 8, 14])
+def test_simhash_grid_is_whole(parts):
+    """Any three changed bits leave two fingerprints in a common cell, and the lower bound never exceeds the distance."""
+    rng, masks = random.Random(parts), [m & (1 << 64) - 1 for m in simhash.grids(parts, 3)]
+
+    def point(f):
+        pairs = [(f >> 2 * k & 1) + (f >> 2 * k + 1 & 1) for k in range(32)]
+        return sum((0, 1, 3)[c] << 2 * k for k, c in enumerate(pairs)), pairs
+
+    for _ in range(300):
+        f = rng.getrandbits(64)
+        g = f
+        for _ in range(rng.randint(1, 3)):
+            g ^= 1 << rng.randrange(64)
+        (p, a), (q, b) = point(f), point(g)
+        assert any(p & m == q & m for m in masks)
+        assert bin(p ^ q).count("1") == sum(abs(x - y) for x, y in zip(a, b)) <= bin(f ^ g).count("1")
+
+
+def test_simhash_parts_follow_the_count():
+    assert [simhash.choose_parts(n, 3) for n in (100, 10**6, 10**8, 10**10)] == sorted(simhash.choose_parts(n, 3) for n in (100, 10**6, 10**8, 10**10))
+    assert simhash.choose_parts(10**5, 3) < simhash.choose_parts(10**10, 3)
+
+
+def test_simhash_wider_distance(spark):
+    rng = random.Random(9)
+    fps = [rng.getrandbits(64) for _ in range(40)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(64), 5)) for f in fps[:20]]
+    signed = [f - (f >> 63 << 64) for f in fps]
+    points = spark.createDataFrame([(f,) for f in signed], "fp long")
+    found = {tuple(sorted((r["a"], r["b"]))) for r in simhash.links(points, limit=5).collect()}
+    assert found == {tuple(sorted((signed[a], signed[b]))) for a in range(60) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= 5}
+
+
 def test_simhash_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long")
     assert {r["root"] for r in simhash.roots(edges).collect()} == {0}
@@ -238,6 +300,18 @@ def test_simhash_odd(odd, none):
     assert simhash.components(none).count() == 0
     kept = simhash.representatives(odd)
     assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == [1, 2, 5, 6, 7] and kept.columns == odd.columns
+    assert kept.filter("doc_id is null").count() == 1
+
+
+@pytest.mark.parametrize("keep", [simhash.representatives, nearcopies.representatives])
+def test_representatives_without_ids(spark, keep, monkeypatch):
+    """Rows without an id stay, whatever else is there; a repeated id goes only with the text that is a copy."""
+    a, b, c = ("the quick brown fox jumps over lazy dogs", "other words stand here and go on for a while", "nothing like the rest of them at all my friend")
+    rows = [(1, a), (None, a), (None, b), (None, b), (2, a), (2, c), (3, c), (3, c), (4, None), (5, "")]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, id int")
+    for limit in (500_000, 0):  # broadcast and joined
+        monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+        assert Counter(tuple(r)[:2] for r in keep(df).collect()) == Counter([(1, a), (None, a), (None, b), (None, b), (2, c), (4, None)])
 
 
 # -- line dedup --------------------------------------------------------------------------------------------------------------------
@@ -301,7 +375,7 @@ def vectors(spark, tables):
     return spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
 
 
-@pytest.mark.parametrize("shard, block", [(16_384, 4_096), (100, 10)])
+@pytest.mark.parametrize("shard, block", [(16_384, 262_144), (100, 10)])
 def test_search_exact(vectors, shard, block):
     rows = vectors.collect()
     want = brute_search([r["vec_id"] for r in rows], [np.array(r["embedding"], float) for r in rows], 20)
@@ -339,21 +413,38 @@ def test_search_odd(spark):
     assert ann.search(df.filter("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_search_repeated_rows_and_twins(spark):
+def test_search_twins(spark):
+    """A hundred equal vectors, near to all that point their way."""
     rng = np.random.default_rng(5)
-    distinct = [(k, rng.normal(size=8).tolist()) for k in range(200)]
-    twins = [(k, [100.0] * 8) for k in range(200, 300)]  # a hundred equal vectors, near to all that point their way
-    rows = distinct + twins
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(200)] + [(k, [100.0] * 8) for k in range(200, 300)]
     want = brute_search([k for k, _ in rows], [np.array(v) for _, v in rows], 20)
-    repeated = rows + [rows[0]] * 40 + [rows[7]] * 3 + [twins[0]] * 30
-    df = spark.createDataFrame(repeated, "vec_id long, embedding array<double>")
-    got = found(ann.search(df, F.col("vec_id") % 20 == 0, factor=1.0, leaf=8))
-    assert {q: [v for v, _ in x] for q, x in got.items()} == {q: [v for v, _ in x] for q, x in want.items()}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard in (16_384, 40):
+        got = found(ann.search(df, F.col("vec_id") % 20 == 0, factor=1.0, leaf=8, shard=shard))
+        assert {q: [v for v, _ in x] for q, x in got.items()} == {q: [v for v, _ in x] for q, x in want.items()}
+
+
+def test_search_skips_regions(spark, monkeypatch):
+    """On clustered vectors most regions are never visited, and the answer is exact all the same."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16)) * 10
+    x = centres[rng.integers(0, 12, 3000)] + rng.normal(size=(3000, 16)) * 0.3
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    visits, table = [], ann.table
+    monkeypatch.setattr(ann, "table", lambda d, name: (visits.append(out) if name == "ann-visits" else None, out)[1] if (out := table(d, name)) is not None else None)
+    got = found(ann.search(df, F.col("vec_id") % 20 == 0, shard=100, leaf=16))
+    want = brute_search(range(3000), x, 20)
+    assert {q: [v for v, _ in y] for q, y in got.items()} == {q: [v for v, _ in y] for q, y in want.items()}
+    shards = sum(v.select("shard").distinct().count() for v in visits[:1])
+    assert sum(v.count() for v in visits) < 0.6 * len(want) * shards
 
 
-def test_search_first_twins():
-    x = np.array([[1.0, 2.0], [3.0, 4.0], [1.0, 2.0], [1.0, 2.0], [0.0, 0.0]])
-    assert ann.first_twins(x, np.array([9, 5, 7, 8, 1]), 2).tolist() == [1, 2, 3, 4]
+def test_search_shared_ids_lengths_and_clashing_columns(spark):
+    """Rows that share an id are rows of their own, vectors of another length another table; other columns are not read."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (20, [3.0]), (21, [2.0]), (22, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "vec_id long, embedding array<double>, id int, tag string, rank int")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, F.col("vec_id") % 20 == 0).collect())
+    assert got == sorted([(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 0, 0.0)] * 2 + [(20, 1, 21, 6.0)])
 
 
 # -- BPE ------------------------------------------------------------------------------------------------------------------------------
@@ -369,7 +460,7 @@ def library():
 
 def hard_texts():
     rng = random.Random(1)
-    pool = "aAbBéÉ \n\t'sStTreÑüß<|endoftext|>0129²½ΣςİĲ\u0301\u00a0\u3000漢字🎉!!..--"
+    pool = "aAbBéÉ \n\t'sStTreÑüß<|endoftext|>0129²½ΣςİĲ\u0301\u00a0\u3000漢字🎉!!..--\u201c\u2019\u2014\x1c\x0b"
     made = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) + rng.choice(["", "<|endoftext|>", "<|startoftext|> x", "'S it'LL"]) for _ in range(1500)]
     return made + ["a" * 5000, "ab" * 3000, "", " ", "xq" * 200, *(f"a{chr(c)}b" for c in range(1, 0x700))]
 
@@ -383,6 +474,15 @@ def test_bpe_equals_library(library, texts):
         assert " ".join(said) == want.decode(right, skip_special_tokens=False)
 
 
+def test_bpe_stretches():
+    """Only what touches a character beyond Latin letters leaves the fast path, and nothing is lost."""
+    for text in hard_texts():
+        found = list(bpe.stretches(text))
+        assert "".join(x for x, _ in found) == text
+        assert all(foreign == bool(re.search("[^\x00-\u017f]", x)) and not (foreign and re.search(r"[ \t-\r]", x)) for x, foreign in found if len(found) > 1)
+    assert list(bpe.stretches("It is so. \u201cYes,\u201d he said\n")) == [("It is so. ", False), ("\u201cYes,\u201d", True), (" he said\n", False)]
+
+
 def test_bpe_cuts_are_certain(library):
     coder = bpe.codec(bpe.default_vocabulary())
     word = "".join(coder.letters[b] for b in "xqzjé漢vwq".encode())
@@ -474,7 +574,44 @@ def test_packing_odd(odd, none, library):
 def test_byte_bpe_equals_library(library):
     coder = packing.byte_bpe(*packing.default_ranks())
     for text in hard_texts():
-        assert coder.encode(text, allowed_special="all") == library["byte_bpe_50k"].encode(text, add_special_tokens=False).ids
+        assert coder.encode(text).tolist() == library["byte_bpe_50k"].encode(text, add_special_tokens=False).ids
+
+
+def long_texts():
+    """Texts whose words are longer than the splitter and the merging of a byte-level BPE library can take."""
+    rng = random.Random(8)
+    return [
+        "x" + " " * 1_200_000 + "y", "\n" * 1_100_001, "\t" * 1_000_001 + "end", "a" * 1_500_003, "x <|endoftext|>" + "Z" * 700_001 + "'s " + "é" * 600_000,
+        " \n" * 600_000 + "b", "".join(rng.choice(["word ", "Two words. ", "\n\n", "12 ", "<|endoftext|>", "é漢 "]) for _ in range(250_000)), "=" * 900_000 + " - " + "!" * 600_000,
+    ]
+
+
+@pytest.mark.parametrize("k", range(8))
+def test_byte_bpe_of_long_texts(library, k):
+    """Any text is encoded, as the library does."""
+    coder, text = packing.byte_bpe(*packing.default_ranks()), long_texts()[k]
+    assert np.array_equal(coder.encode(text), library["byte_bpe_50k"].encode(text, add_special_tokens=False).ids)
+
+
+def test_byte_bpe_in_parts(library, monkeypatch):
+    coder = packing.byte_bpe(*packing.default_ranks())
+    for long, runs in ((40, 10_000), (8, 3)):
+        monkeypatch.setattr(packing, "LONG", long)
+        monkeypatch.setattr(packing, "MANY_RUNS", runs)
+        for text in [*hard_texts()[:400], "It's 5 o'clock  here.\n\n And there  " * 20, "aaaaaaaab" * 30, "  \n\n\n   \n" * 20 + "z"]:
+            assert coder.encode(text).tolist() == library["byte_bpe_50k"].encode(text, add_special_tokens=False).ids, text[:80]
+
+
+def test_long_texts_in_spark(spark, library):
+    """Packing and token counts of a document of blanks, one of a letter, and one of very many lines."""
+    texts = {1: "x" + " " * 1_200_000 + "y", 2: "a" * 1_500_003, 3: "b\n" * 300_000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check_packing(packing.digest(packing.pack(df)).toPandas(), texts, library, 2048)
+    got = tokencounts.count_sections(df).toPandas()
+    assert got.groupby("doc_id").size().to_dict() == {1: 1, 2: 1, 3: 300_001}
+    assert (got.groupby("doc_id").n_tokens.sum() == got.groupby("doc_id").doc_tokens.first()).all()
+    third = got[got.doc_id == 3].sort_values("part")
+    assert third.part.tolist() == list(range(300_001)) and (third.n_tokens[:-1] == 2).all()
 
 
 # -- URL filter -----------------------------------------------------------------------------------------------------------------------
@@ -509,75 +646,147 @@ def test_url_rules(spark):
     assert urlfilter.judge(pages.filter("false"), entries.URL_RULES, labels).count() == 0
 
 
-def brute_templates(pages):
-    """host, path, bad -> verdict of the tree, by plain loops over nested levels."""
-    rows = []
-    for host, path, bad in pages:
-        parts = [p for p in path.split("/") if p]
-        seg = [re.sub("[0-9]+", "*", p) for p in parts[: urlfilter.DEPTH]]
-        if len(parts) > urlfilter.DEPTH:
-            seg[-1] = "**"
-        rows.append([host, seg, bad])
-    for level in range(urlfilter.DEPTH):
-        kids = {}
-        for host, seg, _ in rows:
-            if len(seg) > level:
-                kids.setdefault((host, tuple(seg[:level])), set()).add(seg[level])
-        for row in rows:
-            if len(row[1]) > level and len(kids[row[0], tuple(row[1][:level])]) > urlfilter.MAX_CHILDREN:
-                row[1] = [*row[1][:level], "*", *row[1][level + 1 :]]
-    stats, pools, hosts = {}, {}, {}
-    for host, seg, bad in rows:
-        if bad is not None:
-            for table, key in ((stats, (host, tuple(seg))), (pools, (host, tuple(seg[:-1]))), (hosts, host)):
-                n, b = table.get(key, (0, 0))
-                table[key] = (n + 1, b + bad)
-    n, b = (sum(x[k] for x in hosts.values()) for k in (0, 1))
-    share, merged = b / max(1, n), {}
-    alike = {}
-    for (host, seg), (n, b) in stats.items():
-        pn, pb = pools[host, seg[:-1]]
-        p = pb / pn
-        alike[host, seg] = abs(b - n * p) <= urlfilter.MERGE_Z * math.sqrt(max(n * p * (1 - p), 0.25))
-        if alike[host, seg]:
-            x = merged.get((host, seg[:-1]), (0, 0))
-            merged[host, seg[:-1]] = (x[0] + n, x[1] + b)
+def brute_templates(pages, min_pages=urlfilter.MIN_PAGES):
+    """host, path, bad -> template and verdict of the tree, by recursion over nested lists of pages."""
+    rows = [(host, [re.sub("[0-9]+", "*", p) for p in path.split("/") if p]) for host, path, _ in pages]
+    template = [""] * len(rows)
+
+    def descend(own, prefix, level):
+        kids, nodes, wild = {}, {}, []
+        for i in own:
+            if len(rows[i][1]) == level:
+                template[i] = prefix
+            else:
+                kids.setdefault(rows[i][1][level], []).append(i)
+        for segment, inside in kids.items():
+            if len(inside) >= min_pages:
+                nodes[segment] = inside
+            else:
+                wild += inside
+        if len(wild) >= min_pages:
+            nodes["*"] = nodes.get("*", []) + wild
+        else:
+            for i in wild:
+                template[i] = f"{prefix}/**"
+        for segment, inside in nodes.items():
+            descend(inside, f"{prefix}/{segment}", level + 1)
+
+    for host in {h for h, _ in rows}:
+        descend([i for i, r in enumerate(rows) if r[0] == host], host, 0)
+    up = lambda t: ["/".join(t.split("/")[: k + 1]) for k in range(t.count("/") + 1)]
+    count, bad = Counter(), Counter()
+    for (_, _, b), t in zip(pages, template):
+        if b is not None:
+            count.update(up(t))
+            bad.update(up(t) * b)
+
+    def stands_alone(node):
+        n, parent = count[node], node.rpartition("/")[0]
+        if "/" not in node or n < urlfilter.MIN_LABELS:
+            return False
+        share = bad[parent] / count[parent]
+        return abs(bad[node] - n * share) > urlfilter.MERGE_Z * math.sqrt(max(n * share * (1 - share), 0.25))
+
+    branch = [next((n for n in reversed(up(t)) if stands_alone(n)), t.split("/")[0]) for t in template]
+    n, b = Counter(), Counter()
+    for (_, _, x), own in zip(pages, branch):
+        if x is not None:
+            n[own] += 1
+            b[own] += x
+    share = sum(b.values()) / max(1, sum(n.values()))
     verdicts = []
-    for host, seg, _ in rows:
-        key, up = (host, tuple(seg)), (host, tuple(seg[:-1]))
-        same = alike.get(key, up in pools and 0 <= urlfilter.MERGE_Z)  # an unlabelled template cannot be told apart
-        n, b = (merged.get(up, (0, 0)) if same else stats[key])
-        hn, hb = hosts.get(host, (0, 0))
-        prior = (hb + urlfilter.SMOOTHING * share) / (hn + urlfilter.SMOOTHING)
-        verdicts.append("block" if n >= urlfilter.MIN_LABELS and (b + urlfilter.SMOOTHING * prior) / (n + urlfilter.SMOOTHING) > urlfilter.MAX_BAD else "allow")
-    return verdicts
+    for (host, _), own in zip(rows, branch):
+        prior = (bad[host] + urlfilter.SMOOTHING * share) / (count[host] + urlfilter.SMOOTHING)
+        verdicts.append("block" if n[own] >= urlfilter.MIN_LABELS and (b[own] + urlfilter.SMOOTHING * prior) / (n[own] + urlfilter.SMOOTHING) > urlfilter.MAX_BAD else "allow")
+    return template, verdicts
+
+
+def url_pages():
+    """Wide nodes with one bad section, sections that differ only far below, branches alike, rare children, odd hosts."""
+    rng, pages = random.Random(2), []
+    for _ in range(6000):
+        host = rng.choice(["a.net", "b.net", "a.net", ""])
+        kind = rng.choice(["spam", "news", "user", "", "deep", "wide", "shop"])
+        name = chr(97 + rng.randrange(26)) + chr(97 + rng.randrange(26))
+        wide, low = f"s{chr(97 + rng.randrange(8))}{chr(97 + rng.randrange(8))}", rng.choice(["good", "bad"])
+        path = {"spam": f"/spam/{rng.randint(0, 999)}", "news": f"/news/{rng.choice('pq')}/{rng.randint(0, 9)}.html", "user": f"/user/n{name}/posts", "deep": f"/a/b/c/d/e/f/g/{low}/x",
+                "wide": f"/wide/{wide}/{rng.randint(0, 9)}", "shop": f"/shop/{rng.choice(['one', 'two', 'three', f'{name}q'])}//{low}"}.get(kind, "/")
+        often = 0.95 if kind == "spam" or kind == "user" and host == "b.net" or kind in ("deep", "shop") and low == "bad" or wide == "sab" and kind == "wide" else 0.03
+        pages.append((host, path, int(rng.random() < often) if rng.random() < 0.6 else None))
+    return pages + [("a.net", f"/wide/k{chr(97 + k // 8)}{chr(97 + k % 8)}/{n}", int(k == 50) if n % 2 else None) for k in range(60) for n in range(14)]
 
 
 def test_url_tree(spark):
-    rng = random.Random(2)
-    pages = []
-    for _ in range(1500):
-        host = rng.choice(["a.net", "b.net"])
-        kind = rng.choice(["spam", "news", "user", "", "x/y/z/w/v"])
-        path = {"spam": f"/spam/{rng.randint(0, 999)}", "news": f"/news/{rng.choice('pq')}/{rng.randint(0, 9)}.html", "user": f"/user/n{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}/posts"}.get(kind, f"/{kind}")
-        bad = int(rng.random() < (0.9 if kind == "spam" or kind == "user" and host == "b.net" else 0.05)) if rng.random() < 0.7 else None
-        pages.append((host, path, bad))
+    pages = url_pages()
+    rows = [(k, f"http://{h}{p}" if h else None if p == "/" else f"://{p}", b, "clash", 1) for k, (h, p, b) in enumerate(pages)]
+    rows += rows[:5]  # repeated rows
+    pages = [(h, p if h or p != "/" else "", b) for h, p, b in pages]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad int, template string, id int")
+    got = urlfilter.judge(df, [], df.select(F.col("page_id").alias("item"), "bad"))
+    assert got.count() == len(rows) and got.columns == ["page_id", "host", "path", "rule", "verdict", "template"]
+    got = {r["page_id"]: r for r in got.collect()}
+    template, verdict = brute_templates([*pages, *pages[:5]])
+    assert [got[k]["template"] for k in range(len(pages))] == template[: len(pages)]
+    assert [got[k]["verdict"] for k in range(len(pages))] == verdict[: len(pages)]
+    seen = {(h, p): got[k]["verdict"] for k, (h, p, _) in enumerate(pages)}
+    assert seen["a.net", "/a/b/c/d/e/f/g/bad/x"] == "block" and seen["a.net", "/a/b/c/d/e/f/g/good/x"] == "allow"  # however deep
+    assert {v for (h, p), v in seen.items() if h == "a.net" and p.startswith("/wide/")} == {"allow", "block"}  # however wide
+    assert {v for (h, p), v in seen.items() if h == "b.net" and p.startswith("/user/")} == {"block"}  # rare children together
+    assert len({t.split("/")[2] for t in template if t.startswith("a.net/user/")}) < 676
+
+
+def test_url_branches_merge(spark):
+    """Two subtrees that are bad alike are one branch: a template with few labels below them goes too; a good one stays."""
+    pages = [("h.net", f"/x/{side}/{leaf}", 1 if side != "r" else 0) for side in "pqr" for leaf in "abcdef" for _ in range(12)]
+    pages = [(h, p, b if p[-1] != "f" else None) for h, p, b in pages] + [("h.net", "/y", 0)] * 100
     df = spark.createDataFrame([(k, f"http://{h}{p}", b) for k, (h, p, b) in enumerate(pages)], "page_id long, url string, bad int")
-    got = {r["page_id"]: r for r in urlfilter.judge(df, [], df.select(F.col("page_id").alias("item"), "bad")).collect()}
-    want = brute_templates(pages)
-    assert [got[k]["verdict"] for k in range(len(pages))] == want and set(want) == {"allow", "block"}
-    assert got[next(k for k, p in enumerate(pages) if p[1].startswith("/user"))]["template"].split("/", 1)[1] == "user/*/posts"
+    got = {r["path"]: r["verdict"] for r in urlfilter.judge(df, [], df.select(F.col("page_id").alias("item"), "bad")).collect()}
+    assert got["/x/p/f"] == got["/x/q/f"] == "block" and got["/x/r/f"] == got["/y"] == "allow"
+    tree = df.select(F.lit("h.net").alias("host"), F.concat(F.lit("h.net"), urlfilter.path(F.col("url"))).alias("template"), F.col("bad").isNotNull().cast("int").alias("labels"), F.coalesce("bad", F.lit(0)).alias("bad"))
+    branch = {r["template"]: r["branch"] for r in urlfilter.rejected(tree).collect()}
+    assert branch["h.net/x/p/a"] == branch["h.net/x/p/f"]
+
+
+@pytest.mark.parametrize("limit", [100_000, -1])
+def test_url_odd(spark, monkeypatch, limit):
+    monkeypatch.setattr(urlfilter, "BROADCAST_PATHS", limit)
+    long = "http://h.net/" + "/".join(["seg"] * 3000) + "?" + "q" * 100_000
+    df = spark.createDataFrame([(k, u) for k, u in enumerate([*URLS, long, None])] + [(None, long)], "page_id long, url string")
+    none = spark.createDataFrame([], "item long, bad int")
+    got = urlfilter.judge(df, [], none).collect()
+    assert len(got) == len(URLS) + 3 and {r["verdict"] for r in got} == {"allow"}
+    few = urlfilter.judge(df, [], none, min_pages=1).filter("page_id = 0 or path like '%seg%'").collect()
+    assert {r["template"] for r in few if r["path"]} == {"h.net" + "/seg" * 3000} if limit > 0 else True
+    labels = spark.createDataFrame([(k, 1) for k in range(len(URLS))], "item long, bad int")
+    assert urlfilter.judge(df.filter("false"), [], labels).count() == 0
 
 
 # -- near copies in the pipeline ----------------------------------------------------------------------------------------------------
 
 
 def brute_shingles(text):
-    words = text.lower().split()
-    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    words = W.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def unite(n, pairs):
+    """The smallest member of each number's component."""
+    root = list(range(n))
+    for a, b in pairs:
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    return root
+
+
+def brute_near(texts):
+    """id -> smallest id reachable by pairs of 0.8 or more."""
+    ids, sets = sorted(texts), []
+    sets = [brute_shingles(texts[k]) for k in ids]
+    near = [(a, b) for a in range(len(ids)) for b in range(a) if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return {k: ids[r] for k, r in zip(ids, unite(len(ids), near))}
 
 
-def test_pipeline_drops_near_copies(spark):
+def test_pipeline_drops_near_copies(spark, monkeypatch):
     """Planted near copies of 0.8 to 0.95 go, less similar texts stay, chains and a group of many join."""
     rng, rows = random.Random(5), []
     for base in range(60):
@@ -588,19 +797,28 @@ def test_pipeline_drops_near_copies(spark):
             for at in rng.sample(range(len(words)), max(1, round(len(words) * rng.choice([0.006, 0.015, 0.022, 0.06])))):
                 changed[at] = f"x{rng.randrange(10**6)}"
             rows.append(changed)
-    texts = [" ".join(w) for w in rows]
-    sets = [brute_shingles(t) for t in texts]
-    root, planted = list(range(len(texts))), 0
-    for a in range(len(texts)):
-        for b in range(a):
-            common = len(sets[a] & sets[b])
-            similar = common / (len(sets[a]) + len(sets[b]) - common)
-            if similar >= 0.8:
-                planted += similar < 0.95
-                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
-    assert planted > 100 and 60 < len(set(root)) < len(texts) / 2
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == set(root)
+    texts = {k: " ".join(w) for k, w in enumerate(rows)}
+    sets = [brute_shingles(t) for t in texts.values()]
+    planted = sum(0.8 <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.95 for a in range(len(sets)) for b in range(a))
+    roots = set(brute_near(texts).values())
+    assert planted > 100 and 60 < len(roots) < len(texts) / 2
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block in (1024, 7):  # whole stars, and stars in many blocks
+        monkeypatch.setattr(nearcopies, "BLOCK", block)
+        assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == roots
+
+
+def test_near_copies_forest():
+    """Of stars with crowds just below and above the similarity, the links join what brute force joins."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        base = rng.integers(0, 1 << 40, 100)
+        sets = [np.unique(np.where(rng.random(100) < rng.choice([0.02, 0.1, 0.13]), rng.integers(0, 1 << 40, 100), base)) for _ in range(80)]
+        root = rng.integers(0, 4, 80) * (np.arange(80) < 30) + np.arange(80) * (np.arange(80) >= 30)
+        found = nearcopies.forest(root, np.array([len(s) for s in sets]), np.concatenate(sets), 0.8)
+        near = [(a, b) for a in range(80) for b in range(a) if (n := len(np.intersect1d(sets[a], sets[b]))) / (len(sets[a]) + len(sets[b]) - n) >= 0.8]
+        own = [(k, int(np.nonzero(root == root[k])[0][0])) for k in range(80)]
+        assert unite(80, near + own) == unite(80, found + own)
 
 
 # -- queries and pipeline ----------------------------------------------------------------------------------------------------------
@@ -635,9 +853,7 @@ def test_pipeline(spark, tables, texts, library):
         pages.update((source[k], x) for x in set(t.split("\n")) if x.strip(" \t\x0b\x0c\r"))
     bad = {key for key, n in pages.items() if n >= linededup.MIN_PAGES and n > linededup.MAX_RATIO * total[key[0]]}
     kept = {k: "\n".join(x for x in t.split("\n") if (source[k], x) not in bad) for k, t in kept.items()}
-    ids = sorted(kept)
-    roots = brute_components([brute_fingerprint(kept[k]) for k in ids])
-    kept = {ids[r]: kept[ids[r]] for r in set(roots)}
+    kept = {k: kept[k] for k in set(brute_near(kept).values())}
     got = corpus_pipeline.run(spark, tables).toPandas()
     assert set(got.doc_id) == set(kept)
     check_packing(got, kept, library, 2048)
