@@ -27,6 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); a local one is made only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="pegspark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -48,12 +50,17 @@ def few(df: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """The same as a table bucketed by key: a later grouping by key reads it without a shuffle."""
+    """The same as a table bucketed by key: a later grouping by key reads it without a shuffle.
+
+    Its name leaves the session's catalogue at once; the files stay, and what is returned goes on reading them.
+    """
     spark = df.sparkSession
     name = f"{name}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

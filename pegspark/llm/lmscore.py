@@ -4,7 +4,8 @@ The n-grams of all documents are exploded, counted in tables partitioned by hash
 The relations are packed: documents are gathered in batches, a row holds the distinct n-grams of one batch in one
 partition (bucket) of the hash space as arrays, and a frequent n-gram is there once per batch, not once per document.
 One shuffle by bucket counts all orders; the counts return by batch, to a table of batches that is bucketed by batch and
-so not shuffled, where tokens and counts are joined and the logarithms are summed.
+so not shuffled, where tokens and counts are joined and the logarithms are summed. fit() gives the count tables of a
+corpus by themselves, a row per n-gram, to be kept and joined when other texts are scored under them.
 """
 
 from __future__ import annotations
@@ -157,6 +158,32 @@ def _count(group: pa.Table) -> pa.Table:
     return pa.table({"batch": group["batch"], "n": group["n"], "bucket": group["bucket"], "counts": pa.array(back, pa.binary())})
 
 
+def _tabled(min_count: int, buckets: int):
+    """One partition of the count table of one order, a row per n-gram; longer n-grams below min_count are left out."""
+
+    def run(group: pa.Table) -> pa.Table:
+        n, bucket = group["n"][0].as_py(), group["bucket"][0].as_py()
+        distinct, which = np.unique(np.concatenate([np.cumsum(unpack(x), dtype=np.uint64) for x in group["hashes"].to_pylist()]), return_inverse=True)
+        seen = np.bincount(which, weights=np.concatenate([unpack(x) for x in group["times"].to_pylist()])).astype(np.int64)
+        kept = seen >= (min_count if n > 1 else 1)
+        same = lambda value: pa.array(np.full(kept.sum(), value, np.int32))
+        return pa.table({"n": same(n), "bucket": same(bucket), "buckets": same(buckets), "hash": pa.array(distinct[kept].view(np.int64)), "seen": pa.array(seen[kept])})
+
+    return run
+
+
+def _look_up(group: pa.Table, known: pa.Table) -> pa.Table:
+    """The counts that a partition of kept tables has for each batch's n-grams; 0 for those that it lacks."""
+    order = np.argsort(hashes := known["hash"].to_numpy().view(np.uint64), kind="stable")
+    hashes, seen = np.append(hashes[order], np.uint64(0)), np.append(known["seen"].to_numpy()[order], 0)
+    back = []
+    for x in group["hashes"].to_pylist():
+        asked = np.cumsum(unpack(x), dtype=np.uint64)
+        at = np.searchsorted(hashes[:-1], asked)
+        back.append(pack(np.where((at < len(hashes) - 1) & (hashes[at] == asked), seen[at], 0)))
+    return pa.table({"batch": group["batch"], "n": group["n"], "bucket": group["bucket"], "counts": pa.array(back, pa.binary())})
+
+
 def _score(order: int, total: int, min_count: int, backoff: float):
     names = ["n_words", "log_score", *(f"n_order{n}" for n in range(1, order + 1))]
 
@@ -190,21 +217,50 @@ def _score(order: int, total: int, min_count: int, backoff: float):
     return run
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, bucket_ngrams: int = BUCKET_NGRAMS) -> DataFrame:
-    """Per row: id_col, n_words, log_score (natural logarithm, summed over words), and n_order1.. (words scored there).
-
-    A word's score is the relative frequency of the longest n-gram that ends in it and that the tables have, times
-    backoff for every order given up; the tables are those of all rows of df. A null or wordless text has n_words 0 and
-    log_score 0. Repeated rows are texts of their own; an empty table gives no rows; other columns are not read.
-    """
+def _batches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = df.schema[id_col].dataType
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     packed = T.StructType([T.StructField("batch", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("words", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("lens", "vocab", "tokens"))])
-    batches = bucketed(rows.mapInArrow(_batch, packed), "lm_batches", "batch")
+    return bucketed(rows.mapInArrow(_batch, packed), "lm_batches", "batch")
+
+
+def _grams(batches: DataFrame, order: int, buckets: int) -> DataFrame:
+    return batches.select("batch", "lens", "vocab", "tokens").mapInArrow(_explode(order, buckets), "batch long, n int, bucket int, hashes binary, times binary")
+
+
+def fit(df: DataFrame, text_col: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, bucket_ngrams: int = BUCKET_NGRAMS) -> DataFrame:
+    """The count tables of a corpus: n, bucket (of buckets), hash (in the bucket) and seen of each n-gram.
+
+    A row with n = 0 has the number of words as seen. An empty table, or one without words, gives that row alone, with 0.
+    """
+    batches = _batches(df.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), "id", "text")
     total = batches.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // bucket_ngrams))
-    grams = batches.select("batch", "lens", "vocab", "tokens").mapInArrow(_explode(order, buckets), "batch long, n int, bucket int, hashes binary, times binary")
-    counts = grams.groupBy("n", "bucket").applyInArrow(_count, "batch long, n int, bucket int, counts binary")
+    ddl = "n int, bucket int, buckets int, hash long, seen long"
+    words = df.sparkSession.createDataFrame([(0, 0, buckets, 0, total)], ddl)
+    return _grams(batches, order, buckets).groupBy("n", "bucket").applyInArrow(_tabled(min_count, buckets), ddl).unionByName(words)
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, bucket_ngrams: int = BUCKET_NGRAMS, tables: DataFrame | None = None) -> DataFrame:
+    """Per row: id_col, n_words, log_score (natural logarithm, summed over words), and n_order1.. (words scored there).
+
+    A word's score is the relative frequency of the longest n-gram that ends in it and that the tables have, times
+    backoff for every order given up; the tables are those of all rows of df, or those given (of fit, with the same order
+    and min_count), where a word that they lack counts as seen once. A null or wordless text has n_words 0 and log_score
+    0. Repeated rows are texts of their own; an empty table gives no rows; other columns are not read. A very long text
+    is a batch of its own, held by one task at a time.
+    """
+    batches = _batches(df, id_col, text_col)
+    if tables is None:
+        total = batches.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+        grams = _grams(batches, order, max(1, -(-total // bucket_ngrams)))
+        counts = grams.groupBy("n", "bucket").applyInArrow(_count, "batch long, n int, bucket int, counts binary")
+    else:
+        one = tables.filter("n = 0").first()
+        total, known = one["seen"], tables.filter("n > 0").select("n", "bucket", "hash", "seen")
+        grams = _grams(batches, order, one["buckets"])
+        counts = grams.groupBy("n", "bucket").cogroup(known.groupBy("n", "bucket")).applyInArrow(_look_up, "batch long, n int, bucket int, counts binary")
+    kind = df.schema[id_col].dataType
     result = T.StructType([T.StructField("id", kind), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType()), *(T.StructField(f"n_order{n}", T.LongType()) for n in range(1, order + 1))])
     scored = batches.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(_score(order, total, min_count, backoff), result)
     return scored.withColumnRenamed("id", id_col)
