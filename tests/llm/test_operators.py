@@ -525,6 +525,32 @@ def test_lm_scores(spark, docs, texts, monkeypatch, order, bucket, size):
         assert math.isclose(got[doc_id]["log_score"], score, rel_tol=1e-9, abs_tol=1e-9) and got[doc_id]["n_words"] == len(w)
 
 
+def test_lm_kept_tables(spark, docs, texts, none, monkeypatch):
+    """Tables of one corpus, kept and joined: the corpus scores as before, other texts as brute force has it."""
+    monkeypatch.setattr(lmscore, "BATCH_BYTES", 20_000)
+    tables = lmscore.fit(docs, bucket_ngrams=3000).cache()
+    own, again = (sorted((r["doc_id"], r["n_words"], round(r["log_score"], 6)) for r in lmscore.score(docs, bucket_ngrams=3000, tables=t).collect()) for t in (None, tables))
+    assert own == again
+    one, two, three = Counter(), Counter(), Counter()
+    for t in texts.values():
+        w = lmscore.words(t.encode())
+        one.update(w), two.update(zip(w, w[1:])), three.update(zip(w, w[1:], w[2:]))
+    asked = " ".join([*texts[1].split()[:30], "never-seen", *texts[2].split()[:30]])
+    w, score = lmscore.words(asked.encode()), 0.0
+    for k in range(len(w)):
+        a, b, c = (None, None, w[k]) if not k else (None, w[k - 1], w[k]) if k == 1 else tuple(w[k - 2 : k + 1])
+        if k > 1 and three[a, b, c] > 1:
+            score += math.log(three[a, b, c] / two[a, b])
+        elif k and two[b, c] > 1:
+            score += math.log(two[b, c] / one[b]) + math.log(0.4) * (k > 1)
+        else:
+            score += math.log(max(1, one[c]) / sum(one.values())) + math.log(0.4) * min(k, 2)
+    got = lmscore.score(spark.createDataFrame([(9, asked)], "doc_id long, text string"), tables=tables).first()
+    assert got["n_words"] == len(w) and math.isclose(got["log_score"], score, rel_tol=1e-9)
+    assert [tuple(r) for r in lmscore.fit(none).collect()] == [(0, 0, 1, 0, 0)]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lm_batches")]
+
+
 def test_lm_odd(odd, none):
     got = [(r["doc_id"], r["n_words"], r["log_score"]) for r in lmscore.score(odd).collect()]
     assert len(got) == len(ODD) and {g for g in got if g[0] in (2, 3, None)} == {(2, 0, 0.0), (3, 0, 0.0), (None, 0, 0.0)}
