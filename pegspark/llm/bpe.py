@@ -25,7 +25,8 @@ MEMORY = 500_000
 NONE = 1 << 60
 _NOT_LATIN = re.compile("[^\x00-\u017f]")
 #: White space that parts words whatever stands around it: no normalisation, lower case or word spans it.
-_SPACES = {k: " " for k in range(9, 14)}
+_SPACES = " \n\t\r\x0b\x0c"
+_SPACE = re.compile(r"[ \t-\r]")
 
 
 def byte_letters() -> list[str]:
@@ -188,16 +189,14 @@ class Codec:
 
 def stretches(text: str) -> Iterator[tuple[str, bool]]:
     """A text in pieces between spaces: those with a character beyond U+017F alone (True), all between them together."""
-    if not _NOT_LATIN.search(text):
-        yield text, False
-        return
-    flat, at = text.translate(_SPACES), 0
-    for found in _NOT_LATIN.finditer(text):
-        if found.start() < at:
-            continue
-        begin = max(at, flat.rfind(" ", at, found.start()) + 1)
-        end = flat.find(" ", found.end())
-        end = len(text) if end < 0 else end
+    at = 0
+    while found := _NOT_LATIN.search(text, at):
+        low = max(at, found.start() - 200)  # a space is mostly near
+        begin = max(text.rfind(c, low, found.start()) for c in _SPACES) + 1
+        if not begin:
+            begin = max(at, max(text.rfind(c, at, low) for c in _SPACES) + 1)
+        space = _SPACE.search(text, found.end())
+        end = space.start() if space else len(text)
         if begin > at:
             yield text[at:begin], False
         yield text[begin:end], True
