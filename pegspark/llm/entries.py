@@ -24,6 +24,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(quality.ledger(read(spark, sf_dir, "documents")))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per rule of the production policy, the documents that fail it and those that only it rejects."""
+    return quality.ablation(quality.ledger(read(spark, sf_dir, "documents")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(read(spark, sf_dir, "documents"))
 
@@ -65,7 +70,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_rules, op4_simhash, op5_line_dedup, op6_vector_search, op7_bpe, op8_lm_scores, op9_packing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_rules, op4_simhash, op5_line_dedup, op6_vector_search, op7_bpe, op8_lm_scores, op9_packing, op10_url_filter, quality_ablation)}
 
 
 _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
@@ -150,5 +155,12 @@ SELECT page_id, r.host, path, {case(lambda _, r: r)} AS rule, coalesce({case(lam
 FROM r JOIN final f ON r.host = f.host AND r.lexical = f.lexical""".replace("(host = ", "(r.host = ").replace("ends_with(host", "ends_with(r.host")
 
 
+def _ablation_sql() -> str:
+    whole, names = quality.mask(quality.PRODUCTION), list(quality.RULES)
+    ledger, _, _ = _SQL["op3_quality_rules"].rpartition("SELECT *, fail_bits")
+    one = lambda rule, bit: f"SELECT '{rule}' AS rule, CAST(count(*) FILTER (fail_bits & {bit} <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (fail_bits & {whole} = {bit}) AS BIGINT) AS n_only FROM b"
+    return ledger + " UNION ALL ".join(one(rule, 1 << names.index(rule)) for rule in quality.POLICIES[quality.PRODUCTION])
+
+
 def oracle_sql() -> dict[str, str]:
-    return _SQL | {"op10_url_filter": _url_sql()}
+    return _SQL | {"op10_url_filter": _url_sql(), "quality_ablation": _ablation_sql()}
