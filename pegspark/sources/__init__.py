@@ -1,5 +1,5 @@
 """Sources of text: folders of files as a Spark data source."""
 
-from .files import FolderSource, read_folder, search_folder
+from .files import FolderSource, read_folder, search_folder, search_folder_hits
 
-__all__ = ["FolderSource", "read_folder", "search_folder"]
+__all__ = ["FolderSource", "read_folder", "search_folder", "search_folder_hits"]

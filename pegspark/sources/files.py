@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.grammar import Grammar
-from ..operators.search import search_lines
+from ..operators.search import search_hits, search_lines
 
 # Folders that are not searched.
 SKIPPED = (
@@ -173,3 +173,9 @@ def search_folder(spark: SparkSession, grammar: Grammar, path: str, glob: str |
     files = read_folder(spark, path, glob, stream)
     lines = search_lines(files.filter("text is not null"), grammar, "text", F.col("file"), start_line, end_line)
     return lines, files.filter("error is not null").select("file", "error")
+
+
+def search_folder_hits(spark: SparkSession, grammar: Grammar, path: str, glob: str | None = None, start_line: int | None = None, end_line: int | None = None, stream: bool = False) -> DataFrame:
+    """One row per hit in a folder or one file: file, line (from 1), col and end_col (from 0, in bytes of the line)."""
+    files = read_folder(spark, path, glob, stream).filter("text is not null")
+    return search_hits(files, grammar, "text", F.col("file"), start_line=start_line, end_line=end_line)

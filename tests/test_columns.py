@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pegspark.functions import Grammar, register
 from pegspark.functions.sql import register_grammar
 from pegspark.operators import format_results, hits, search_hits, search_lines
-from pegspark.sources import read_folder, search_folder
+from pegspark.sources import read_folder, search_folder, search_folder_hits
 from pegspark.streaming import number_lines, search_numbered, search_stream
 
 from test_matcher import random_cases
@@ -166,6 +166,8 @@ def test_folder(spark, folder):
     lines, _ = search_folder(spark, DIGITS, str(folder), glob="*.?s")
     assert sorted(os.path.basename(r["file"]) for r in lines.collect()) == [".hidden.ts", "a.ts", "d.ts"]
     assert read_folder(spark, str(folder / "a.ts")).count() == 1
+    found = search_folder_hits(spark, DIGITS, str(folder), start_line=2, end_line=9)
+    assert sorted((os.path.basename(r["file"]), r["line"], r["col"], r["end_col"]) for r in found.collect()) == [("d.ts", 2, 0, 1), ("d.ts", 2, 6, 7)]
 
 
 def test_stream(spark, folder, tmp_path):
