@@ -845,8 +845,9 @@ def test_near_copies_forest():
         root = rng.integers(0, 4, 80) * (np.arange(80) < 30) + np.arange(80) * (np.arange(80) >= 30)
         found = nearcopies.forest(root, np.array([len(s) for s in sets]), np.concatenate(sets), 0.8)
         near = [(a, b) for a in range(80) for b in range(a) if (n := len(np.intersect1d(sets[a], sets[b]))) / (len(sets[a]) + len(sets[b]) - n) >= 0.8]
-        own = [(k, int(np.nonzero(root == root[k])[0][0])) for k in range(80)]
-        assert unite(80, near + own) == unite(80, found + own)
+        first = {int(r): int(np.nonzero(root == r)[0][0]) for r in np.unique(root)}  # found links components, not sets
+        own = [(k, first[int(root[k])]) for k in range(80)]
+        assert found and unite(80, near + own) == unite(80, [(first[a], first[b]) for a, b in found] + own)
 
 
 # -- queries and pipeline ----------------------------------------------------------------------------------------------------------
