@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,3 +97,22 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text") -> Iterato
             held += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with, per name of sums, that column's sum over all rows before a row in the order, which must be total.
+
+    Rows are dealt to ranges of the order; sums within a range are windows, and one row of totals per range is summed for
+    what lies before it. So no task holds more than its range, however the rows are spread.
+    """
+    keys = [f"_order{k}" for k in range(len(order))]
+    keyed = df.select("*", *(c.alias(k) for c, k in zip(order, keys)), *(c.cast("long").alias(f"_of_{n}") for n, c in sums.items()))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = table(keyed.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_range").agg(*(F.sum(f"_of_{n}").alias(f"_all_{n}") for n in sums))
+    ranges = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    bases = totals.select("_range", *(F.coalesce(F.sum(f"_all_{n}").over(ranges), F.lit(0)).alias(f"_base_{n}") for n in sums))
+    inside = dealt.withColumns({n: F.coalesce(F.sum(f"_of_{n}").over(before), F.lit(0)) for n in sums})
+    found = inside.join(F.broadcast(bases), "_range")
+    return found.select(*(F.col(f"`{c}`") for c in df.columns), *((F.col(n) + F.col(f"_base_{n}")).alias(n) for n in sums))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, linededup, lmscore, packing, quality, simhash, tokencounts, urlfilter
+from . import alignment, ann, bpe, langid, linededup, lmscore, mixing, packing, quality, simhash, tokencounts, trie, urlfilter
 from .common import read
 
 
@@ -69,8 +69,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read(spark, sf_dir, "pages"), URL_RULES, labels, label_key=shown)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    found = mixing.plan(read(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the rebuilt conversations."""
+    nodes, ends = trie.build(*trie.rebuilt(trie.numbered(read(spark, sf_dir, "conversations"))))
+    shown = nodes.drop("longest").join(trie.end_digests(ends), ["depth", "conv_id"], "left")
+    return shown.withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document aligned, and its links judged by the counts of all documents."""
+    found, _ = alignment.align(read(spark, sf_dir, "documents"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_rules, op4_simhash, op5_line_dedup, op6_vector_search, op7_bpe, op8_lm_scores, op9_packing, op10_url_filter, quality_ablation)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_rules, op4_simhash, op5_line_dedup, op6_vector_search, op7_bpe, op8_lm_scores, op9_packing, op10_url_filter, op11_mixing, op12_prefix_trie, op13_alignment, quality_ablation)}
 
 
 _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
