@@ -71,6 +71,8 @@ class Pieces:
 
     def encode(self, unit: str) -> list[int]:
         """Ids of a unit; where it begins with no space, the one that the model puts before it is a piece of its own."""
+        if unit == " ":  # the model puts no space before nothing
+            return [self.model.piece_to_id(_SPACE)]
         return self.model.encode(unit[1:], num_threads=1) if unit[0] == " " else self.model.encode(unit, num_threads=1)[1:]
 
 

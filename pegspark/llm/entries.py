@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,7 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
-#: SQL of the queries that it can express. Others need a trained model (1), a tokenizer (2, 7, 9), a seeded hash (4), or
+#: SQL of the queries that it can express. Others need a trained model (1), a tokenizer (2, 7, 9, 13), a seeded hash (4), or
 #: are approximate (6); their tests hold them against brute force, a round trip or held-out accuracy.
 _SQL = {
     "op3_quality_rules": rf"""
@@ -130,6 +131,40 @@ g AS (SELECT r, count(*) AS n, sum(logp + (top - level) * ln(0.4)) AS score, cou
 SELECT doc_id, coalesce(n, 0) AS n_words, round(coalesce(score, 0), 6) AS log_score, coalesce(n1, 0) AS n_order1, coalesce(n2, 0) AS n_order2, coalesce(n3, 0) AS n_order3 FROM d LEFT JOIN g USING (r)""",
 }
 
+_SQL["op11_mixing"] = f"""
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS.format(text="text")}) AS BIGINT) AS size,
+    coalesce(CAST(doc_id AS VARCHAR), '-') || ' ' || coalesce(md5(source), '-') || ' ' || coalesce(md5(text), '-') AS key FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY key) - 1 AS number FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+p AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM s),
+w AS (SELECT *, list_extract({list(mixing.WEIGHTS)}, CAST(place % {len(mixing.WEIGHTS)} + 1 AS INT)) AS weight, source_size * {mixing.LIMIT} AS most FROM p),
+f AS (SELECT *, sum(most) OVER () / {mixing.LIMIT} AS total, sum(weight) OVER () AS whole, coalesce(sum(most) OVER before, 0) AS most_before, coalesce(sum(weight) OVER before, 0) AS weight_before
+    FROM w WINDOW before AS (ORDER BY most * {math.lcm(*mixing.WEIGHTS)} // weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, CAST(most AS HUGEINT) * CAST(whole - weight_before AS HUGEINT) < CAST(total - most_before AS HUGEINT) * CAST(weight AS HUGEINT) AS filled FROM f),
+h AS (SELECT *, total - coalesce(sum(most) FILTER (filled) OVER (), 0) AS open_size, greatest(1, whole - coalesce(sum(weight) FILTER (filled) OVER (), 0)) AS open_weight FROM g),
+t AS (SELECT source, source_size, CASE WHEN filled THEN CAST(most AS DOUBLE) ELSE CAST(open_size * weight AS DOUBLE) / CAST(open_weight AS DOUBLE) END AS target FROM h),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN CAST('0x' || substr(md5('{mixing.SEED}:' || key || ':' || number), 1, 13) AS BIGINT) / CAST({1 << 52} AS DOUBLE) < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM n JOIN r ON n.source IS NOT DISTINCT FROM r.source"""
+
+#: The checksum of a decimal number, bit by bit.
+_CRC32 = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, CAST(i AS INT), 1)) AS BIGINT))), lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+_SQL["op12_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT c, turn, role, length(text) AS size, md5(length(role) || ':' || role || text) AS item FROM t),
+n AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, item) AS place, item, size FROM i),
+q AS (SELECT c, count(*) AS turns, c - c % 100 AS base, {_CRC32.format("CAST(c AS VARCHAR)")} % 6 AS head FROM n GROUP BY c),
+g AS (SELECT q.*, least(q.head, coalesce(b.turns, 0)) AS given FROM q LEFT JOIN q b ON b.c = q.base),
+r AS (SELECT c, given + place - head AS depth, item, size FROM n JOIN g USING (c) WHERE place > head
+    UNION ALL SELECT g.c, place, item, size FROM g JOIN n ON n.c = g.base WHERE place <= given),
+s AS (SELECT g.c, coalesce(list(item ORDER BY depth) FILTER (item IS NOT NULL), []) AS items, list(size ORDER BY depth) AS sizes FROM g LEFT JOIN r USING (c) GROUP BY g.c),
+m AS (SELECT c, depth, items[1:depth] AS prefix, len(items) = depth AS ended, CASE WHEN depth > 0 THEN sizes[depth] ELSE 0 END AS size FROM (SELECT *, unnest(range(len(items) + 1)) AS depth FROM s)),
+k AS (SELECT prefix, depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(size) AS saved, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ended), '')) AS ends_sha256 FROM m GROUP BY prefix, depth),
+u AS (SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM k WHERE depth > 0 GROUP BY ALL),
+v AS (SELECT k.*, coalesce(n_children, 0) AS n_children, up.conv_id AS parent_conv_id FROM k LEFT JOIN u USING (prefix) LEFT JOIN k up ON k.depth > 0 AND up.prefix = k.prefix[1:k.depth - 1]),
+x AS (SELECT prefix[1:above] AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS above FROM v) GROUP BY ALL)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256 FROM v JOIN x USING (prefix)"""
+
 
 #: Levels of the tree that the SQL spells out; the operator has no such limit, and the tables have two.
 SQL_LEVELS = 4
