@@ -1,24 +1,28 @@
 """Matches with trees, extracts, partial results and reports of failure: what a regular expression cannot return.
 
 A program becomes nested functions once per worker; each takes a position and returns (end, nodes, extracts) or None.
-Results of rules are remembered per position. A node is (rule, start, end, children); positions are bytes.
+Results of rules are remembered per rule and position, so a rule is followed once where it stands. A node is (rule, start,
+end, children); positions are bytes.
+
+Nesting costs no Python frames beyond a few: where LEVELS rules are open within one another, the next is set aside, solved
+from an empty stack, and remembered; then what waited for it begins again and finds it. Only a search that may have to
+report a failure notes how far it came; what is looked at behind `isn't` and the like notes nothing, and remembers apart.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from .syntax import Alt, Any, Byte, Extract, Isnt, Joined, Minus, NoneOf, OneOf, Program, Ref, Repeat, Seq, Text, Until
+from .syntax import Alt, Any, Byte, Expr, Extract, Isnt, Joined, Minus, NoneOf, OneOf, Program, Ref, Repeat, Seq, Text, Until
 from .vocabulary import CHARACTERS, SAME_CHARACTER
 
 EXTRACT = "<extract>"
-#: Rules within rules that are followed; deeper, a text is refused with that reason. A rule takes few Python frames, which
-#: are kept on the heap.
+#: Rules within rules beyond which a text is refused, which bounds the memory that one text can take.
 DEEPEST = 1_000_000
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 40 * DEEPEST))
-#: Remembered results of rules beyond which a search for hits forgets those it has passed.
-MEMORY = 100_000
+#: Rules open within one another on the stack of Python's own calls.
+LEVELS = 1000
 Found = tuple[int, tuple, tuple]
 _NAMES = {c: name for name, c in CHARACTERS.items() if name not in SAME_CHARACTER}
 
@@ -30,6 +34,10 @@ class TooDeep(Exception):
         self.at = at
 
 
+class _Later(Exception):
+    """LEVELS rules are open; the one that this names is to be solved first."""
+
+
 def describe(byte: int) -> str:
     if 0x20 <= byte <= 0x7E:
         return f'"{chr(byte)}" (0x{byte:02X})'
@@ -51,43 +59,62 @@ class Matcher:
     def __init__(self, program: Program):
         self.program = program
         self.rules = {name: self._rule(name, self._expr(body)) for name, body in program.rules.items()}
-        self.entry = self.rules[program.entry]
+        self.frames = LEVELS * (3 + max(_height(body) for body in program.rules.values()))
         self.begin(b"")
 
     def begin(self, data: bytes, quiet: bool = False) -> None:
-        self.data, self.quiet, self.memo, self.stack = data, int(quiet), {}, []
-        self.furthest, self.expected, self.where = 0, set(), ()
+        """quiet: nothing is noted for a report. limited: rules within rules beyond DEEPEST end the match."""
+        self.data, self.quiet, self.limited = data, quiet, True
+        self.known: dict[bool, dict[str, dict[int, tuple[Found | None, int]]]] = {k: {name: {} for name in self.rules} for k in (False, True)}
+        self.furthest, self.expected, self.where = 0, set(), None
         self.best: Found = (0, (), ())
+        self.stack, self.level, self.open, self.deepest = None, 0, 0, 0
+
+    def entry(self, at: int) -> Found | None:
+        """The entry rule at a position, by way of all rules that are set aside."""
+        with _frames(self.frames):
+            return self._solve(at)
+
+    def _solve(self, at: int) -> Found | None:
+        waiting, got = [(self.program.entry, at, self.quiet, None, 0)], None
+        while waiting:
+            name, place, self.quiet, self.stack, self.level = waiting[-1]
+            self.open = self.deepest = 0
+            try:
+                got = self.rules[name](place)
+                waiting.pop()
+            except _Later as later:
+                waiting.append(later.args)
+        return got
 
     def miss(self, at: int, label: str) -> None:
-        if self.quiet:
+        if self.quiet or at < self.furthest:
             return
         if at > self.furthest:
-            self.furthest, self.expected, self.where = at, {label}, tuple(self.stack)
-        elif at == self.furthest:
-            self.expected.add(label)
+            self.furthest, self.expected, self.where = at, set(), self.stack
+        self.expected.add(label)
 
     def _rule(self, name: str, body: Callable[[int], Found | None]):
         def run(at: int) -> Found | None:
-            known = self.memo.get((name, at))
-            if known is not None:
-                found, far, labels, where = known
-                if found is None and labels and not self.quiet:
-                    if far > self.furthest:
-                        self.furthest, self.expected, self.where = far, set(labels), where
-                    elif far == self.furthest:
-                        self.expected |= labels
-                return found
-            before = self.furthest
-            if len(self.stack) >= DEEPEST:
+            known = self.known[self.quiet][name].get(at)
+            if known is None:
+                if self.open == LEVELS:
+                    raise _Later(name, at, self.quiet, self.stack, self.level)
+                known = follow(at)
+            self.deepest = max(self.deepest, known[1])
+            return known[0]
+
+        def follow(at: int) -> tuple[Found | None, int]:
+            if self.level >= DEEPEST and self.limited:
                 raise TooDeep(at)
-            self.stack.append(name)
+            outside, deepest, self.deepest = self.stack, self.deepest, 0
+            self.stack, self.level, self.open = (name, outside), self.level + 1, self.open + 1
             got = body(at)
-            self.stack.pop()
+            self.stack, self.level, self.open = outside, self.level - 1, self.open - 1
             found = None if got is None else (got[0], ((name, at, got[0], got[1]),), got[2])
-            fresh = found is None and not self.quiet and self.furthest > before
-            self.memo[name, at] = (found, self.furthest, frozenset(self.expected) if fresh else frozenset(), self.where)
-            return found
+            result = self.known[self.quiet][name][at] = found, self.deepest + 1
+            self.deepest = deepest
+            return result
 
         return run
 
@@ -113,9 +140,9 @@ class Matcher:
         return run
 
     def _silent(self, part, at: int) -> Found | None:
-        self.quiet += 1
+        before, self.quiet = self.quiet, True
         got = part(at)
-        self.quiet -= 1
+        self.quiet = before
         return got
 
     def _expr(self, e):
@@ -245,10 +272,7 @@ class Matcher:
 
     def _isnt(self, body, negated, label: str):
         def run(at: int) -> Found | None:
-            before = self.furthest, set(self.expected), self.where, self.best
-            got = negated(at)
-            self.furthest, self.expected, self.where, self.best = before
-            return body(at) if got is None else self.miss(at, f"not {label}")
+            return body(at) if self._silent(negated, at) is None else self.miss(at, f"not {label}")
 
         return run
 
@@ -263,6 +287,29 @@ class Matcher:
         return run
 
 
+def _height(e: Expr) -> int:
+    return 1 + max(map(_height, e.parts()), default=0)
+
+
+@contextmanager
+def _frames(more: int) -> Iterator[None]:
+    """Room for so many more calls within calls, while it lasts."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(limit + more)
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(limit)
+
+
+def _names(stack) -> list[str]:
+    out = []
+    while stack is not None:
+        out.append(stack[0])
+        stack = stack[1]
+    return out[::-1]
+
+
 def _label(e) -> str:
     match e:
         case Byte(_, label):
@@ -301,7 +348,7 @@ def whole(m: Matcher, data: bytes) -> dict:
         got = m.entry(0)
     except TooDeep as deep:
         got, m.best = None, (0, (), ())
-        m.furthest, m.expected, m.where = deep.at, {f"at most {DEEPEST} rules within rules"}, (m.program.entry,)
+        m.quiet, m.furthest, m.expected, m.where = False, deep.at, {f"at most {DEEPEST} rules within rules"}, (m.program.entry, None)
     if got is not None and got[0] == len(data):
         return {"matched": True, "consumed": got[0], "nodes": got[1], "extracts": got[2]}
     if got is not None:
@@ -315,24 +362,27 @@ def whole(m: Matcher, data: bytes) -> dict:
     return {
         "matched": False, "consumed": end, "nodes": nodes if end else (), "extracts": extracts, "offset": far, "line": line,
         "column": far - data.rfind(b"\n", 0, far), "expected": sorted(m.expected),
-        "found": describe(data[far]) if far < len(data) else "end of input", "rule_stack": list(m.where),
+        "found": describe(data[far]) if far < len(data) else "end of input", "rule_stack": _names(m.where),
     }
 
 
 def hits(m: Matcher, data: bytes, every_byte: bool = False) -> list[Found]:
-    """All matches that are not empty, left to right without overlap; starts are code points, or every byte."""
+    """All matches that are not empty, left to right without overlap; starts are code points, or every byte.
+
+    What is remembered of places that the search has passed is dropped. A match that nests too deep is none.
+    """
     m.begin(data, quiet=True)
-    out, at = [], 0
-    while at < len(data):
-        if len(m.memo) > MEMORY:
-            m.memo.clear()
-        try:
-            got = m.entry(at)
-        except TooDeep:  # no hit begins here
-            got, m.stack = None, []
-        if got is not None and got[0] > at:
-            out.append((at, *got))
-            at = got[0]
-        else:
-            at = at + 1 if every_byte else (_point(data, at) or len(data))
+    out, at, m.limited = [], 0, False
+    known = list(m.known[True].values())
+    with _frames(m.frames):
+        while at < len(data):
+            got, before = m._solve(at), at
+            if got is not None and got[0] > at and m.deepest <= DEEPEST:
+                out.append((at, *got))
+                at = got[0]
+            else:
+                at = at + 1 if every_byte else (_point(data, at) or len(data))
+            for of_rule in known:
+                for place in range(before, at) if of_rule else ():
+                    of_rule.pop(place, None)
     return out

@@ -79,6 +79,49 @@ def test_hits():
     assert hits("main: none of (comma)", "é,🎉") == ["é", "🎉"]
 
 
+NESTED = "main: open paren then optional main then close paren"
+
+
+@pytest.mark.parametrize("n", [300_000, 1_000_000])
+def test_hits_of_long_unclosed_runs(n):
+    """One pass whatever the length: what is known of a place is kept until the search has passed it."""
+    import time
+
+    m, began = matcher.Matcher(analysis.check(parse(NESTED))), time.perf_counter()
+    assert [h[:2] for h in matcher.hits(m, b"(" * n + b"x(())")] == [(n + 1, n + 5)]
+    assert time.perf_counter() - began < 60
+    assert not any(m.known[True].values())
+
+
+def test_depth_costs_no_frames():
+    import sys
+
+    limit, m = sys.getrecursionlimit(), matcher.Matcher(analysis.check(parse(NESTED)))
+    got = matcher.whole(m, b"(" * 50_000 + b"x")
+    assert (got["offset"], len(got["rule_stack"]), got["expected"]) == (50_000, 50_001, ["close paren", "open paren"])
+    assert sys.getrecursionlimit() == limit < 10_000
+
+
+def test_set_aside_is_the_same(monkeypatch):
+    """Whatever number of rules may be open at once, results and reports are those of plain recursion."""
+    grammars = [
+        "word: one or more lowercase\nlist: open paren then (item joined by comma) then close paren\nitem: list or word\nmain: item",
+        "quiet: open paren then optional quiet then close paren\nmain: any character isn't quiet then optional main",
+        "a: \"a\" then optional b\nb: open paren then zero or more a then close paren\nmain: extract b or one or more (extract a)",
+    ]
+    rng = random.Random(3)
+    for source in grammars:
+        program = analysis.check(parse(source))
+        for _ in range(150):
+            text = "".join(rng.choice("(((a)),") for _ in range(rng.randint(0, 14))).encode()
+            seen = []
+            for levels in (1, 2, 3, 1000):
+                monkeypatch.setattr(matcher, "LEVELS", levels)
+                m = matcher.Matcher(program)
+                seen.append((matcher.whole(m, text), matcher.hits(m, text), matcher.prefix(m, text)))
+            assert all(x == seen[-1] for x in seen), (source, text)
+
+
 def test_tree_text():
     got = whole("tok: one or more letters\nmain: tok then hyphen then tok", "ab-c")
     assert drawn.tree(arrow.flat(got["nodes"], b"ab-c")) == 'main [0..4] "ab-c"\n├── tok [0..2] "ab"\n└── tok [3..4] "c"'
