@@ -36,7 +36,7 @@ def _utf16(text: Column) -> Column:
 
 def _spans(text: Column, pattern: str, with_text: bool, length=F.length) -> Column:
     """Offsets of all hits of a pattern that never matches nothing, in characters of text, or as length measures."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     size = lambda p: length(p["gap"]) + length(p["hit"])
     kind = _HITS if with_text else "array<struct<start:int,end:int>>"
 
@@ -112,6 +112,10 @@ class Grammar:
     def regex(self, as_bytes: bool | None = None) -> str:
         return lowering.lower(self.program, as_bytes)[0]
 
+    def search_regex(self, as_bytes: bool = False) -> str:
+        """The expression for a search by the JVM's engine, which tries no start that cannot be one."""
+        return lowering.search_start(self.program, as_bytes) + self.regex(True if as_bytes else None)
+
     def _text(self, col: Column, as_bytes: bool) -> Column:
         """The text, or its bytes as characters below 0x100."""
         return F.decode(F.encode(col, "UTF-8"), "ISO-8859-1") if as_bytes else col
@@ -135,7 +139,7 @@ class Grammar:
         """Whether some part of the text matches (and is not empty)."""
         if not self.native_hits:
             return F.size(self.find(col)) > 0
-        hit, needed = col.rlike(self.regex()), self._needed(col)
+        hit, needed = col.rlike(self.search_regex()), self._needed(col)
         return hit if needed is None else needed & hit
 
     def prefix_length(self, col: Column) -> Column:
@@ -151,7 +155,10 @@ class Grammar:
         """All hits of a text, left to right without overlap, empty ones left out."""
         if not self.native or lowering.needs_bytes(self.program):
             return F.transform(self.find(col), lambda h: h["text"])
-        found = F.filter(F.regexp_extract_all(col, F.lit(f"({self.regex()})"), F.lit(1)), lambda t: t != "")
+        if self.native_hits:
+            found = F.regexp_extract_all(col, F.lit(self.search_regex()), F.lit(0))
+        else:
+            found = F.filter(F.regexp_extract_all(col, F.lit(self.regex()), F.lit(0)), lambda t: t != "")
         needed = self._needed(col)
         return found if needed is None else F.when(needed, found).when(col.isNotNull(), F.array().cast("array<string>"))
 
@@ -159,7 +166,7 @@ class Grammar:
         """Number of hits of a text."""
         if not self.native_hits:
             return F.size(self.texts(col)).cast("long")
-        found, needed = F.regexp_count(col, F.lit(self.regex())).cast("long"), self._needed(col)
+        found, needed = F.regexp_count(col, F.lit(self.search_regex())).cast("long"), self._needed(col)
         return found if needed is None else F.when(needed, found).when(col.isNotNull(), F.lit(0).cast("long"))
 
     def find(self, col: Column, tree: bool = False, unit: str = "codepoint") -> Column:
@@ -171,9 +178,9 @@ class Grammar:
         if tree or unit not in ("codepoint", "utf16", "byte") or not self.native_hits:
             return arrow.find(self.key, tree, unit)(col)
         if unit == "byte":  # hits start at code points, not inside them
-            spans = F.transform(_spans(self._text(col, True), rf"(?![\x80-\xBF])(?:{self.regex(True)})", True), _from_bytes)
+            spans = F.transform(_spans(self._text(col, True), rf"(?![\x80-\xBF])(?:{self.search_regex(True)})", True), _from_bytes)
         else:
-            spans = _spans(col, self.regex(), True, _utf16 if unit == "utf16" else F.length)
+            spans = _spans(col, self.search_regex(), True, _utf16 if unit == "utf16" else F.length)
         needed = self._needed(col)
         return spans if needed is None else F.when(needed, spans).when(col.isNotNull(), F.array().cast(_HITS))
 
@@ -181,13 +188,13 @@ class Grammar:
         """Hits in a binary column as array<struct<start, end>> in bytes; every byte may start one."""
         if not self.native or lowering.can_be_empty(self.program):
             return arrow.scan_bytes(self.key)(col)
-        return _spans(F.decode(col, "ISO-8859-1"), self.regex(True), False)
+        return _spans(F.decode(col, "ISO-8859-1"), self.search_regex(True), False)
 
     def count_bytes(self, col: Column) -> Column:
         """Number of hits in a binary column; every byte may start one."""
         if not self.native or lowering.can_be_empty(self.program):
             return F.size(self.scan_bytes(col)).cast("long")
-        return F.regexp_count(F.decode(col, "ISO-8859-1"), F.lit(self.regex(True))).cast("long")
+        return F.regexp_count(F.decode(col, "ISO-8859-1"), F.lit(self.search_regex(True))).cast("long")
 
     def replace(self, col: Column, before: str = "", after: str = "", with_text: str | None = None) -> Column:
         """The text with each hit replaced by with_text, or wrapped in before and after."""
@@ -195,7 +202,7 @@ class Grammar:
             return arrow.replace(self.key, before, after, with_text)(col)
         safe = lambda t: t.replace("\\", "\\\\").replace("$", "\\$")
         new = safe(with_text) if with_text is not None else f"{safe(before)}$0{safe(after)}"
-        return F.regexp_replace(col, self.regex(), new)
+        return F.regexp_replace(col, self.search_regex(), new)
 
     def extract_columns(self, col: Column, names: list[str]) -> list[Column]:
         """One column per `extract` of the grammar, null where the text does not match; needs a fixed number of them."""

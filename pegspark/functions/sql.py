@@ -45,8 +45,8 @@ def register_grammar(spark: SparkSession, name: str, grammar: Grammar) -> None:
     Where the grammar is regular the first three are SQL functions over its expression and stay inside the JVM.
     """
     if grammar.native_hits:
-        found = grammar.regex()  # holds no quote: every ASCII sign is written as \xHH
-        for suffix, kind, body in (("match", "BOOLEAN", rf"t RLIKE r'\A(?:{found})\z'"), ("texts", "ARRAY<STRING>", f"regexp_extract_all(t, r'({found})', 1)"), ("count", "BIGINT", f"CAST(regexp_count(t, r'{found}') AS BIGINT)")):
+        whole, found = grammar.regex(), grammar.search_regex()  # no quote in them: every ASCII sign is written as \xHH
+        for suffix, kind, body in (("match", "BOOLEAN", rf"t RLIKE r'\A(?:{whole})\z'"), ("texts", "ARRAY<STRING>", f"regexp_extract_all(t, r'{found}', 0)"), ("count", "BIGINT", f"CAST(regexp_count(t, r'{found}') AS BIGINT)")):
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_{suffix}(t STRING) RETURNS {kind} RETURN {body}")
     else:
         spark.udf.register(f"{name}_match", arrow.accepts(grammar.key))

@@ -130,6 +130,52 @@ def lower(program: Program, as_bytes: bool | None = None, captures: bool = False
     return text, work.names
 
 
+def search_start(program: Program, as_bytes: bool = False) -> str:
+    """A condition, as an expression to put before the program's own, that every hit's start meets in a search.
+
+    Where a program begins with a loop without end over one class of characters, the loop takes all of a stretch of them
+    wherever it begins, and what follows does not know where that was. So a hit that could start inside a stretch could
+    start with it, unless the hit before ends there: a start is a place with no such character before it, or the end of
+    the hit before. Without such a loop the condition is empty.
+    """
+    found = _leading_class(program, program.rules[program.entry], as_bytes, set())
+    return "" if found is None else rf"(?:\G|(?<!{found}))"
+
+
+def _leading_class(program: Program, e, as_bytes: bool, seen: set[str]) -> str | None:
+    more = lambda x: _leading_class(program, x, as_bytes, seen)
+    match e:
+        case Repeat(body, _, None) if (found := _class_of(program, body, as_bytes)) is not None:
+            return found
+        case Repeat(body, low, _) if low > 0:
+            return more(body)
+        case Seq(elements):
+            return more(elements[0])
+        case Joined(body) | Extract(body):
+            return more(body)
+        case Ref(name) if name not in seen:
+            return _leading_class(program, program.rules[name], as_bytes, seen | {name})
+    return None
+
+
+def _class_of(program: Program, e, as_bytes: bool) -> str | None:
+    """The class of a pattern that is one character of a class."""
+    match e:
+        case NoneOf(items) if not as_bytes and (found := byte_set(items)) is not None:
+            return char_class(found, negated=True)
+        case Byte() | Minus():
+            found = byte_set((e,))
+            return None if not found else char_class(found)
+        case OneOf(items):
+            found = byte_set(items)
+            return None if not found else char_class(found)
+        case Extract(body):
+            return _class_of(program, body, as_bytes)
+        case Ref(name) if not isinstance(program.rules[name], Ref):
+            return _class_of(program, program.rules[name], as_bytes)
+    return None
+
+
 def needs_bytes(program: Program) -> bool:
     return any(high_bytes(body) for body in program.rules.values())
 

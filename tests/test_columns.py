@@ -276,3 +276,36 @@ def test_many_hits_keep_their_offsets(spark):
     assert [(h["start"], h["end"], h["text"]) for h in found[0]] == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", text)]
     wanted = [(m.start(), m.end()) for m in re.finditer(b"[0-9]+", text.encode())]
     assert [(h["start"], h["end"]) for h in found[1]] == wanted and [(h["start"], h["end"]) for h in found[2]] == wanted
+
+
+def test_search_starts(spark):
+    """Starts inside a leading run are not tried; hits are those of the matcher, in every unit and function."""
+    import random
+
+    from pegspark.plans import lowering, matcher
+
+    rng = random.Random(11)
+    sources = [
+        "local: one or more of (lowercase, period)\nmain: local then at then one or more lowercase then optional (period then lowercase)",
+        "main: one or more lowercase then digit",
+        "word: lowercase\nmain: one or more (one or more word then period) then at",
+        "main: (zero or more digits then comma) joined by lowercase",
+        "main: one or more characters except (comma, digit) then digit",
+        "main: extract one or more lowercase then 2 digits",
+    ]
+    for source in sources:
+        g = Grammar(source)
+        assert lowering.search_start(g.program).startswith(r"(?:\G|")
+        texts = ["".join(rng.choice("ab.@1,é🎉") for _ in range(rng.randint(0, 30))) for _ in range(120)]
+        m = matcher.Matcher(g.program)
+        want = [[t.encode()[a:b].decode() for a, b, *_ in matcher.hits(m, t.encode())] for t in texts]
+        df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k")
+        t = F.col("t")
+        got = df.select(g.texts(t).alias("a"), g.count(t).alias("n"), g.has_hit(t).alias("h"), g.find(t).alias("f"), g.find(t, unit="byte").alias("b"), g.find(t, unit="utf16").alias("u"), g.replace(t, "<", ">").alias("r")).collect()
+        assert [r["a"] for r in got] == want and [r["n"] for r in got] == [len(w) for w in want] and [r["h"] for r in got] == [bool(w) for w in want]
+        for r, text, w in zip(got, texts, want):
+            assert [h["text"] for h in r["f"]] == [h["text"] for h in r["b"]] == [h["text"] for h in r["u"]] == w
+            assert all(text[h["start"] : h["end"]] == h["text"] for h in r["f"]) and all(text.encode()[h["start"] : h["end"]].decode() == h["text"] for h in r["b"])
+            assert r["r"].replace("<", "").replace(">", "") == text and r["r"].count("<") == len(w)
+    for source in ("main: 3 lowercase then digit", 'main: "a" then one or more digits', "main: one or more any characters", "main: (one or more lowercase isn't digit) then digit", "main: one or more (lowercase or digit) then comma"):
+        assert lowering.search_start(Grammar(source).program) == ""
