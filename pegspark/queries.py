@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from .functions import Grammar, register
 from .functions.sql import register_grammar
 from .operators import format_results, hits, search_hits, search_lines
-from .sources import read_folder, search_folder
+from .sources import read_folder, search_folder, search_lines_of
 from .streaming import number_lines, search_numbered, search_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Bytes of a split of the large file: far less than a cluster's, so that the tables' files have many.
+LARGE_FILE_SPLIT = 1 << 14
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -74,7 +76,7 @@ _matches("match_until_including", 'main: (any character until including "#") the
 _matches("match_until_excluding", 'main: (any character until excluding "#") then hash then one or more digits', "customer", "c_custkey", "c_name", "regexp_full_match(c_name, '[^#]*#[0-9]+')")
 _matches("match_multi_word_rule", "-- a comment\nbrand number: one or more digits\nmain: \"Brand\" then hash\n  then brand number", "part", "p_partkey", "p_brand", "regexp_full_match(p_brand, 'Brand#[0-9]+')")
 _matches("match_modules", 'use "numbers" (whole number)\nmain: "Brand#" then whole number', "part", "p_partkey", "p_brand", "regexp_full_match(p_brand, 'Brand#[0-9]+')", {"numbers": "cipher: digit\nwhole number: one or more cipher"})
-_matches("match_optional_nested", "main: optional (5 digits) then zero or more any characters", "customer", "c_custkey", "c_name", "true")
+_matches("match_optional_nested", 'main: optional ((optional ("1" or "3")) then hyphen) then one or more (uppercase or space)', "orders", "o_orderkey", "o_orderpriority", "regexp_full_match(o_orderpriority, '([13]?-)?[A-Z ]+')")
 
 
 _CSV = "c_name || repeat(',', CAST(c_custkey % 3 AS INT)) || CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment ELSE '' END || CASE WHEN c_custkey % 7 = 0 THEN ',' ELSE '' END"
@@ -250,13 +252,26 @@ def recursive_nested(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", got["matched"].alias("matched"), F.when(got["matched"], got["consumed"]).cast("long").alias("consumed"))
 
 
-@query("SELECT c_custkey, c_custkey % 4 <> 0 AS matched, CAST(CASE WHEN c_custkey % 4 <> 0 THEN 2 * (1000 + c_custkey % 50 * 100) ELSE -1 END AS BIGINT) AS consumed FROM customer WHERE c_custkey <= 150")
+#: Depths of some rules within rules for most rows, and of thousands for some.
+_DEEP = "CASE WHEN c_custkey % 50 = 7 THEN 5000 + c_custkey % 90 ELSE 20 + c_custkey % 40 END"
+
+
+@query(f"SELECT c_custkey, c_custkey % 4 <> 0 AS matched, CAST(CASE WHEN c_custkey % 4 <> 0 THEN 2 * ({_DEEP}) ELSE -1 END AS BIGINT) AS consumed FROM customer")
 def recursive_deep(spark, sf_dir):
     """Thousands of rules within rules."""
-    deep = (1000 + F.col("c_custkey") % 50 * 100).cast("int")
+    deep = F.expr(f"CAST({_DEEP} AS INT)")
     text = F.concat(F.repeat(F.lit("("), deep), F.repeat(F.lit(")"), F.when(F.col("c_custkey") % 4 == 0, deep - 1).otherwise(deep)))
     g = Grammar("main: open paren then optional main then close paren")
-    return table(spark, sf_dir, "customer").filter("c_custkey <= 150").select("c_custkey", g.is_match(text).alias("matched"), g.prefix_length(text).cast("long").alias("consumed"))
+    return table(spark, sf_dir, "customer").select("c_custkey", g.is_match(text).alias("matched"), g.prefix_length(text).cast("long").alias("consumed"))
+
+
+@query(f"SELECT c_custkey, CAST({_DEEP} + 1 AS BIGINT) AS start_at, CAST({_DEEP} + 1 + 2 * (1 + c_custkey % 7) AS BIGINT) AS end_at FROM customer")
+def recursive_hits(spark, sf_dir):
+    """Hits of a recursive grammar behind long runs that are never closed."""
+    text = F.expr(f"repeat('(', CAST({_DEEP} AS INT)) || 'x' || repeat('(', CAST(1 + c_custkey % 7 AS INT)) || repeat(')', CAST(1 + c_custkey % 7 AS INT))")
+    found = Grammar("main: open paren then optional main then close paren").find(text)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", found.alias("hits")).select("c_custkey", F.inline("hits"))
+    return rows.select("c_custkey", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"))
 
 
 #: Names with a sign put in somewhere, sometimes after a line break.
@@ -275,11 +290,11 @@ def diagnose_offset(spark, sf_dir):
 
 
 @query(
-    f"SELECT c_custkey, 'match failed at byte ' || ({_AT} + {_LINE}) || ' (line ' || (1 + {_LINE}) || ', column ' || ({_AT} + 1) || '):' || chr(10) || '  expected: ' || {_WANT} || chr(10) || '  found: ' || {_SIGN} || chr(10)"
-    f" || CASE WHEN {_AT} < 18 THEN '  in: main' || chr(10) ELSE '' END || chr(10) || '  ' || ltrim({_BROKEN}, chr(10)) || chr(10) || '  ' || repeat(' ', CAST({_AT} AS INT)) || '^' AS report FROM customer WHERE {_AT} > 0"
+    f"SELECT c_custkey, 'match failed at byte ' || ({_AT} + {_LINE}) || ' (line ' || (1 + {_LINE}) || ', column ' || ({_AT} + 1) || '):' || chr(10) || '  expected: ' || CASE WHEN {_AT} + {_LINE} = 0 THEN '\"Customer#\", newline' ELSE {_WANT} END || chr(10) || '  found: ' || {_SIGN} || chr(10)"
+    f" || CASE WHEN {_AT} < 18 AND {_AT} + {_LINE} > 0 THEN '  in: main' || chr(10) ELSE '' END || chr(10) || '  ' || ltrim({_BROKEN}, chr(10)) || chr(10) || '  ' || repeat(' ', CAST({_AT} AS INT)) || '^' AS report FROM customer"
 )
 def diagnose_report(spark, sf_dir):
-    return table(spark, sf_dir, "customer").filter(F.expr(f"{_AT} > 0")).select("c_custkey", Grammar(_NAME).diagnose(F.expr(_BROKEN)).alias("report"))
+    return table(spark, sf_dir, "customer").select("c_custkey", Grammar(_NAME).diagnose(F.expr(_BROKEN)).alias("report"))
 
 
 @query("SELECT c_custkey, CAST(n AS BIGINT) AS consumed, CASE WHEN n > 0 THEN substr(t, 1, CAST(n AS INT)) END AS partial_text FROM (SELECT c_custkey, t, length(regexp_extract(t, '^[A-Za-z]+#?[0-9]*')) AS n FROM (SELECT c_custkey, substr(c_name, CAST(1 + c_custkey % 10 AS INT)) || '!' AS t FROM customer))")
@@ -397,6 +412,25 @@ def search_folder_files(spark, sf_dir):
     return lines.groupBy("content").agg(F.count("*").alias("n"))
 
 
+@query(
+    "WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM conversations),"
+    " n AS (SELECT content, row_number() OVER (ORDER BY conv_id, turn, k) AS line FROM l) SELECT CAST(line AS BIGINT) AS line, content FROM n WHERE regexp_matches(content, '[A-Z][a-z]+\\.')"
+)
+def search_large_file(spark, sf_dir):
+    """All conversations as one file, cut into many splits, each searched by its own task; lines are numbered through it."""
+    out = _scratch(spark, "large-file")
+    texts = table(spark, sf_dir, "conversations").repartition(1).sortWithinPartitions("conv_id", "turn").select("text")
+    texts.write.text(f"{out}/in")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(LARGE_FILE_SPLIT))
+    try:
+        found = search_lines_of(spark, Grammar("main: uppercase then one or more lowercase then period"), f"{out}/in", "*.txt").select("line", "content")
+        found.write.parquet(f"{out}/rows")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return spark.read.schema(found.schema).parquet(f"{out}/rows")
+
+
 @query("SELECT role, count(*) AS n_lines FROM (SELECT role, unnest(string_split(text, chr(10))) AS content FROM conversations) WHERE content <> '' GROUP BY role")
 def folder_stream(spark, sf_dir):
     """The same tree as a stream of files, which executors read; blank lines aside, every line of every role comes once."""
@@ -407,13 +441,21 @@ def folder_stream(spark, sf_dir):
     return spark.read.schema(lines.schema).parquet(f"{out}/rows").groupBy("role").agg(F.count("*").alias("n_lines"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n_binary, CAST(1 AS BIGINT) AS n_errors")
+@query("SELECT role, count(*) AS n_lines, CAST(0 AS BIGINT) AS n_binary, CAST(1 AS BIGINT) AS n_errors FROM (SELECT role, unnest(string_split(text, chr(10))) AS content FROM conversations) WHERE content <> '' GROUP BY role")
 def folder_errors(spark, sf_dir):
-    """Binary files give no row; a file that is gone is a row with an error and stops nothing."""
+    """Per folder of a role: its text files are read, binary files beside them give no row, and a file that is gone is a row
+    with an error and stops nothing."""
     folder = _nested_folder(spark, sf_dir, "folder-errors")
-    binary = read_folder(spark, folder, "*.parquet")
-    gone = read_folder(spark, f"{folder}/gone.txt").filter("error is not null")
-    return binary.select(F.lit(1).alias("b"), F.lit(0).alias("e")).unionByName(gone.select(F.lit(0).alias("b"), F.lit(1).alias("e"))).agg(F.coalesce(F.sum("b"), F.lit(0)).alias("n_binary"), F.coalesce(F.sum("e"), F.lit(0)).alias("n_errors"))
+    of = lambda c: F.regexp_extract(c, "role=([a-z_]+)", 1).alias("role")
+    texts = table(spark, sf_dir, "conversations")
+    texts.select("conv_id", "role").write.partitionBy("role").mode("append").parquet(folder)
+    roles = [r["role"] for r in texts.select("role").distinct().collect()]
+    kinds = [(read_folder(spark, folder, "*"), "text")] + [(read_folder(spark, f"{folder}/role={role}/gone.txt"), "gone") for role in roles]
+    found = None
+    for files, kind in kinds:
+        rows = files.select(of("file"), F.explode(F.split(F.coalesce("text", F.lit("?")), "\n", -1)).alias("content"), F.col("error").isNotNull().cast("long").alias("e"), F.col("file").contains(".parquet").cast("long").alias("b")).filter("role <> '' AND content <> ''")
+        found = rows if found is None else found.unionByName(rows)
+    return found.groupBy("role").agg(F.sum(1 - F.col("e") - F.col("b")).alias("n_lines"), F.sum("b").alias("n_binary"), F.sum("e").alias("n_errors"))
 
 
 @query("SELECT event_type AS file, count(*) AS n_lines, CAST(1 AS BIGINT) AS first_line, count(*) AS last_line, count(*) AS n_numbers FROM events GROUP BY event_type")

@@ -13,7 +13,7 @@ import os
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -157,15 +157,19 @@ def read_folder(spark: SparkSession, path: str, glob: str | None = None, stream:
     return (reader.option("glob", glob) if glob else reader).load()
 
 
+def not_skipped(file: Column, path: str) -> Column:
+    """Whether no folder between path and a file in it is on the list, or begins with a dot."""
+    store = "^[A-Za-z0-9+.-]+:(//[^/]*)?"  # written in more than one way
+    parts, above = F.split(F.regexp_replace(file, store, ""), "/"), len(re.sub(store, "", path.rstrip("/")).split("/"))
+    return ~F.exists(F.slice(parts, F.lit(above + 1), F.greatest(F.size(parts) - above - 1, F.lit(0))), lambda name: name.startswith(".") | name.isin(*SKIPPED))
+
+
 def _stored(spark: SparkSession, path: str, glob: str | None, stream: bool) -> DataFrame:
     """The same of a folder in a store that only Spark reads."""
     reader = (spark.readStream if stream else spark.read).format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
-    store = "^[A-Za-z0-9+.-]+:(//[^/]*)?"  # written in more than one way
-    parts, above = F.split(F.regexp_replace("path", store, ""), "/"), len(re.sub(store, "", path.rstrip("/")).split("/"))
-    skipped = F.exists(F.slice(parts, F.lit(above + 1), F.greatest(F.size(parts) - above - 1, F.lit(0))), lambda name: name.startswith(".") | name.isin(*SKIPPED))
     binary = F.instr(F.decode(F.substring("content", 1, SNIFFED), "ISO-8859-1"), "\0") > 0
-    return files.filter(~skipped & ~binary).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("text"), F.lit(None).cast("string").alias("error"))
+    return files.filter(not_skipped(F.col("path"), path) & ~binary).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("text"), F.lit(None).cast("string").alias("error"))
 
 
 def search_folder(spark: SparkSession, grammar: Grammar, path: str, glob: str | None = None, start_line: int | None = None, end_line: int | None = None, stream: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 """Columns, operators, sources and streams on Spark."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from pegspark.functions import Grammar, register
 from pegspark.functions.sql import register_grammar
 from pegspark.operators import format_results, hits, search_hits, search_lines
-from pegspark.sources import read_folder, search_folder, search_folder_hits
+from pegspark.sources import numbered, read_folder, search_folder, search_folder_hits, search_lines_of
 from pegspark.streaming import number_lines, search_numbered, search_stream
 
 from test_matcher import random_cases
@@ -309,3 +310,42 @@ def test_search_starts(spark):
             assert r["r"].replace("<", "").replace(">", "") == text and r["r"].count("<") == len(w)
     for source in ("main: 3 lowercase then digit", 'main: "a" then one or more digits', "main: one or more any characters", "main: (one or more lowercase isn't digit) then digit", "main: one or more (lowercase or digit) then comma"):
         assert lowering.search_start(Grammar(source).program) == ""
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_large_file(spark, tmp_path, small_splits):
+    """One file in many splits: lines longer than a split, empty lines, CRLF, characters across a cut, NUL beyond the start."""
+    lines = [f"{k} é🎉 {'x' * (k * 37 % 200)}" + ("\r" if k % 5 == 0 else "") for k in range(300)] + ["", "9" * 5000 + " end", "", "\0 late"] + ["tail 7"] * 3
+    (tmp_path / "large.log").write_text("\n".join(lines) + "\n", newline="")
+    path = str(tmp_path / "large.log")
+    scan = numbered(spark, path)
+    assert spark.read.option("lineSep", "\n").text(path).rdd.getNumPartitions() >= 8
+    assert sorted((r["line"], r["content"]) for r in scan.collect()) == list(enumerate(lines, 1)) and {r["file"] for r in scan.collect()} == {path}
+    assert sorted((r["line"], r["content"]) for r in numbered(spark, path, line_sep="universal").collect()) == [(k, x.rstrip("\r")) for k, x in enumerate(lines, 1)]
+    g = Grammar("main: 2 digits then space")
+    got = search_lines_of(spark, g, path, start_line=20, end_line=301).collect()
+    assert sorted(r["line"] for r in got) == [k for k, x in enumerate(lines, 1) if re.search("[0-9]{2} ", x) and 20 <= k <= 301]
+    assert all(r["matches"][0]["text"] in r["content"] for r in got)
+
+
+def test_large_files_of_a_folder(spark, tmp_path, small_splits):
+    (tmp_path / "a" / ".git").mkdir(parents=True)
+    (tmp_path / "a" / "one.txt").write_text("x1\n" * 900)
+    (tmp_path / "two.txt").write_text("no end 2")
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "binary.txt").write_bytes(b"5 lines\n" * 20 + b"\0 6\n" + b"7\n" * 3000)
+    (tmp_path / "late.txt").write_bytes(b"8 word\n" * 1200 + b"\0 9\n")
+    (tmp_path / "a" / ".git" / "skipped.txt").write_text("3")
+    (tmp_path / "other.md").write_text("4")
+    got = search_lines_of(spark, Grammar("main: digit"), str(tmp_path), "*.txt")
+    per_file = {r["name"]: (r["n"], r["last"]) for r in got.groupBy(F.element_at(F.split("file", "/"), -1).alias("name")).agg(F.count("*").alias("n"), F.max("line").alias("last")).collect()}
+    assert per_file == {"one.txt": (900, 900), "two.txt": (1, 1), "late.txt": (1201, 1201)}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        numbered(spark, str(tmp_path / "gone.txt"))
