@@ -1,6 +1,7 @@
 """Grammars as Spark columns."""
 
+from .catalogue import Catalogue
 from .grammar import Grammar
 from .sql import register
 
-__all__ = ["Grammar", "register"]
+__all__ = ["Catalogue", "Grammar", "register"]

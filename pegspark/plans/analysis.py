@@ -121,16 +121,44 @@ def endless(program: Program) -> bool:
 
 
 def literals(program: Program) -> list[str]:
-    """Texts that every match contains: of the entry's sequence, its literal elements (for a cheap filter before it)."""
+    """Texts that every match contains: of the entry's sequence its literal elements, neighbours joined (for a cheap filter
+    before it)."""
 
-    def of(expr, depth: int) -> list[str]:
+    def exact(expr, depth: int) -> str | None:
+        """The one text that a pattern matches, if it is so."""
         match expr:
             case Text(text):
-                return [text]
+                return text
             case Byte(found) if len(found) == 1 and max(found) < 128:
-                return [chr(min(found))]
+                return chr(min(found))
             case Seq(elements):
-                return [t for e in elements for t in of(e, depth)]
+                parts = [exact(e, depth) for e in elements]
+                return None if None in parts else "".join(parts)
+            case Extract(body):
+                return exact(body, depth)
+            case Repeat(body, low, high) if low == high:
+                once = exact(body, depth)
+                return None if once is None else once * low
+            case Ref(name) if depth < 20:
+                return exact(program.rules[name], depth + 1)
+        return None
+
+    def of(expr, depth: int) -> list[str]:
+        if (whole := exact(expr, depth)) is not None:
+            return [whole] if whole else []
+        match expr:
+            case Seq(elements):
+                out, beside = [], False
+                for e in elements:
+                    one = exact(e, depth)
+                    if one is None:
+                        out += of(e, depth)
+                    elif beside:
+                        out[-1] += one
+                    elif one:
+                        out.append(one)
+                    beside = one is not None and bool(out) and (beside or bool(one))
+                return out
             case Repeat(body, low) if low > 0:
                 return of(body, depth)
             case Joined(body) | Extract(body) | Isnt(body):
@@ -142,6 +170,3 @@ def literals(program: Program) -> list[str]:
         return []
 
     return list(dict.fromkeys(of(program.rules[program.entry], 0)))
-
-
-

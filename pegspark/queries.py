@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import Grammar, register
+from .functions import Catalogue, Grammar, register
 from .functions.sql import register_grammar
 from .operators import format_results, hits, search_hits, search_lines
 from .sources import read_folder, search_folder, search_lines_of
@@ -340,6 +340,21 @@ def sql_table_function(spark, sf_dir):
     return spark.sql("SELECT name, p_partkey, CAST(hit AS BIGINT) AS hit, hit_text FROM grammar_catalogue_texts, LATERAL grammar_hits(p_brand, source)")
 
 
+#: Pairs of letters, for a catalogue of some 200 grammars that find them at the end of a sentence.
+_ENDINGS = [a + b for a in "nrtldshgbcemouk" for b in "aehinorstdlguyc" if a != b]
+_CATALOGUE = {f"ends in {x}": f'main: "{x}" then period' for x in _ENDINGS} | {"shouted": "main: 2 uppercase then period", "number": "main: 3 digits then period"}
+
+
+@query(
+    "WITH g AS (SELECT * FROM (VALUES " + ", ".join(f"('ends in {x}', '{x}\\.')" for x in _ENDINGS) + ", ('shouted', '[A-Z]{2}\\.'), ('number', '[0-9]{3}\\.')) AS v(grammar, regex))"
+    " SELECT grammar, count(*) AS n_hits, count(DISTINCT doc_id) AS n_docs FROM (SELECT grammar, doc_id, unnest(regexp_extract_all(text, regex)) FROM documents, g) GROUP BY grammar"
+)
+def catalogue_hits(spark, sf_dir):
+    """All grammars of the catalogue over every document in one pass."""
+    found = Catalogue(_CATALOGUE).hits(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return found.groupBy("grammar").agg(F.count("*").alias("n_hits"), F.countDistinct("doc_id").alias("n_docs"))
+
+
 # -- search by lines --------------------------------------------------------------------------------------------------------
 
 _LINES = "SELECT conv_id || '/' || turn AS file, CAST(k AS BIGINT) AS line, content FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM conversations) WHERE regexp_matches(content, '[A-Z][a-z]+\\.'){more}"

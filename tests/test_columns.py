@@ -6,8 +6,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pegspark.functions import Grammar, register
+from pegspark.functions import Catalogue, Grammar, arrow, register
 from pegspark.functions.sql import register_grammar
+from pegspark.plans import analysis
+from pegspark.plans.syntax import parse
 from pegspark.operators import format_results, hits, search_hits, search_lines
 from pegspark.sources import numbered, read_folder, search_folder, search_folder_hits, search_lines_of
 from pegspark.streaming import number_lines, search_numbered, search_stream
@@ -349,3 +351,34 @@ def test_large_files_of_a_folder(spark, tmp_path, small_splits):
     assert per_file == {"one.txt": (900, 900), "two.txt": (1, 1), "late.txt": (1201, 1201)}
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         numbered(spark, str(tmp_path / "gone.txt"))
+
+
+def test_catalogue(spark):
+    """Candidates are few, none that has a hit is missing, and hits are those of each grammar alone."""
+    import random
+
+    rng = random.Random(2)
+    grammars = {f"g{k}": f'main: "{a}{b}" then {rest}' for k, (a, b, rest) in enumerate((a, b, rest) for a in "abcdefgh" for b in "abcdefgh" for rest in ("digit", "comma then digit", "one or more lowercase then period"))}
+    grammars |= {"open": "main: 2 digits", "nested": 'main: "(" then optional main then ")"', "imported": 'use "m" (pair)\nmain: pair then "xyz"'}
+    catalogue = Catalogue(grammars, {"m": "pair: 2 lowercase"})
+    texts = ["".join(rng.choice("abcdefgh1,.()é🎉xyz ") for _ in range(rng.randint(0, 60))) for _ in range(150)] + [None, "", "abxyz(())"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    rows = df.select("k", catalogue.candidates(F.col("t")).alias("c"), catalogue.find(F.col("t")).alias("f")).collect()
+    for r in rows:
+        text = texts[r["k"]]
+        if text is None:
+            assert r["c"] is None and r["f"] is None
+            continue
+        want = [(name, n, h["start"], h["end"], h["text"]) for name, key in catalogue.entries for n, h in enumerate(arrow.find_one(key, text))]
+        assert [tuple(h) for h in r["f"]] == want and {w[0] for w in want} <= set(r["c"])
+    assert sum(len(r["c"] or []) for r in rows) < 0.15 * len(rows) * len(grammars)
+    assert catalogue.hits(df, "t").count() == sum(len(r["f"] or []) for r in rows)
+
+
+def test_joined_literals():
+    def literals(source):
+        return analysis.literals(analysis.check(parse(source)))
+
+    assert literals('main: "ab" then period then digit then 2 "x" then "y"') == ["ab.", "xxy"]
+    assert literals('tail: "c" then (extract "d")\nmain: "ab" then tail then optional "e" then "f"') == ["abcd", "f"]
+    assert literals('main: digit then ("a" or "b") then "c" then (any character until including "end") then "x"') == ["c", "end", "x"]
