@@ -14,15 +14,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, slices, text_of, with_text
 
 UNKNOWN = "und"
 BUCKETS = 1 << 12
-#: Expected labelled documents per language that training reads, however large the table is.
+#: Expected labelled texts per language that training reads, however large the table is, and of all languages together.
 SAMPLE_PER_LANGUAGE = 400
+SAMPLE_ROWS = 8_000
+#: Languages that are learnt: those with most texts. Rarer labels, and mistakes among labels, are not.
+MAX_LANGUAGES = 128
 #: Closely related languages; a language in no family is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi",
@@ -148,18 +151,24 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
-    """Train on a sample whose expected size is sample_per_language rows of each language; None if no row is labelled.
+    """Train on a sample whose expected size is sample_per_language texts of each language; None if no row is labelled.
 
-    A row is in the sample if a hash of its id falls below its language's share, so the sample needs no sort, is the
-    same on every run, and does not grow with the table. Rows with null or empty text, or null lang, are not used.
+    A row is in the sample if a hash of its id and text falls below its language's share of different rows, so the sample
+    is the same on every run, does not grow with the table, and has about as many texts where ids are null or all alike.
+    Repeated rows count once. Of the MAX_LANGUAGES languages with most rows each gets its share, less than
+    sample_per_language where all together would pass SAMPLE_ROWS; twice the share is never passed. Rows with null or
+    empty text, or null lang, are not used. A text of any length is read whole, and counts as one.
     """
-    usable = df.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    sizes = {r[0]: r[1] for r in usable.groupBy(F.col(lang_col).cast("string")).count().collect()}
-    if not sizes:
+    lang, text = F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
+    usable = df.filter(lang.isNotNull() & (F.length(text) > 0)).select(lang.alias("lang"), text.alias("text"), F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text, F.lit(1)), F.lit(1 << 30)).alias("at"))
+    kinds = usable.groupBy("lang").agg(F.approx_count_distinct("at").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    if not kinds:
         return None
-    share = F.create_map(*(F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, sample_per_language / n))))
-    sample = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(1 << 30)).alias("at"))
-    sample = sample.filter(F.col("at") < share[F.col("lang")] * F.lit(float(1 << 30))).select("lang", "text")
+    want = max(1, min(sample_per_language, SAMPLE_ROWS // len(kinds)))
+    share = F.create_map(*(F.lit(v) for r in kinds for v in (r["lang"], min(1.0, want / max(1, r["n"])))))
+    once = usable.filter(F.col("at") < share[F.col("lang")] * F.lit(float(1 << 30))).groupBy("lang", "at").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("at"))  # of about `want` rows
+    sample = once.withColumn("place", place).filter(F.col("place") <= 2 * want).select("lang", "text")
     got = sample.mapInArrow(_counts, "lang string, vector binary").toPandas()
     got = got.sort_values(["lang", "vector"], ignore_index=True)
     if not len(got):

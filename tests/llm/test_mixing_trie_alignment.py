@@ -278,3 +278,34 @@ def test_alignment_odd(odd):
     assert all(len(r["groups"]) == 64 for r in got if r["n_a"])
     none, no_pairs = alignment.align(odd.filter("false"))
     assert none.count() == 0 and no_pairs.count() == 0
+
+
+# -- language ID: its sample --------------------------------------------------------------------------------------------------------
+
+
+def test_language_sample_of_like_ids(spark):
+    """One id for all rows, null ids, or one row many times: every language is learnt, from a bounded number of texts."""
+    from pegspark.llm import langid
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 60")
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    for same in (F.lit(3), F.lit(1), F.lit(None).cast("long")):
+        model = langid.fit(docs.withColumn("doc_id", same))
+        assert sorted(v for votes in model.within.values() for v in votes.labels) == sorted({x for x in truth.values() if x})
+        got = langid.predict(docs, model).collect()
+        assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in got) > 0.95 * len(got)
+    one = docs.filter("lang = 'en'").limit(1)
+    many = docs.unionByName(one.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(20_000)))).drop("k"))
+    assert langid.predict(docs.limit(20), langid.fit(many)).count() == 20
+
+
+def test_language_labels_are_bounded(spark, monkeypatch):
+    from pegspark.llm import langid
+
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 30)
+    rows = [(k, f"{'abcd'[k % 4] * 3} word{k}", ["aa", "bb", "cc", "dd"][k % 4 if k < 400 else 0]) for k in range(403)] + [(k, "typo", f"x{k}") for k in range(50)]
+    seen, train = [], langid._train
+    monkeypatch.setattr(langid, "_train", lambda x, y: (seen.append(len(x)), train(x, y))[1])
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len([v for votes in model.within.values() for v in votes.labels]) == 3 and max(seen) <= 60
