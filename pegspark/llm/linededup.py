@@ -50,7 +50,7 @@ def boilerplate(df: DataFrame, host: str, text_col: str = "text", max_ratio: flo
 def dedup(df: DataFrame, host: str, text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """df with boilerplate lines taken out of text_col; all other columns and all rows stay.
 
-    A null host is one host, with the empty one; a null text counts as a page without lines and stays null; repeated
+    A text of any length is one page, with all its lines. A null host is one host, with the empty one; a null text counts as a page without lines and stays null; repeated
     rows are pages of their own; an empty table stays empty; blank lines are never counted or dropped. A clash of
     column names cannot arise: helper columns are held in one struct with a name that df lacks.
     """
@@ -62,6 +62,15 @@ def dedup(df: DataFrame, host: str, text_col: str = "text", max_ratio: float = M
     drops = drops.select(F.struct("site", "lines").alias(own))
     drops = F.broadcast(drops) if size <= BROADCAST_LINES else drops
     joined = df.join(drops, F.coalesce(df[host].cast("string"), F.lit("")) == drops[own]["site"], "left")
-    found = F.col(own)["lines"]
-    kept = F.array_join(F.filter(lines(F.col(text_col).cast("string")), lambda x: ~(_has_words(x) & F.array_contains(found, _key(x)))), "\n")
-    return joined.withColumn(text_col, F.when(found.isNull(), F.col(text_col)).otherwise(F.when(F.col(text_col).isNotNull(), kept))).select(*df.columns)
+    found, text = F.col(own)["lines"], F.col(f"`{text_col}`").cast("string")
+    # a page's lines are first looked up in the host's list as a hash set, so that only drops of this page are compared
+    met = F.array_intersect(F.transform(lines(text), lambda x: F.xxhash64(x)), found["a"])
+    here = lambda shared: F.filter(found, lambda d: F.array_contains(shared, d["a"]))
+    without = lambda drop: F.array_join(F.filter(lines(text), lambda x: ~(_has_words(x) & F.array_contains(drop, _key(x)))), "\n")
+    kept = F.when(F.size(met) == 0, text).otherwise(_bound(_bound(met, here), without))
+    return joined.withColumn(text_col, F.when(found.isNull(), F.col(f"`{text_col}`")).otherwise(F.when(text.isNotNull(), kept))).select(*df.columns)
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with value evaluated once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
