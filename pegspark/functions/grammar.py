@@ -14,7 +14,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans import analysis, lowering
+from ..plans import analysis, lowering, shapes
 from ..plans.syntax import Program, parse
 from . import arrow
 
@@ -175,6 +175,10 @@ class Grammar:
         Native where hits cannot be empty: the pieces between hits and the hits alternate, and running lengths give the
         offsets. Other regular grammars run as an expression in an Arrow function.
         """
+        if tree and unit in ("codepoint", "utf16", "byte") and self.native_hits and self.fixed_tree and not shapes.looks_ahead(self.program):
+            pairs = F.arrays_zip(self.find(col, unit=unit).alias("hit"), self.find(col, unit="byte").alias("place"))
+            with_nodes = lambda p: F.struct(p["hit"]["start"].alias("start"), p["hit"]["end"].alias("end"), p["hit"]["text"].alias("text"), self._nodes(p["hit"]["text"], p["place"]["start"]).alias("nodes"))
+            return F.transform(pairs, with_nodes)
         if tree or unit not in ("codepoint", "utf16", "byte") or not self.native_hits:
             return arrow.find(self.key, tree, unit)(col)
         if unit == "byte":  # hits start at code points, not inside them
@@ -225,17 +229,72 @@ class Grammar:
         """The same, with the tree and extracts of the longest part that matched where the whole does not."""
         return arrow.match(self.key, partial=True)(col)
 
+    @property
+    def fixed_tree(self) -> bool:
+        """Whether every match has the same rules in the same order, so that trees are made inside the JVM."""
+        return self._shape(shapes.tree) is not None
+
+    @property
+    def fixed_extracts(self) -> bool:
+        """Whether extracts, also those of the rounds of a loop, are taken inside the JVM."""
+        return self._shape(shapes.extracts) is not None
+
+    def _shape(self, of):
+        try:
+            return of(self.program)
+        except lowering.NotRegular:
+            return None
+
+    def _nodes(self, text: Column, shift: Column) -> Column:
+        """The tree of a text that matches, with places in bytes from shift on."""
+        found = []
+        for k, p in enumerate(shapes.tree(self.program)):
+            part = lambda group, p=p: F.regexp_extract(text, rf"(?s)\A({p.before})({p.own})", group) if k else text  # noqa: B023, E731
+            start = shift + F.octet_length(part(1)) if k else shift
+            said = part(2)
+            values = {"id": F.lit(k), "parent": F.lit(p.parent), "depth": F.lit(p.depth), "rule": F.lit(p.rule), "start": start, "end": start + F.octet_length(said), "text": said}
+            found.append(F.struct(*(v.alias(n) for n, v in values.items())))
+        return F.array(*found).cast(arrow.NODES)
+
+    def tree(self, col: Column) -> Column:
+        """The tree of a text that matches as nodes in pre-order; null for one that does not."""
+        if self.fixed_tree:
+            return F.when(self.is_match(col), self._nodes(col, F.lit(0)))
+        return self.match(self._only(col, True))["nodes"]
+
+    def _only(self, col: Column, matching: bool) -> Column:
+        """The text where it matches, or where it does not, and null elsewhere, which the matcher passes over."""
+        if not self.native:
+            return col
+        return F.when(self.is_match(col) == F.lit(matching), col)
+
     def extract(self, col: Column) -> Column:
         """Texts of all extracts of a text that matches, in order."""
-        return F.transform(self.match(col)["extracts"], lambda x: x["text"])
+        parts = self._shape(shapes.extracts)
+        if parts is None:
+            return F.transform(self.match(self._only(col, True))["extracts"], lambda x: x["text"])
+        found = [self._rounds(col, p) if isinstance(p, shapes.Rounds) else F.array(F.regexp_extract(col, rf"\A(?:{p.before})({p.own})", 1)) for p in parts]
+        return F.when(self.is_match(col), F.concat(*found) if found else F.array().cast("array<string>"))
+
+    @staticmethod
+    def _rounds(col: Column, p: shapes.Rounds) -> Column:
+        """Extracts of all rounds of a loop, each round beginning where the one before ends."""
+        rest = F.regexp_extract(col, rf"\A(?:{p.before})((?s:.*))", 1)
+        each = [F.regexp_extract_all(rest, F.lit(p.each), F.lit(k + 1)) for k in range(p.captures)]
+        if p.high is not None:
+            each = [F.slice(e, 1, p.high) for e in each]
+        if len(each) == 1:
+            return each[0]
+        names = [f"c{k}" for k in range(p.captures)]
+        return F.flatten(F.transform(F.arrays_zip(*(e.alias(n) for e, n in zip(each, names))), lambda z: F.array(*(z[n] for n in names))))
 
     def diagnose(self, col: Column) -> Column:
         """The report of why a text does not match, as text; null for one that matches."""
-        return arrow.diagnose(self.key)(col)
+        return arrow.diagnose(self.key)(self._only(col, False))
 
     def tree_text(self, col: Column) -> Column:
         """The tree of a text that matches, drawn with lines."""
-        return arrow.tree_text(self.key)(col)
+        return arrow.tree_text(self.key)(self._only(col, True))
 
     def match_many(self, col: Column) -> Column:
         """For an array of texts, whether each matches."""

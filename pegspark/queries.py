@@ -240,7 +240,7 @@ def extract_repeated(spark, sf_dir):
     f" FROM (SELECT page_id, url, {_URL_SQL.format(k=1)} AS a, {_URL_SQL.format(k=2)} AS b, {_URL_SQL.format(k=3)} AS c FROM pages)"
 )
 def tree_nodes(spark, sf_dir):
-    nodes = table(spark, sf_dir, "pages").select("page_id", F.inline(Grammar(_URL).match(F.col("url"))["nodes"]))
+    nodes = table(spark, sf_dir, "pages").select("page_id", F.inline(Grammar(_URL).tree(F.col("url"))))
     return nodes.select("page_id", "rule", F.col("depth").cast("int").alias("depth"), F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), F.col("text").alias("node_text"))
 
 

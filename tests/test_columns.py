@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pegspark.functions import Catalogue, Grammar, arrow, register
 from pegspark.functions.sql import register_grammar
-from pegspark.plans import analysis
+from pegspark.plans import analysis, matcher
 from pegspark.plans.syntax import parse
 from pegspark.operators import format_results, hits, search_hits, search_lines
 from pegspark.sources import numbered, read_folder, search_folder, search_folder_hits, search_lines_of
@@ -382,3 +382,82 @@ def test_joined_literals():
     assert literals('main: "ab" then period then digit then 2 "x" then "y"') == ["ab.", "xxy"]
     assert literals('tail: "c" then (extract "d")\nmain: "ab" then tail then optional "e" then "f"') == ["abcd", "f"]
     assert literals('main: digit then ("a" or "b") then "c" then (any character until including "end") then "x"') == ["c", "end", "x"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+FIXED = [
+    "word: one or more lowercase\nnum: one or more digits\nmain: word then comma then num",
+    'a: "a" or "b"\nb: a then optional digit\nmain: b then (2 a) then (one or more characters except (comma)) then comma then b',
+    "tail: any character until including comma\nmain: (lowercase isn't (\"b\")) then tail then extract tail",
+    "x: digit joined by comma lenient\nmain: x then one or more lowercase",
+]
+
+
+@pytest.mark.parametrize("source", FIXED)
+def test_fixed_trees(spark, source):
+    """Trees made inside the JVM are those of the matcher, of whole texts and of hits."""
+    import random
+
+    rng, g = random.Random(4), Grammar(source)
+    texts = ["".join(rng.choice("ab1,é") for _ in range(rng.randint(0, 9))) for _ in range(300)] + ["abc,12", "a1abé1,b", "bab1é,a1", "aaaa,b", "xb1bbbb,a1 ", "ab,1,", "1,2,ab", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert g.fixed_tree
+    got = df.select(g.tree(F.col("t")).alias("n"), g.find(F.col("t"), tree=True).alias("h"))
+    assert g.native_hits is False or "Python" not in plan_of(df.select(g.tree(F.col("t"))))
+    found = 0
+    for text, r in zip(texts, got.collect()):
+        if text is None:
+            assert r["n"] is None and r["h"] is None
+            continue
+        data = text.encode()
+        whole = matcher.whole(matcher.Matcher(g.program), data)
+        assert r["n"] is None if not whole["matched"] else [x.asDict() for x in r["n"]] == arrow.flat(whole["nodes"], data)
+        hits = matcher.hits(matcher.Matcher(g.program), data)
+        assert [(h["text"].encode(), [x.asDict() for x in h["nodes"]]) for h in r["h"]] == [(data[a:b], arrow.flat(nodes, data)) for a, b, nodes, _ in hits]
+        found += whole["matched"] + len(hits)
+    assert found > 5
+
+
+def test_hit_trees_without_python(spark):
+    g = Grammar(FIXED[0])
+    df = spark.createDataFrame([("ab,1 éx,22",)], "t string").select(g.find(F.col("t"), tree=True, unit="utf16").alias("h"))
+    assert "Python" not in plan_of(df) and [[n["start"] for n in h["nodes"]] for h in df.first()["h"]] == [[0, 0, 3], [7, 7, 9]]
+    assert not Grammar("w: digit\nmain: one or more w").fixed_tree and not Grammar("w: digit\nmain: w or letter").fixed_tree
+
+
+ROUNDS = [
+    'label: one or more of (lowercase, digit)\nmain: "x" then (extract label joined by period) then zero or more comma',
+    "pair: (extract lowercase) then (extract one or more digits)\nmain: one or more pair then optional (comma then extract lowercase)",
+    "main: (extract lowercase) then (between 1 and 2 (comma then extract digit)) then zero or more any characters",
+    "main: extract ((extract lowercase) then one or more digits) then (optional extract comma) then zero or more lowercase",
+    "a: extract letter\nmain: 2 (a then comma) then zero or more (extract digit then comma)",
+]
+
+
+@pytest.mark.parametrize("source", ROUNDS)
+def test_extracts_of_rounds(spark, source):
+    import random
+
+    rng, g = random.Random(8), Grammar(source)
+    signs = "xab12,." if "joined" in source else "ab12,"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 9))) for _ in range(400)] + ["xa.b2.c,", "xa.b.", "a1b22c3,d", "a,1,2zz", "a1", "a,b,1,2,", "a,b,", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(g.extract(F.col("t")).alias("e"))
+    assert g.fixed_extracts and "Python" not in plan_of(df)
+    matched = 0
+    for text, r in zip(texts, df.collect()):
+        whole = matcher.whole(matcher.Matcher(g.program), (text or "").encode())
+        matched += text is not None and whole["matched"]
+        assert r["e"] == ([text.encode()[a:b].decode() for _, a, b, _ in whole["extracts"]] if text is not None and whole["matched"] else None), text
+    assert matched > 1
+    assert not Grammar("main: (extract digit) or letter").fixed_extracts
+
+
+def test_reports_only_where_needed(spark):
+    """The matcher sees only rows that have something to report."""
+    g = Grammar("d: one or more digits\nmain: one or more (d then comma)")
+    got = spark.createDataFrame([("1,2,",), ("1,x",), (None,)], "t string").select(g.tree_text(F.col("t")).alias("t"), g.diagnose(F.col("t")).alias("d"), g.tree(F.col("t")).alias("n")).collect()
+    assert [r["t"] is None for r in got] == [False, True, True] and [r["d"] is None for r in got] == [True, False, True]
+    assert [len(r["n"] or []) for r in got] == [3, 0, 0]
