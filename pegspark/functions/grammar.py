@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans import analysis, lowering, shapes
 from ..plans.syntax import Program, parse
-from . import arrow
+from . import arrow, progress
 
 VERSION = 1
 _HITS = "array<struct<start:int,end:int,text:string>>"
@@ -223,11 +223,11 @@ class Grammar:
 
     def match(self, col: Column) -> Column:
         """Struct of matched, consumed, nodes (tree in pre-order), extracts, and the report of a failure."""
-        return arrow.match(self.key)(col)
+        return progress.result(self.program, col, False) if self.simple_sequence else arrow.match(self.key)(col)
 
     def try_parse(self, col: Column) -> Column:
         """The same, with the tree and extracts of the longest part that matched where the whole does not."""
-        return arrow.match(self.key, partial=True)(col)
+        return progress.result(self.program, col, True) if self.simple_sequence else arrow.match(self.key, partial=True)(col)
 
     @property
     def fixed_tree(self) -> bool:
@@ -239,6 +239,11 @@ class Grammar:
         """Whether extracts, also those of the rounds of a loop, are taken inside the JVM."""
         return self._shape(shapes.extracts) is not None
 
+    @property
+    def simple_sequence(self) -> bool:
+        """Whether results, partial results and reports of failure are made inside the JVM."""
+        return self._shape(progress.steps) is not None
+
     def _shape(self, of):
         try:
             return of(self.program)
@@ -290,7 +295,7 @@ class Grammar:
 
     def diagnose(self, col: Column) -> Column:
         """The report of why a text does not match, as text; null for one that matches."""
-        return arrow.diagnose(self.key)(self._only(col, False))
+        return progress.report(self.program, col) if self.simple_sequence else arrow.diagnose(self.key)(self._only(col, False))
 
     def tree_text(self, col: Column) -> Column:
         """The tree of a text that matches, drawn with lines."""

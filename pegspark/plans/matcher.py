@@ -24,7 +24,8 @@ DEEPEST = 1_000_000
 #: Rules open within one another on the stack of Python's own calls.
 LEVELS = 1000
 Found = tuple[int, tuple, tuple]
-_NAMES = {c: name for name, c in CHARACTERS.items() if name not in SAME_CHARACTER}
+#: Signs that a report names.
+NAMED = {c: name for name, c in CHARACTERS.items() if name not in SAME_CHARACTER}
 
 
 class TooDeep(Exception):
@@ -41,7 +42,7 @@ class _Later(Exception):
 def describe(byte: int) -> str:
     if 0x20 <= byte <= 0x7E:
         return f'"{chr(byte)}" (0x{byte:02X})'
-    return _NAMES.get(chr(byte), f"byte 0x{byte:02X}")
+    return NAMED.get(chr(byte), f"byte 0x{byte:02X}")
 
 
 def _point(data: bytes, at: int) -> int | None:

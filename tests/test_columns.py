@@ -461,3 +461,44 @@ def test_reports_only_where_needed(spark):
     got = spark.createDataFrame([("1,2,",), ("1,x",), (None,)], "t string").select(g.tree_text(F.col("t")).alias("t"), g.diagnose(F.col("t")).alias("d"), g.tree(F.col("t")).alias("n")).collect()
     assert [r["t"] is None for r in got] == [False, True, True] and [r["d"] is None for r in got] == [True, False, True]
     assert [len(r["n"] or []) for r in got] == [3, 0, 0]
+
+
+SEQUENCES = [
+    'main: optional newline then "ab1" then 3 digits',
+    "main: one or more letters then comma then one or more digits then period",
+    "main: zero or more lowercase then optional comma then between 1 and 2 digits then zero or more whitespace then any of (comma, digit)",
+    "main: any character then one or more characters except (comma, newline) then 2 comma",
+    'main: digit',
+    'main: "ab" then zero or more any characters',
+    "main: optional digit then optional letter then tab",
+    'main: "a" to "b" then 2 (none of (comma)) then newline',
+]
+
+
+@pytest.mark.parametrize("source", SEQUENCES)
+def test_progress(spark, source):
+    """Results, partial results and reports of simple sequences are those of the matcher, without Python."""
+    import random
+
+    from pegspark.functions import text as drawn
+
+    rng, g = random.Random(6), Grammar(source)
+    texts = ["".join(rng.choice("ab1,\n é🎉\t.") for _ in range(rng.randint(0, 9))) for _ in range(250)]
+    texts += ["ab1123", "\nab1123", "\nab112x", "ab", "abx", "ab1", "a,1.", "é,1", "abc,12..", "a\nb,1", "\x00", "a\r", None, "xy,,", "x\ny,,", "1", "12", "abé\n", "1b\t"]
+    t = F.col("t")
+    df = spark.createDataFrame([(x,) for x in texts], "t string").select(g.match(t).alias("m"), g.try_parse(t).alias("p"), g.diagnose(t).alias("d"))
+    assert g.simple_sequence and "Python" not in plan_of(df)
+    for text, r in zip(texts, df.collect()):
+        if text is None:
+            assert r["m"] is None and r["p"] is None and r["d"] is None
+            continue
+        data, key = text.encode(), g.key
+        for got, partial in ((r["m"], False), (r["p"], True)):
+            assert got.asDict(recursive=True) == arrow._result(key, partial)(text), (source, text)
+        whole = matcher.whole(matcher.Matcher(g.program), data)
+        assert r["d"] == (None if whole["matched"] else drawn.failure(whole, data)), (source, text)
+
+
+def test_no_simple_sequence():
+    for source in ("w: digit\nmain: w then comma", "main: digit or letter", "main: extract digit then comma", 'main: "é!" then digit', "main: digit joined by comma", "main: letter except (\"b\") then digit"):
+        assert not Grammar(source).simple_sequence
