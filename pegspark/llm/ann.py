@@ -1,10 +1,11 @@
 """Nearest neighbours by largest inner product with vantage-point trees, one per shard.
 
 Vectors get one more component, so that the largest inner product is the smallest Euclidean distance. A bounded number of
-rows are the top-level vantage points; every row belongs to the region of the nearest one, whose radius is kept, and a
-region is cut into shards of bounded size, each with a tree. A query first searches its own region; the distance of its
-last place there is its radius, and it is sent on only to regions that the triangle inequality, with the radius times the
-relaxation factor, cannot rule out; the same test skips subtrees. Factor one is exact, smaller factors skip more. A
+rows are vantage points on two levels: heads, and under each head the vantage points nearest to it. Every row belongs to
+the region of the vantage point that it is led to, whose radius is kept, and a region is cut into shards of bounded size,
+each with a tree. A query first searches its own region; the distance of its
+last place there is its radius, and it is sent on only to heads, and under them to regions, that the triangle inequality, with
+the radius times the relaxation factor, cannot rule out; the same test skips subtrees. Factor one is exact, smaller factors skip more. A
 shard's rows come before its queries in one sorted partition, so a tree is built once and queries stream past it.
 """
 
@@ -23,8 +24,11 @@ from .common import few, table
 NEAREST = 20
 #: Search radius factor of the triangle inequality: 1 is exact on any vectors; how much less loses depends on the table.
 FACTOR = 1.0
-#: Top-level vantage points at most: a sample of rows by a hash, fewer for small tables.
-PIVOTS = 1024
+#: Vantage points at most: a sample of rows by a hash, one for each shard of smaller tables. With shards of SHARD rows a
+#: region is one shard up to 10^9 rows, and ten at 10^10.
+PIVOTS = 65_536
+#: Queries whose visits leave a task together.
+ONWARD = 256
 #: Expected rows of a shard, queries that meet one tree before it is built again elsewhere, and rows of a leaf.
 SHARD = 16_384
 BLOCK = 262_144
@@ -110,14 +114,49 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Map:
-    """The regions: lifted vantage points, radii, first shard of each and number of its shards; longest vector."""
+    """The regions: lifted vantage points, those of one head side by side; radii, first shard of each and number of its
+    shards; heads, the first vantage point of each (with the end as last), and radii; longest vector."""
 
     pivots: np.ndarray
     radius: np.ndarray
     first: np.ndarray
     many: np.ndarray
+    heads: np.ndarray
+    begins: np.ndarray
+    head_radius: np.ndarray
     longest: float
 
+    @staticmethod
+    def of(pivots: np.ndarray, longest: float) -> Map:
+        """A map of lifted vantage points, about as many under each head as there are heads; nothing placed yet."""
+        none = np.zeros(0, np.int64)
+        heads = pivots[np.linspace(0, len(pivots) - 1, max(1, round(len(pivots) ** 0.5))).astype(np.int64)]
+        nearest = np.concatenate([_distances(pivots[at : at + 4096], heads).argmin(axis=1) for at in range(0, len(pivots), 4096)])
+        order = np.argsort(nearest, kind="stable")
+        begins = np.searchsorted(nearest[order], np.arange(len(heads) + 1))
+        return Map(pivots[order], none, none, none, heads, begins, none, longest)
+
+    def placed(self, radius: np.ndarray, first: np.ndarray, many: np.ndarray) -> Map:
+        """The map with what the regions hold; a head reaches as far as any of its regions."""
+        far = np.full(len(self.heads), -np.inf)
+        for h, (a, b) in enumerate(zip(self.begins, self.begins[1:])):
+            if b > a:
+                far[h] = (_distances(self.heads[h : h + 1], self.pivots[a:b])[0] + radius[a:b]).max()
+        return Map(self.pivots, radius, first, many, self.heads, self.begins, far, self.longest)
+
+    def led(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vantage point that each lifted point is led to, by way of its nearest head, and the distance to it."""
+        region, far = np.zeros(len(z), np.int64), np.zeros(len(z))
+        to_heads = _distances(z, self.heads)
+        to_heads[:, self.begins[1:] == self.begins[:-1]] = np.inf
+        head = to_heads.argmin(axis=1)
+        for h in np.unique(head):
+            own = np.nonzero(head == h)[0]
+            d = _distances(z[own], self.pivots[self.begins[h] : self.begins[h + 1]])
+            best = d.argmin(axis=1)
+            region[own], far[own] = best + self.begins[h], d[np.arange(len(own)), best]
+        return region, far
+
     def lift(self, x: np.ndarray) -> np.ndarray:
         """Rows, all as long as the longest."""
         return np.column_stack([x, np.sqrt(np.maximum(self.longest**2 - np.einsum("ij,ij->i", x, x), 0.0))])
@@ -126,10 +165,10 @@ class Map:
         """Queries, which have no such component; their length does not change an order, so they are made as long."""
         return np.column_stack([y * (self.longest / np.linalg.norm(y, axis=1))[:, None], np.zeros(len(y))])
 
-    def far(self, z: np.ndarray) -> np.ndarray:
-        """Distances from lifted points to all vantage points."""
-        square = np.einsum("ij,ij->i", z, z)[:, None] + np.einsum("ij,ij->i", self.pivots, self.pivots)[None, :] - 2.0 * (z @ self.pivots.T)
-        return np.sqrt(np.maximum(square, 0.0))
+
+def _distances(z: np.ndarray, points: np.ndarray) -> np.ndarray:
+    square = np.einsum("ij,ij->i", z, z)[:, None] + np.einsum("ij,ij->i", points, points)[None, :] - 2.0 * (z @ points.T)
+    return np.sqrt(np.maximum(square, 0.0))
 
 
 def _regions(shared, lifted: bool):
@@ -139,9 +178,8 @@ def _regions(shared, lifted: bool):
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch["v"])
-                far = shared.value.far(shared.value.lift(x) if lifted else shared.value.aim(x))
-                region = far.argmin(axis=1)
-                yield pa.record_batch([batch["tag"], batch["id"], batch["v"], pa.array(region, pa.int32()), pa.array(far[np.arange(len(x)), region])], ["tag", "id", "v", "region", "far"])
+                region, far = shared.value.led(shared.value.lift(x) if lifted else shared.value.aim(x))
+                yield pa.record_batch([batch["tag"], batch["id"], batch["v"], pa.array(region, pa.int32()), pa.array(far)], ["tag", "id", "v", "region", "far"])
 
     return run
 
@@ -153,18 +191,25 @@ def _onward(shared, factor: float):
         m = shared.value
         slack = SLACK * max(1.0, m.longest)
         for whole in batches:
-            for batch in (whole.slice(at, 1024) for at in range(0, whole.num_rows, 1024)):
-                y = _matrix(batch["v"])
+            for batch in (whole.slice(at, ONWARD) for at in range(0, whole.num_rows, ONWARD)):
+                y, home = _matrix(batch["v"]), batch["region"].to_numpy()
+                aimed = m.aim(y)
                 kth = batch["kth"].to_numpy(zero_copy_only=False).astype(np.float64)
                 bound = np.where(np.isnan(kth), np.inf, m.longest**2 - 2.0 * kth * (m.longest / np.linalg.norm(y, axis=1)))
-                reach = factor * np.sqrt(np.maximum(bound + m.longest**2, 0.0))
-                near = m.far(m.aim(y)) - m.radius[None, :] <= reach[:, None] + slack
-                near[np.arange(len(y)), batch["region"].to_numpy()] = False
-                q, r = np.nonzero(near)
-                to = np.repeat(np.arange(len(q)), m.many[r])
-                shard = m.first[r][to] + np.arange(len(to)) - (np.cumsum(m.many[r]) - m.many[r])[to]
-                rows = pa.array(q[to])
-                yield pa.record_batch([batch["tag"].take(rows), batch["id"].take(rows), batch["v"].take(rows), pa.array(shard, pa.int32()), pa.array(bound[q[to]])], ["tag", "id", "v", "shard", "bound"])
+                reach = factor * np.sqrt(np.maximum(bound + m.longest**2, 0.0)) + slack
+                to_heads = _distances(aimed, m.heads)
+                for h, (a, b) in enumerate(zip(m.begins, m.begins[1:])):
+                    asks = np.nonzero(to_heads[:, h] - m.head_radius[h] <= reach)[0]
+                    if b == a or not len(asks):
+                        continue
+                    near = _distances(aimed[asks], m.pivots[a:b]) - m.radius[None, a:b] <= reach[asks, None]
+                    near &= home[asks, None] != np.arange(a, b)[None, :]
+                    q, r = np.nonzero(near)
+                    q, r = asks[q], r + a
+                    to = np.repeat(np.arange(len(q)), m.many[r])
+                    shard = m.first[r][to] + np.arange(len(to)) - (np.cumsum(m.many[r]) - m.many[r])[to]
+                    rows = pa.array(q[to])
+                    yield pa.record_batch([batch["tag"].take(rows), batch["id"].take(rows), batch["v"].take(rows), pa.array(shard, pa.int32()), pa.array(bound[q[to]])], ["tag", "id", "v", "shard", "bound"])
 
     return run
 
@@ -260,16 +305,16 @@ def _one_length(rows: DataFrame, n: int, longest: float, k: int, factor: float,
     twin = Window.partitionBy("v").orderBy("id", "tag")
     index = rows.withColumn("place", F.row_number().over(twin)).filter(F.col("place") <= k + 1)
     many = max(1, min(pivots, n // shard))
-    chosen = rows.select("v").orderBy(F.xxhash64("tag", F.lit(1))).limit(many).collect()
-    at = Map(np.zeros((0, 0)), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), longest)
-    start = spark.sparkContext.broadcast(Map(at.lift(np.unique(np.array([r["v"] for r in chosen]), axis=0)), *(np.zeros(0, np.int64),) * 3, longest))
+    chosen = _matrix(rows.select("v").orderBy(F.xxhash64("tag", F.lit(1))).limit(many).toArrow()["v"].combine_chunks())
+    lift = Map(*(np.zeros(0),) * 7, longest).lift
+    start = spark.sparkContext.broadcast(Map.of(lift(np.unique(chosen, axis=0)), longest))
     placed = "tag long, id long, v array<double>, region int, far double"
     index = table(index.select("tag", "id", "v").mapInArrow(_regions(start, True), placed), "ann-regions")
     facts = {r["region"]: r for r in index.groupBy("region").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # one of each vantage point
     places = range(len(start.value.pivots))
     sizes = np.array([-(-facts[p]["n"] // shard) if p in facts else 0 for p in places], np.int64)
     radius = np.array([facts[p]["far"] if p in facts else -np.inf for p in places]) + SLACK * max(1.0, longest)
-    shared = spark.sparkContext.broadcast(Map(start.value.pivots, radius, np.cumsum(sizes) - sizes, sizes, longest))
+    shared = spark.sparkContext.broadcast(start.value.placed(radius, np.cumsum(sizes) - sizes, sizes))
     known = [(p, int(shared.value.first[p]), int(sizes[p])) for p in places if sizes[p]]
     shards = F.broadcast(spark.createDataFrame(known, "region int, first int, many int"))  # one row of each vantage point
     index = index.join(shards, "region").select("tag", "id", "v", (F.col("first") + F.pmod(F.xxhash64("tag"), F.col("many"))).cast("int").alias("shard"))

@@ -309,3 +309,26 @@ def test_language_labels_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(langid, "_train", lambda x, y: (seen.append(len(x)), train(x, y))[1])
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert len([v for votes in model.within.values() for v in votes.labels]) == 3 and max(seen) <= 60
+
+
+# -- vector search: two levels of vantage points ------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("pivots, shard", [(400, 10), (30, 10), (2, 10), (400, 100_000)])
+def test_vector_regions_on_two_levels(spark, monkeypatch, pivots, shard):
+    """Exact for any number of vantage points; with as many as shards a query visits few of them, however many rows there are."""
+    from pegspark.llm import ann
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 12))
+    data = (centres[rng.integers(40, size=3000)] + rng.normal(scale=0.05, size=(3000, 12))) * rng.uniform(0.5, 1.5, size=(3000, 1))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(data)], "vec_id long, embedding array<double>")
+    visits, table = [], ann.table
+    monkeypatch.setattr(ann, "table", lambda d, name: (visits.append(out.count()), out)[1] if (out := table(d, name)) is not None and name == "ann-visits" else out)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.search(df, F.col("vec_id") % 20 == 0, k=10, pivots=pivots, shard=shard, leaf=4).collect()}
+    score = data[::20] @ data.T
+    score[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+    best = np.argsort(-score, axis=1, kind="stable")[:, :10]
+    assert got == {(20 * q, k + 1): int(v) for q, row in enumerate(best) for k, v in enumerate(row)}
+    if (pivots, shard) == (400, 10):
+        assert sum(visits) <= 0.7 * 150 * 300  # of 150 queries and 300 shards
