@@ -14,7 +14,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans import analysis, lowering, shapes
+from ..plans import analysis, envelope, lowering, shapes
 from ..plans.syntax import Program, parse
 from . import arrow, progress
 
@@ -128,10 +128,28 @@ class Grammar:
             return None
         return F.contains(col, F.lit(rare))
 
+    def _likely(self, col: Column, hit: bool) -> Column:
+        """Whether a text can have a hit, or can match from its start: what the JVM asks before a grammar that it cannot run.
+
+        True for a null text, so that null stays null.
+        """
+        asked = F.lit(True)
+        begins, literal = envelope.beginning(self.program), envelope.rarest(self.program)
+        if begins is not None and (hit or not lowering.can_be_empty(self.program)):
+            asked &= col.rlike(begins if hit else rf"\A{begins}")
+        if literal is not None:
+            asked &= F.contains(col, F.lit(literal))
+        return F.coalesce(asked, F.lit(True))
+
+    def _of_likely(self, col: Column, hit: bool, run, otherwise: Column) -> Column:
+        """run(col) for texts that may match; others, which are not sent to Python, give otherwise."""
+        likely = self._likely(col, hit)
+        return F.when(likely, run(F.when(likely, col))).otherwise(otherwise)
+
     def is_match(self, col: Column) -> Column:
         """Whether the whole text matches."""
         if not self.native:
-            return arrow.accepts(self.key)(col)
+            return self._of_likely(col, False, arrow.accepts(self.key), F.lit(False))
         as_bytes = lowering.needs_bytes(self.program)
         return self._text(col, as_bytes).rlike(rf"\A(?:{self.regex()})\z")
 
@@ -145,7 +163,7 @@ class Grammar:
     def prefix_length(self, col: Column) -> Column:
         """Bytes matched from the start of the text; -1 if its start does not match."""
         if not self.native:
-            return arrow.prefix(self.key)(col)
+            return self._of_likely(col, False, arrow.prefix(self.key), F.lit(-1))
         as_bytes = lowering.needs_bytes(self.program)
         text, start = self._text(col, as_bytes), rf"\A(?>{self.regex()})"
         size = F.length if as_bytes else F.octet_length
@@ -180,7 +198,10 @@ class Grammar:
             with_nodes = lambda p: F.struct(p["hit"]["start"].alias("start"), p["hit"]["end"].alias("end"), p["hit"]["text"].alias("text"), self._nodes(p["hit"]["text"], p["place"]["start"]).alias("nodes"))
             return F.transform(pairs, with_nodes)
         if tree or unit not in ("codepoint", "utf16", "byte") or not self.native_hits:
-            return arrow.find(self.key, tree, unit)(col)
+            if unit not in ("codepoint", "utf16", "byte"):
+                raise ValueError("unit must be codepoint, utf16 or byte")
+            kind = _HITS if not tree else _HITS.replace("text:string", f"text:string,nodes:{arrow.NODES}")
+            return self._of_likely(col, True, arrow.find(self.key, tree, unit), F.array().cast(kind))
         if unit == "byte":  # hits start at code points, not inside them
             spans = F.transform(_spans(self._text(col, True), rf"(?![\x80-\xBF])(?:{self.search_regex(True)})", True), _from_bytes)
         else:
