@@ -6,7 +6,11 @@ Without a path, or with -, standard input is searched. Hits are coloured if the
 from __future__ import annotations
 
 import os
+import queue
 import sys
+import threading
+import time
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,28 +19,52 @@ from .functions.grammar import Grammar
 from .operators.search import format_results, search_lines
 from .sources.files import search_folder
 
-#: Lines of standard input that make one row.
+#: Lines of standard input that are searched together, and how long more lines are waited for once there is one.
 CHUNK_LINES = 10_000
+WAIT_SECONDS = 0.5
 
 
-def piped(spark: SparkSession, lines) -> DataFrame:
-    """Standard input as rows of text with the number of lines before each; it comes through this process in any case."""
-    chunks, held, before = [], [], 0
-    for line in lines:
-        held.append(line.removesuffix("\n"))
-        if len(held) == CHUNK_LINES:
-            chunks.append((before, "\n".join(held)))
-            before, held = before + len(held), []
-    if held:
-        chunks.append((before, "\n".join(held)))
-    return spark.createDataFrame(chunks, "before long, text string")
+def chunks(lines: Iterable[str], last: int | None = None) -> Iterator[tuple[int, list[str]]]:
+    """Standard input in pieces, with the number of lines before each: as many lines as are there, up to CHUNK_LINES.
 
+    No more is read than a piece ahead, so input without end is answered as it comes; nothing is read beyond line last.
+    """
+    ready: queue.Queue = queue.Queue(CHUNK_LINES)
+    end = object()
 
-def search_piped(spark: SparkSession, grammar: Grammar, lines, first: int | None, last: int | None) -> DataFrame:
-    found = search_lines(piped(spark, lines), grammar, "text", F.col("before").cast("string"))
-    found = found.withColumn("line", F.col("line") + F.col("file").cast("long")).withColumn("file", F.lit("<stdin>"))
-    found = found if first is None else found.filter(F.col("line") >= first)
-    return found if last is None else found.filter(F.col("line") <= last)
+    def fill() -> None:
+        for k, line in enumerate(lines, 1):
+            ready.put(line.removesuffix("\n"))
+            if k == last:
+                break
+        ready.put(end)
+
+    threading.Thread(target=fill, daemon=True).start()
+    before, line = 0, ready.get()
+    while line is not end:
+        held, until = [line], time.monotonic() + WAIT_SECONDS
+        while len(held) < CHUNK_LINES:
+            try:
+                line = ready.get(timeout=max(0.0, until - time.monotonic()))
+            except queue.Empty:
+                line = None
+                break
+            if line is end:
+                break
+            held.append(line)
+        yield before, held
+        before += len(held)
+        line = end if line is end else ready.get()
+
+
+def search_piped(spark: SparkSession, grammar: Grammar, lines: Iterable[str], first: int | None, last: int | None) -> Iterator[DataFrame]:
+    """Hit lines of standard input, a DataFrame for each piece of it."""
+    for before, held in chunks(lines, last):
+        if first is not None and before + len(held) < first:
+            continue
+        found = search_lines(spark.createDataFrame([("\n".join(held),)], "text string"), grammar, "text")
+        found = found.withColumn("line", F.col("line") + F.lit(before))
+        yield found if first is None else found.filter(F.col("line") >= first)
 
 
 def main(args: list[str]) -> int:
@@ -55,13 +83,15 @@ def main(args: list[str]) -> int:
         grammar = Grammar(f.read())
     spark = SparkSession.builder.appName("pegspark").getOrCreate()
     if len(args) == 1 or args[1] == "-":
-        lines, errors = search_piped(spark, grammar, sys.stdin, first, last), None
+        parts, errors = search_piped(spark, grammar, sys.stdin, first, last), None
     else:
         lines, errors = search_folder(spark, grammar, args[1], glob, first, last)
+        parts = [lines]
     shown = 0
-    for row in format_results(lines.orderBy("file", "line"), color).toLocalIterator():
-        print(row["shown"])
-        shown += 1
+    for lines in parts:
+        for row in format_results(lines.orderBy("file", "line"), color).toLocalIterator():
+            print(row["shown"], flush=True)
+            shown += 1
     for row in errors.toLocalIterator() if errors is not None else ():
         print(f"{row['file']}: {row['error']}", file=sys.stderr)
     if not shown:

@@ -99,6 +99,24 @@ def match(key: Key, partial: bool = False):
     return lambda col: F.when(col.isNotNull(), run(col))
 
 
+@lru_cache(64)
+def _whole(key: Key) -> re.Pattern | None:
+    """The grammar as an expression over bytes for whole texts, where it is regular."""
+    from ..plans import lowering
+    from .grammar import compiled
+
+    try:
+        return re.compile(rf"(?:{lowering.lower(compiled(key.source, key.modules), True)[0]})\Z".encode("latin-1"))
+    except lowering.NotRegular:
+        return None
+
+
+def accepts_one(key: Key, value: str | bytes) -> bool:
+    """Whether a whole text matches, by the expression where there is one, else by the matcher."""
+    found = _whole(key)
+    return found.match(_data(value)) is not None if found is not None else m.accepts(_matcher(key), _data(value))
+
+
 def accepts(key: Key):
     return _udf("boolean", lambda value: m.accepts(_matcher(key), _data(value)))
 

@@ -20,6 +20,17 @@ class GrammarHits:
                 yield k, hit["start"], hit["end"], hit["text"]
 
 
+def _by_grammar(texts: pd.Series, sources: pd.Series, use) -> pd.Series:
+    """Per row use(grammar)(text), each grammar of the batch made ready once; null where either is null."""
+    out = pd.Series([None] * len(texts), dtype=object)
+    for source, rows in sources.groupby(sources, sort=False).groups.items():
+        one = use(arrow.Key(source, ()))
+        for k in rows:
+            if texts[k] is not None:
+                out[k] = one(texts[k])
+    return out
+
+
 def register(spark: SparkSession) -> None:
     """Make grammar_is_match(text, grammar), grammar_find(text, grammar) and the table function grammar_hits known to SQL.
 
@@ -28,11 +39,11 @@ def register(spark: SparkSession) -> None:
 
     @F.pandas_udf("boolean")
     def grammar_is_match(texts: pd.Series, sources: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None or s is None else arrow.m.accepts(arrow._matcher(arrow.Key(s, ())), t.encode()) for t, s in zip(texts, sources)], dtype=object)
+        return _by_grammar(texts, sources, lambda key: lambda t: arrow.accepts_one(key, t))
 
     @F.pandas_udf("array<struct<start:int,end:int,text:string>>")
     def grammar_find(texts: pd.Series, sources: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None or s is None else arrow.find_one(arrow.Key(s, ()), t) for t, s in zip(texts, sources)], dtype=object)
+        return _by_grammar(texts, sources, lambda key: lambda t: arrow.find_one(key, t))
 
     spark.udf.register("grammar_is_match", grammar_is_match)
     spark.udf.register("grammar_find", grammar_find)

@@ -38,7 +38,15 @@ def search_lines(df: DataFrame, grammar: Grammar, text_col: str, label: Column |
         lines = lines.filter(F.col("line") >= start_line)
     if end_line is not None:
         lines = lines.filter(F.col("line") <= end_line)
-    return lines.filter(grammar.has_hit(F.col("content"))).withColumn("matches", grammar.find(F.col("content")))
+    return with_matches(lines, grammar)
+
+
+def with_matches(lines: DataFrame, grammar: Grammar) -> DataFrame:
+    """The lines that have a hit, and their hits. Where Python finds them it is asked once a line."""
+    content = F.col("content")
+    if grammar.native_hits:
+        return lines.filter(grammar.has_hit(content)).withColumn("matches", grammar.find(content))
+    return lines.withColumn("matches", grammar.find(content)).filter(F.size("matches") > 0)
 
 
 def search_hits(df: DataFrame, grammar: Grammar, text_col: str, label: Column | None = None, **lines) -> DataFrame:

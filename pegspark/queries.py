@@ -13,7 +13,7 @@ from .functions import Catalogue, Grammar, register
 from .functions.sql import register_grammar
 from .operators import format_results, hits, search_hits, search_lines
 from .sources import read_folder, search_folder, search_lines_of
-from .streaming import number_lines, search_numbered, search_stream
+from .streaming import number_lines, numbered_writer, search_numbered, search_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Bytes of a split of the large file: far less than a cluster's, so that the tables' files have many.
@@ -483,6 +483,17 @@ def stream_line_numbers(spark, sf_dir):
     return rows.agg(F.count("*").alias("n_lines"), F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.countDistinct("line").alias("n_numbers"))
 
 
+@query("SELECT '<stream>' AS file, count(*) AS n_lines, CAST(count(*) AS BIGINT) AS last_line, count(*) AS n_numbers, CAST(sum(event_id) AS BIGINT) AS total FROM events")
+def stream_numbers_of_one_label(spark, sf_dir):
+    """All events as one stream of lines under one label, numbered by many tasks in micro-batches of some files."""
+    events, out = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("value")), _scratch(spark, "one-label")
+    events.repartition(12).write.parquet(f"{out}/in")
+    lines = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 5).parquet(f"{out}/in")
+    numbered_writer(lines, out).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema("file string, line long, content string").parquet(f"{out}/rows").groupBy("file")
+    return rows.agg(F.count("*").alias("n_lines"), F.max("line").alias("last_line"), F.countDistinct("line").alias("n_numbers"), F.sum(F.col("content").cast("long")).alias("total"))
+
+
 @query("SELECT event_type AS file, count(*) AS n_hits, CAST(max(n) AS BIGINT) AS longest FROM (SELECT *, len(regexp_extract_all(props, '[5-9][0-9]')) AS n FROM events) WHERE n > 0 GROUP BY event_type")
 def stream_search_numbered(spark, sf_dir):
     """The events as a stream of lines, numbered per type and searched from line 1 on."""

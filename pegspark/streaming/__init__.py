@@ -1,5 +1,5 @@
 """Search in streams of lines."""
 
-from .lines import number_lines, search_numbered, search_stream
+from .lines import number_lines, numbered_writer, search_numbered, search_stream
 
-__all__ = ["number_lines", "search_numbered", "search_stream"]
+__all__ = ["number_lines", "numbered_writer", "search_numbered", "search_stream"]

@@ -12,7 +12,7 @@ from pegspark.plans import analysis, matcher
 from pegspark.plans.syntax import parse
 from pegspark.operators import format_results, hits, search_hits, search_lines
 from pegspark.sources import numbered, read_folder, search_folder, search_folder_hits, search_lines_of
-from pegspark.streaming import number_lines, search_numbered, search_stream
+from pegspark.streaming import number_lines, numbered_writer, search_numbered, search_stream
 
 from test_matcher import random_cases
 
@@ -314,6 +314,41 @@ def test_search_starts(spark):
         assert lowering.search_start(Grammar(source).program) == ""
 
 
+def test_endless_input():
+    """Standard input is searched as it comes: a piece is answered before the next line is there, and nothing is read in vain."""
+    from pegspark import __main__ as cli
+
+    asked = []
+
+    def endless():
+        k = 0
+        while True:
+            asked.append(k)
+            yield f"line {k}\n"
+            k += 1
+
+    pieces = cli.chunks(endless())
+    got = [next(pieces) for _ in range(3)]
+    assert [line for _, held in got for line in held] == [f"line {k}" for k in range(sum(len(h) for _, h in got))] and got[1][0] == len(got[0][1])
+    assert len(asked) <= 5 * cli.CHUNK_LINES
+    asked.clear()
+    assert [line for _, held in cli.chunks(endless(), 7) for line in held] == [f"line {k}" for k in range(7)] and len(asked) == 7
+
+
+def test_sql_many_grammars(spark):
+    """A column of grammars, regular and recursive, null and not, in one batch."""
+    register(spark)
+    sources = ["main: one or more digits", "main: open paren then optional main then close paren", None, "main: zero or more (any character)", "main: byte 0xC3 then byte 0xA9"]
+    texts = ["12", "(())", "é", "", None, "a1"]
+    df = spark.createDataFrame([(t, s) for t in texts for s in sources], "t string, s string").selectExpr("t", "s", "grammar_is_match(t, s) AS m", "grammar_find(t, s) AS f")
+    for r in df.collect():
+        if r["t"] is None or r["s"] is None:
+            assert r["m"] is None and r["f"] is None
+        else:
+            m = matcher.Matcher(analysis.check(parse(r["s"])))
+            assert r["m"] == matcher.accepts(m, r["t"].encode()) and [h["text"] for h in r["f"]] == [r["t"].encode()[a:b].decode() for a, b, *_ in matcher.hits(m, r["t"].encode())]
+
+
 @pytest.fixture
 def small_splits(spark):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -502,3 +537,36 @@ def test_progress(spark, source):
 def test_no_simple_sequence():
     for source in ("w: digit\nmain: w then comma", "main: digit or letter", "main: extract digit then comma", 'main: "é!" then digit', "main: digit joined by comma", "main: letter except (\"b\") then digit"):
         assert not Grammar(source).simple_sequence
+
+
+def test_numbered_writer(spark, tmp_path):
+    """Dense numbers in order of arrival over batches and a restart, several labels, many tasks a label, and an end."""
+    import json
+
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+
+    def add(name, lines):
+        (source / name).write_text("".join(json.dumps({"of": of, "value": text}) + "\n" for of, text in lines))
+
+    def run(where, **options):
+        lines = spark.readStream.schema("of string, value string").option("maxFilesPerTrigger", 4).json(str(source))
+        numbered_writer(lines, f"file://{where}", label=F.col("of"), **options).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema("file string, line long, content string").parquet(f"{where}/rows").collect()
+
+    for k in range(9):
+        add(f"a{k}", [("hot", f"h{k}-{j}\r") for j in range(100)] + [("cold", f"c{k}")] * (k % 2))
+    first = run(out)
+    for k in range(3):
+        add(f"b{k}", [("hot", f"late{k}-{j}") for j in range(50)] + [("new", "n")])
+    rows = run(out)
+    assert len(first) == 904 and len(rows) == 904 + 153
+    per = {of: sorted((r["line"], r["content"]) for r in rows if r["file"] == of) for of in ("hot", "cold", "new")}
+    assert all([n for n, _ in found] == list(range(1, len(found) + 1)) for found in per.values()) and len(per["hot"]) == 1050
+    assert {(r["file"], r["line"], r["content"]) for r in first} <= {(r["file"], r["line"], r["content"]) for r in rows}
+    inside = [text for _, text in per["hot"]]
+    assert all(inside[inside.index(x) + 1] == f"{x.split('-')[0]}-{int(x.split('-')[1]) + 1}" for x in inside if not x.endswith(("-99", "-49")) or x.startswith("h") and x.endswith("-49"))
+    ended = run(tmp_path / "ended", grammar=Grammar('main: "0"'), start_line=5, end_line=150)
+    assert all(5 <= r["line"] <= 150 and "0" in r["content"] for r in ended) and {r["file"] for r in ended} == {"hot"} | ({"cold"} if any("0" in f"c{k}" for k in range(9) if k % 2) else set())
+    totals = {r["file"]: r["total"] for r in spark.read.parquet(f"{tmp_path}/ended/totals/2").collect()}
+    assert 150 <= totals["hot"] < 1050
