@@ -27,6 +27,8 @@ FACTOR = 1.0
 #: Vantage points at most: a sample of rows by a hash, one for each shard of smaller tables. With shards of SHARD rows a
 #: region is one shard up to 10^9 rows, and ten at 10^10.
 PIVOTS = 65_536
+#: Heads under which the nearest vantage point of a row is looked for.
+LED = 4
 #: Queries whose visits leave a task together.
 ONWARD = 256
 #: Expected rows of a shard, queries that meet one tree before it is built again elsewhere, and rows of a leaf.
@@ -145,16 +147,20 @@ class Map:
         return Map(self.pivots, radius, first, many, self.heads, self.begins, far, self.longest)
 
     def led(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The vantage point that each lifted point is led to, by way of its nearest head, and the distance to it."""
-        region, far = np.zeros(len(z), np.int64), np.zeros(len(z))
+        """The vantage point that each lifted point is led to, by way of its LED nearest heads, and the distance to it."""
+        region, far = np.zeros(len(z), np.int64), np.full(len(z), np.inf)
         to_heads = _distances(z, self.heads)
         to_heads[:, self.begins[1:] == self.begins[:-1]] = np.inf
-        head = to_heads.argmin(axis=1)
-        for h in np.unique(head):
-            own = np.nonzero(head == h)[0]
-            d = _distances(z[own], self.pivots[self.begins[h] : self.begins[h + 1]])
-            best = d.argmin(axis=1)
-            region[own], far[own] = best + self.begins[h], d[np.arange(len(own)), best]
+        for head in np.argsort(to_heads, axis=1, kind="stable")[:, :LED].T:
+            for h in np.unique(head):
+                if self.begins[h + 1] == self.begins[h]:
+                    continue
+                own = np.nonzero(head == h)[0]
+                d = _distances(z[own], self.pivots[self.begins[h] : self.begins[h + 1]])
+                best = d.argmin(axis=1)
+                least = d[np.arange(len(own)), best]
+                nearer = least < far[own]
+                region[own[nearer]], far[own[nearer]] = best[nearer] + self.begins[h], least[nearer]
         return region, far
 
     def lift(self, x: np.ndarray) -> np.ndarray:
