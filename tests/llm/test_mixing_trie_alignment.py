@@ -332,3 +332,50 @@ def test_vector_regions_on_two_levels(spark, monkeypatch, pivots, shard):
     assert got == {(20 * q, k + 1): int(v) for q, row in enumerate(best) for k, v in enumerate(row)}
     if (pivots, shard) == (400, 10):
         assert sum(visits) <= 0.7 * 150 * 300  # of 150 queries and 300 shards
+
+
+# -- near copies: stars with few sets outside ---------------------------------------------------------------------------------------
+
+
+def test_star_with_few_outsiders(spark):
+    """A star of 50,000 sets with three outside its largest component is moved about once; every outsider meets every set."""
+    from pegspark.llm import nearcopies
+
+    m, blocks = 50_000, -(-50_000 // nearcopies.BLOCK)
+    parts = spark.range(m).select(F.lit(7).cast("long").alias("star"), F.col("id").alias("node"), F.lit(20).cast("long").alias("n"), F.when(F.col("id") < 3, F.col("id")).otherwise(F.lit(99)).alias("root"))
+    closed = spark.range(500).select(F.lit(8).cast("long").alias("star"), F.col("id").alias("node"), F.lit(20).cast("long").alias("n"), F.lit(5).cast("long").alias("root"))
+    dealt = nearcopies._dealt(parts.unionByName(closed)).toPandas()
+    assert len(dealt) <= 3 * m and set(dealt["star"]) == {7}
+    assert sorted(dealt[~dealt["asks"]]["node"]) == list(range(m)) and set(dealt["j"]) == {0}
+    assert dealt[dealt["asks"]].groupby("node")["i"].nunique().to_dict() == dict.fromkeys(range(3), blocks)
+
+
+@pytest.mark.parametrize("block", [8, 40, 1000])
+def test_star_blocks_lose_no_link(spark, monkeypatch, block):
+    """Stars in blocks of any size join the components that comparing every outsider with all would join."""
+    from pegspark.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    base = rng.integers(0, 1 << 40, 100)
+    sets = [np.unique(np.where(rng.random(100) < rng.choice([0.02, 0.1, 0.13]), rng.integers(0, 1 << 40, 100), base)) for _ in range(90)]
+    root = [int(x) for x in rng.integers(0, 4, 90) * (np.arange(90) < 40) + np.arange(90) * (np.arange(90) >= 40)]
+    parts = spark.createDataFrame([(1, k, len(s), root[k]) for k, s in enumerate(sets)], "star long, node long, n long, root long")
+    held = spark.createDataFrame([(k, [int(x) for x in s]) for k, s in enumerate(sets)], "node long, held array<long>")
+    found = nearcopies._dealt(parts).join(held, "node").groupBy("star", "i", "j").applyInArrow(nearcopies._block(0.8), "a long, b long").collect()
+
+    def united(links):
+        top = list(range(90))
+
+        def end(k):
+            while top[k] != k:
+                k = top[k]
+            return k
+
+        for a, b in [*links, *((k, root.index(root[k])) for k in range(90))]:
+            a, b = end(a), end(b)
+            top[max(a, b)] = min(a, b)
+        return [end(k) for k in range(90)]
+
+    near = [(a, b) for a in range(90) for b in range(a) if root[a] != root[b] and (n := len(np.intersect1d(sets[a], sets[b]))) / (len(sets[a]) + len(sets[b]) - n) >= 0.8]
+    assert found and united(near) == united([(root.index(r["a"]), root.index(r["b"])) for r in found])
