@@ -74,7 +74,8 @@ def build(turns: DataFrame, convs: DataFrame) -> tuple[DataFrame, DataFrame]:
     convs = table(convs, "trie-lengths")
     root = table(convs.agg(F.min("conv").alias("conv_id"), F.count("*").alias("n_convs"), F.max("length").alias("longest")).filter("n_convs > 0"), "trie-root")
     levels = [root.select(F.lit(0).cast("long").alias("depth"), "conv_id", F.lit(None).cast("long").alias("parent"), "n_convs", "longest", F.lit(0).cast("long").alias("size"))]
-    at_root = convs.crossJoin(F.broadcast(root.select(F.col("conv_id").alias("node"))))  # one row
+    first = root.first()
+    at_root = convs.withColumn("node", F.lit(first["conv_id"] if first else None).cast("long"))
     ends = [at_root.filter("length = 0").select(F.lit(0).cast("long").alias("depth"), "node", "conv")]
     live = at_root.filter("length > 0")
     while True:
