@@ -9,6 +9,7 @@ also leaves out files whose names begin with a dot or an underscore.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -111,10 +112,80 @@ class FolderReader(DataSourceReader):
         return read_files(partition)
 
 
+class SeenLog:
+    """Files seen so far, as numbered entries in a folder: each holds the files that were new or changed when it was written.
+
+    Every COMPACT entries all files of the log are written as one, so that opening it reads few files. Entries never change,
+    so what lies between two numbers can be read again.
+    """
+
+    COMPACT = 64
+
+    def __init__(self, folder: str):
+        self.folder, self.number, self.seen = folder, 0, {}
+        os.makedirs(folder, exist_ok=True)
+        names = os.listdir(folder)
+        whole = max((int(n.removesuffix(".all")) for n in names if n.endswith(".all")), default=0)
+        if whole:
+            self._take(f"{whole}.all", whole)
+        for n in sorted(int(n.removesuffix(".new")) for n in names if n.endswith(".new")):
+            if n > whole:
+                self._take(f"{n}.new", n)
+
+    def _take(self, name: str, number: int) -> None:
+        self.seen |= {path: (size, at) for path, size, at in self._read(name)}
+        self.number = number
+
+    def _read(self, name: str) -> list[list]:
+        with open(os.path.join(self.folder, name), encoding="utf-8") as f:
+            return [json.loads(line) for line in f]
+
+    def _write(self, name: str, rows: list) -> None:
+        """Whole or not at all."""
+        path = os.path.join(self.folder, name)
+        with open(path + ".part", "w", encoding="utf-8") as f:
+            f.writelines(json.dumps(r) + "\n" for r in rows)
+        os.replace(path + ".part", path)
+
+    def add(self, found: list[tuple[str, int, float]]) -> int:
+        """Enter what is new among these files; the number of the last entry."""
+        new = [(path, size, at) for path, size, at in found if self.seen.get(path) != (size, at)]
+        if new:
+            self._write(f"{self.number + 1}.new", new)
+            self.number += 1
+            self.seen |= {path: (size, at) for path, size, at in new}
+            if self.number % self.COMPACT == 0:
+                self._write(f"{self.number}.all", [(path, *rest) for path, rest in self.seen.items()])
+        return self.number
+
+    def between(self, start: int, end: int) -> list[tuple[str, int]]:
+        """Files of the entries after start up to end, each once."""
+        return sorted({path: size for n in range(start + 1, end + 1) for path, size, _ in self._read(f"{n}.new")}.items())
+
+
+class LoggedFolderStream(DataSourceStreamReader):
+    """New and changed files since the last batch, remembered in a log of files; an offset is a number of that log."""
+
+    def __init__(self, options: dict):
+        self.path, self.glob, self.log = options["path"], options.get("glob"), SeenLog(options["log"])
+
+    def initialOffset(self) -> dict:
+        return {"log": 0}
+
+    def latestOffset(self) -> dict:
+        return {"log": self.log.add(listed(self.path, self.glob))}
+
+    def partitions(self, start: dict, end: dict) -> list[Files]:
+        return dealt(self.log.between(start["log"], end["log"]))
+
+    def read(self, partition: Files) -> Iterator[tuple]:
+        return read_files(partition)
+
+
 class FolderStream(DataSourceStreamReader):
     """New and changed files since the last batch. An offset holds each path with its size and time of change, so a batch
     can be replayed, and a file that comes late with an old time is new all the same. Offsets grow with the folder's list of
-    names; for folders of very many files use Spark's own file stream."""
+    names; for folders of very many files give a folder for a log, which keeps them out of the offsets."""
 
     def __init__(self, options: dict):
         self.path, self.glob = options["path"], options.get("glob")
@@ -143,17 +214,22 @@ class FolderSource(DataSource):
     def reader(self, schema) -> FolderReader:
         return FolderReader(self.options)
 
-    def streamReader(self, schema) -> FolderStream:
-        return FolderStream(self.options)
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return LoggedFolderStream(self.options) if "log" in self.options else FolderStream(self.options)
+
 
+def read_folder(spark: SparkSession, path: str, glob: str | None = None, stream: bool = False, log: str | None = None) -> DataFrame:
+    """file, text and error of the files of a folder or of one file.
 
-def read_folder(spark: SparkSession, path: str, glob: str | None = None, stream: bool = False) -> DataFrame:
-    """file, text and error of the files of a folder or of one file."""
+    log, for streams: a folder of the stream's own, outside path, on a file system that the driver sees, in which the files
+    seen are remembered; a checkpoint then holds a number a batch instead of the list of all files.
+    """
     scheme, _, rest = path.partition(":")
     if rest.startswith("//") and scheme != "file":
         return _stored(spark, path, glob, stream)
     spark.dataSource.register(FolderSource)
     reader = (spark.readStream if stream else spark.read).format("grammar_folder").option("path", rest.removeprefix("//") if scheme == "file" and rest else path)
+    reader = reader.option("log", log.removeprefix("file://")) if log and stream else reader
     return (reader.option("glob", glob) if glob else reader).load()
 
 

@@ -570,3 +570,35 @@ def test_numbered_writer(spark, tmp_path):
     assert all(5 <= r["line"] <= 150 and "0" in r["content"] for r in ended) and {r["file"] for r in ended} == {"hot"} | ({"cold"} if any("0" in f"c{k}" for k in range(9) if k % 2) else set())
     totals = {r["file"]: r["total"] for r in spark.read.parquet(f"{tmp_path}/ended/totals/2").collect()}
     assert 150 <= totals["hot"] < 1050
+
+
+def test_logged_folder_stream(spark, tmp_path, monkeypatch):
+    """Offsets of a few bytes whatever the number of files; late old and changed files are found, nothing comes twice."""
+    from pegspark.sources.files import SeenLog
+
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+
+    def run():
+        files = read_folder(spark, str(source), "*.txt", stream=True, log=str(tmp_path / "log"))
+        files.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").trigger(availableNow=True).start().awaitTermination()
+        return sorted((os.path.basename(r["file"]), r["text"]) for r in spark.read.parquet(f"{out}/rows").collect())
+
+    for k in range(500):
+        (source / f"{k:03}.txt").write_text(f"one {k}")
+    want = [(f"{k:03}.txt", f"one {k}") for k in range(500)]
+    assert run() == want and run() == want
+    (source / "late.txt").write_text("late")
+    os.utime(source / "late.txt", (1, 1))
+    (source / "007.txt").write_text("changed 7")
+    want = sorted([*want, ("late.txt", "late"), ("007.txt", "changed 7")])
+    assert run() == want and run() == want
+    assert all((out / "state" / "offsets" / n).stat().st_size < 4000 for n in os.listdir(out / "state" / "offsets") if not n.startswith("."))
+    log = SeenLog(str(tmp_path / "log"))
+    assert log.between(0, log.number) == log.between(0, log.number) and len(log.seen) == 501
+    monkeypatch.setattr(SeenLog, "COMPACT", 3)
+    for k in range(7):
+        log.add([(f"more{k}", k, 0.0)])
+    again = SeenLog(str(tmp_path / "log"))
+    assert again.seen == log.seen and again.number == log.number and any(n.endswith(".all") for n in os.listdir(tmp_path / "log"))
+    assert again.between(log.number - 2, log.number) == [("more5", 5), ("more6", 6)]
