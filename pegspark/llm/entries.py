@@ -21,6 +21,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_sections(read(spark, sf_dir, "documents"))
 
 
+def field_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the fields of every document, encoded as one text; a token across two fields goes to the larger part."""
+    return tokencounts.count_fields(read(spark, sf_dir, "documents"), "doc_id", ["lang", "source", "text"], rule="largest")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(quality.ledger(read(spark, sf_dir, "documents")))
 
@@ -90,7 +95,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_rules, op4_simhash, op5_line_dedup, op6_vector_search, op7_bpe, op8_lm_scores, op9_packing, op10_url_filter, op11_mixing, op12_prefix_trie, op13_alignment, quality_ablation)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_quality_rules, op4_simhash, op5_line_dedup, op6_vector_search, op7_bpe, op8_lm_scores, op9_packing, op10_url_filter, op11_mixing, op12_prefix_trie, op13_alignment, field_token_counts, quality_ablation)}
 
 
 _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"

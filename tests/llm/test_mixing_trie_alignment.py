@@ -379,3 +379,26 @@ def test_star_blocks_lose_no_link(spark, monkeypatch, block):
 
     near = [(a, b) for a in range(90) for b in range(a) if root[a] != root[b] and (n := len(np.intersect1d(sets[a], sets[b]))) / (len(sets[a]) + len(sets[b]) - n) >= 0.8]
     assert found and united(near) == united([(root.index(r["a"]), root.index(r["b"])) for r in found])
+
+
+# -- token counts of fields -----------------------------------------------------------------------------------------------------------
+
+
+def test_field_token_counts(spark, tables):
+    """Per field the tokens that brute force gives it: most bytes first, the earlier field on a tie."""
+    from pegspark.llm import packing
+
+    coder = packing.byte_bpe(*packing.default_ranks())
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
+    got = entries.field_token_counts(spark, tables).toPandas()
+    assert len(got) == 3 * len(docs)
+    for doc_id, fields in got.groupby("doc_id"):
+        row = docs[doc_id]
+        parts = [(row["lang"] or "") + "\n", (row["source"] or "") + "\n", row["text"] or ""]
+        owner = [k for k, p in enumerate(parts) for _ in p.encode()]
+        at, want = 0, [0, 0, 0]
+        for token in coder.encode("".join(parts), special=False):
+            own = Counter(owner[at : at + len(coder.token_bytes(int(token)))])
+            want[min(own, key=lambda k: (-own[k], k))] += 1
+            at += sum(own.values())
+        assert fields.sort_values("part")["n_tokens"].tolist() == want and fields.sort_values("part")["field"].tolist() == ["lang", "source", "text"]
