@@ -318,21 +318,19 @@ def test_endless_input():
     """Standard input is searched as it comes: a piece is answered before the next line is there, and nothing is read in vain."""
     from pegspark import __main__ as cli
 
-    asked = []
-
-    def endless():
+    def endless(asked):
         k = 0
         while True:
             asked.append(k)
             yield f"line {k}\n"
             k += 1
 
-    pieces = cli.chunks(endless())
+    asked, few = [], []
+    pieces = cli.chunks(endless(asked))
     got = [next(pieces) for _ in range(3)]
     assert [line for _, held in got for line in held] == [f"line {k}" for k in range(sum(len(h) for _, h in got))] and got[1][0] == len(got[0][1])
-    assert len(asked) <= 5 * cli.CHUNK_LINES
-    asked.clear()
-    assert [line for _, held in cli.chunks(endless(), 7) for line in held] == [f"line {k}" for k in range(7)] and len(asked) == 7
+    assert len(asked) <= 5 * cli.CHUNK_LINES  # of another thread, which waits once a piece is ahead
+    assert [line for _, held in cli.chunks(endless(few), 7) for line in held] == [f"line {k}" for k in range(7)] and len(few) == 7
 
 
 def test_sql_many_grammars(spark):
