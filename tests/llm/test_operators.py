@@ -865,7 +865,7 @@ def test_oracle(spark, tables, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tables}/{t}.parquet'")
     got, want = entries.queries()[name](spark, tables).toPandas(), con.sql(entries.oracle_sql()[name]).df()
     key = sorted(got.columns)
