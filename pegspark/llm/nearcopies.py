@@ -1,12 +1,14 @@
-"""Near copies by the Jaccard similarity of their word shingles: operator 4's answer where a similarity is asked for.
-
-A text is the set of the hashes of its shingles of SHINGLE words; equal sets are one node. Each node gets BANDS cells of
-ROWS MinHash values; a pair at similarity s shares a cell with probability 1 - (1 - s ** ROWS) ** BANDS, that is all but
-3 in a million at 0.8 and fewer above. Candidates are verified on the whole sets, in two steps. First every node is
-compared with the leaders of its cells only, which costs a group of copies its size, not its square. Then, in each star (a
-leader and all that share a cell with it) that is not yet one component, what lies outside the largest component is
-compared with all the rest, in blocks of bounded size: members lie in one block each, only what lies outside is sent to
-every block. A block returns a spanning forest of its links, never its pairs.
+"""Near copies by the Jaccard similarity of their word shingles: operator 4 where a similarity is asked for.
+
+A text is the set of the hashes of its shingles of SHINGLE words; equal sets are one node. Each node gets a SimHash of
+some words of 64 bits, embedded as the counts of its two-bit segments, and operator 4's tables of segments
+(simhash.wide_families) give its cells: a pair at the similarity or above shares a cell and is near enough there but for
+about one in a million. The families of a cell, joined by Manhattan and then Hamming distance, are candidates, verified on
+the whole sets in two steps. First every node is compared with the leaders of its families only, which costs a group of
+copies its size, not its square. Then, in each star (a leader and all that share a family with it) that is not yet one
+component, what lies outside the largest component is compared with all the rest, in blocks of bounded size: members lie
+in one block each, only what lies outside is sent to every block. A block returns a spanning forest of its links, never
+its pairs.
 """
 
 from __future__ import annotations
@@ -19,15 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import few, slices, table
-from .simhash import _LOWER, _WORD, SEED, keep_first, mark, roots
+from .simhash import _LOWER, _WORD, SEED, WIDE, choose_tables, keep_first, long_fingerprint, mark, roots, wide_cells, wide_families
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 5
 #: Sets in a block of a star, and their shingles; a larger set is a block of its own.
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 20
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+WORDS = [f"w{k}" for k in range(WIDE)]
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -41,29 +42,35 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in made), np.uint64))
 
 
-def cells(hashes: np.ndarray) -> list[int]:
-    """The cells of a set, one for each band, as signed 64-bit numbers; of the empty set none."""
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], pa.Array]]:
+    """Slices of the batches with the texts' sets and their nodes (a hash of the set)."""
     import xxhash
 
-    if not len(hashes):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1 << 10):
-        least = np.minimum(least, (hashes[at : at + (1 << 10), None] * _FACTORS).min(axis=0))
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64).tolist()
+    for batch in slices(batches):
+        sets = [shingles(t or b"", size) for t in batch["text"].cast(pa.binary()).to_pylist()]
+        yield batch, sets, pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64))
 
 
-def _nodes(size: int, full: bool):
-    """node (a hash of the set) and its cells, or, if full, the set itself."""
+def _nodes(size: int, tables: int, width: int):
+    """Each row's node, the size of its set, its fingerprint's first words and its cells; of the empty set none."""
+    words = max(WIDE, -(-tables * width // 32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        for batch, sets, node in _sets(batches, size):
+            fps = np.array([long_fingerprint(s, words) for s in sets], np.uint64).reshape(-1, words)
+            cells = pa.array([c if len(s) else () for c, s in zip(wide_cells(fps, tables, width), sets)], pa.list_(pa.int64()))
+            first = [pa.array(fps[:, k].copy().view(np.int64)) for k in range(WIDE)]
+            yield pa.record_batch([batch["id"], batch["mark"], node, pa.array([len(s) for s in sets], pa.int64()), *first, cells], ["id", "mark", "node", "n", *WORDS, "cells"])
 
-        for batch in slices(batches):
-            sets = [shingles(t or b"", size) for t in batch["text"].cast(pa.binary()).to_pylist()]
-            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            held = [s.view(np.int64) for s in sets] if full else [cells(s) for s in sets]
-            yield pa.record_batch([batch["id"], batch["mark"], pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(held, pa.list_(pa.int64()))], ["id", "mark", "node", "n", "held"])
+    return run
+
+
+def _held(size: int):
+    """Each row's node and its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets, node in _sets(batches, size):
+            yield pa.record_batch([node, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "held"])
 
     return run
 
@@ -130,24 +137,19 @@ def _named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """id, mark (a hash of the text) and component_id of each row."""
     kind = df.schema[id_col].dataType.simpleString()
-    ddl = f"id {kind}, mark long, node long, n long, held array<long>"
     texts = _named(df, id_col, text_col)
-    rows = table(texts.mapInArrow(_nodes(size, False), ddl), "near-rows")
+    ddl = f"id {kind}, mark long, node long, n long, {', '.join(f'{w} long' for w in WORDS)}, cells array<long>"
+    rows = table(texts.mapInArrow(_nodes(size, *choose_tables(df.count(), similarity)), ddl), "near-rows")
     least = F.min(F.struct(F.col("id").isNull(), "id", "mark"))  # the row that stands for a node
-    points = table(rows.groupBy("node").agg(least.alias("row"), F.first("n").alias("n"), F.first("held").alias("held")), "near-points")
-    own = points.select("node", "n", F.explode("held").alias("cell"))
-    first = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node"), F.col("n"))).alias("first")  # one order for all cells: few leaders
-    shared = own.groupBy("cell").agg(F.count("*").alias("many"), first).filter("many > 1")
-    shared = shared.select("cell", F.col("first.node").alias("star"), F.col("first.n").alias("star_n"))
-    met = table(own.join(shared, "cell").select("star", "star_n", "node", "n").distinct(), "near-stars")
+    points = table(rows.groupBy("node").agg(least.alias("row"), *(F.first(c).alias(c) for c in ("n", *WORDS, "cells"))), "near-points")
+    met = table(wide_families(points, similarity), "near-stars")
 
     # each node against its leaders; no similarity exceeds that of the sizes
     pairs = met.filter((F.col("node") != F.col("star")) & (F.least("n", "star_n") / F.greatest("n", "star_n") >= similarity)).select("star", "node")
-    wanted = met.groupBy("star").agg(F.count("*").alias("m")).filter("m > 1").join(met, "star").select("node").distinct()
-    some = points.join(wanted, "node").select(F.col("row.id").alias("id_"), F.col("row.mark").alias("mark_"))
+    some = points.join(met.select("node").distinct(), "node").select(F.col("row.id").alias("id_"), F.col("row.mark").alias("mark_"))
     some = few(table(some, "near-wanted"))
     again = texts.join(some, texts["id"].eqNullSafe(some["id_"]) & (texts["mark"] == some["mark_"]), "left_semi")
-    sets = table(again.mapInArrow(_nodes(size, True), ddl).dropDuplicates(["node"]).select("node", "held"), "near-sets")
+    sets = table(again.mapInArrow(_held(size), "node long, held array<long>").dropDuplicates(["node"]), "near-sets")
     both = pairs.join(sets.withColumnRenamed("held", "x"), "node").join(sets.select(F.col("node").alias("star"), F.col("held").alias("y")), "star")
     common = F.size(F.array_intersect("x", "y"))
     links = table(both.filter(common / (F.size("x") + F.size("y") - common) >= similarity).select(F.col("node").alias("a"), F.col("star").alias("b")), "near-links")
@@ -172,8 +174,8 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Null and wordless texts are one node, linked to no other. Repeated rows give repeated results; null ids are linked
     but never smallest (a component of null ids only has a null component_id); an empty table gives no rows; other
-    columns are not read. A very long text is one set of hashes of 8 bytes a word. Pairs below about 0.6 may be missed
-    if similarity is lower.
+    columns are not read. A very long text is one set of hashes of 8 bytes a word. A lower similarity takes more tables and
+    wider distances, so that more unrelated texts meet.
     """
     return classes(df, id_col, text_col, **options).select(F.col("id").alias(id_col), "component_id")
 

@@ -7,6 +7,10 @@ of some choice of parts without those 3. More parts make finer and more cells; t
 fingerprints. Pairs that meet are tested by Manhattan distance and verified on the full fingerprints. Only distinct
 fingerprints are joined; a cell with very many is compared in bounded blocks, each of which returns a spanning forest of
 its links instead of the pairs.
+
+Where a similarity below that is asked for (families), the distance is too wide for one such grid. Fingerprints are then
+longer, and the grid is many tables of a few segments each: a pair meets where all segment counts of some table agree.
+Within a cell, pairs are again tested by Manhattan distance and verified on the fingerprints.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, ceil, comb, log, log1p, pi
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,16 @@ SEGMENTS = 32
 #: Numbers of parts to choose from, and the chance that two unrelated fingerprints have one segment count in common.
 PARTS = (6, 8, 10, 12, 14)
 SAME_COUNT = 0.375
+#: Long fingerprints: words whose distance is tested, the odds that no table has a pair, and what small sets add to the
+#: odds that a bit differs (four of five shingles: 0.1875, not 0.1515).
+WIDE = 4
+MISS = 1e-6
+SMALL_SETS = 1.25
+#: Fingerprints of one block of a cell, and those compared at once with so many others.
+CELL_BLOCK = 1 << 16
+STRIP, COLUMNS = 128, 1 << 13
+#: Rows of a cell that take as long to compare with one as that one's move to the cell.
+MOVE = 30_000
 
 
 def fingerprint(text: bytes) -> int:
@@ -160,6 +174,144 @@ def links(points: DataFrame, limit: int = MAX_DISTANCE, hot_cell: int = HOT_CELL
     return found
 
 
+def differing(similarity: float) -> float:
+    """The odds that a bit of the fingerprints of two sets of that Jaccard similarity differs, at most."""
+    return SMALL_SETS * acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
+
+
+def wide_limit(similarity: float) -> int:
+    """The distance in WIDE words that two sets of the similarity exceed once in some million times."""
+    q = differing(similarity)
+    return ceil(64 * WIDE * q + 5 * (64 * WIDE * q * (1 - q)) ** 0.5)
+
+
+def choose_tables(n: int, similarity: float) -> tuple[int, int]:
+    """Tables and segments in each, for n fingerprints: those with the least to move and to compare."""
+    q = differing(similarity)
+    same = (1 - q) ** 2 + q * q / 2
+    tables = lambda width: max(1, ceil(log(MISS) / log1p(-(same**width))))
+
+    def cost(width: int) -> float:
+        cell = n * SAME_COUNT**width
+        return tables(width) * (MOVE * (1 + cell / CELL_BLOCK) + cell / 2)
+
+    width = min(range(3, 14), key=cost)
+    return tables(width), width
+
+
+def long_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Of a set of 64-bit hashes, in words of 64 bits: the first of the hashes' own bits, the others of those mixed anew."""
+    total = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 1 << 11):
+        z = hashes[at : at + (1 << 11), None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+        mixed[:, 0] = z[:, 0]
+        total += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+    return np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8").astype(np.uint64)
+
+
+def points(fps: np.ndarray) -> np.ndarray:
+    """embedding of an array of fingerprints."""
+    even, other = np.uint64(_EVEN), fps >> np.uint64(1)
+    return ((fps | other) & even) | ((fps & other & even) << np.uint64(1))
+
+
+def wide_cells(fps: np.ndarray, tables: int, width: int) -> np.ndarray:
+    """The cells of long fingerprints (a row each), one for each table: its number and its segments' counts."""
+    counts = (points(fps)[:, :, None] >> np.arange(0, 64, 2, dtype=np.uint64)).reshape(len(fps), -1)[:, : tables * width] & np.uint64(3)
+    own = (counts.reshape(len(fps), tables, width) * np.uint64(4) ** np.arange(width, dtype=np.uint64)).sum(2)
+    return (own + np.arange(tables, dtype=np.uint64) * np.uint64(4**width)).view(np.int64)
+
+
+def families(fps: np.ndarray, size: np.ndarray, similarity: float) -> np.ndarray:
+    """A label for each set of a cell: sets joined by chains of pairs within wide_limit share one; fps has WIDE columns.
+
+    Only sizes that the similarity allows are compared. A family once found is not compared within itself, so that a
+    crowd of copies costs its size.
+    """
+    limit, m = wide_limit(similarity), len(size)
+    order = np.argsort(size, kind="stable")
+    fps, size = fps[order], size[order]
+    at, up = points(fps), list(range(m))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    alive, label, family = np.ones(m, bool), np.arange(m), -1  # equal labels: one family; not always the reverse
+    while True:
+        rest = np.nonzero(alive)[0]
+        strip = rest[label[rest] == family][:STRIP] if family >= 0 else rest[:0]
+        of = family if len(strip) else -1
+        strip = strip if len(strip) else rest[:STRIP]
+        if not len(strip):
+            break
+        alive[strip] = False
+        others = rest[label[rest] != of] if of >= 0 else rest
+        low, high = np.searchsorted(size[others], [size[strip[0]] * similarity * (1 - 1e-9), size[strip[-1]] / similarity * (1 + 1e-9)])
+        family = of
+        for begin in range(low, high, COLUMNS):
+            cols = others[begin : min(begin + COLUMNS, high)]
+            apart = np.zeros((len(strip), len(cols)), np.uint8)  # 256 becomes 0, which the fingerprints then refuse
+            for w in range(fps.shape[1]):
+                apart += np.bitwise_count(at[strip, w][:, None] ^ at[cols, w])
+            r, c = np.nonzero(apart <= limit)  # the Manhattan distance never exceeds that of the fingerprints
+            near = (strip[r] != cols[c]) & (np.bitwise_count(fps[strip[r]] ^ fps[cols[c]]).sum(1, dtype=np.int64) <= limit)
+            r, c = r[near], c[near]
+            if not len(r):
+                continue
+            first = np.full(len(cols), STRIP)
+            np.minimum.at(first, c, r)
+            hit = np.unique(c)
+            pairs = np.unique(r * STRIP + first[c])  # rows of the strip that meet in a column
+            joined = [(strip[p // STRIP], strip[p % STRIP]) for p in pairs] + list(zip(strip[first[hit]], cols[hit]))
+            for a, b in joined:
+                a, b = top(int(a)), top(int(b))
+                up[max(a, b)] = min(a, b)
+            tops = {int(k): top(int(strip[k])) for k in np.unique(first[hit])}
+            label[cols[hit]] = [tops[k] for k in first[hit].tolist()]
+            label[strip] = [top(int(x)) for x in strip]
+            many = np.bincount(label[cols[hit]])
+            if many.max() >= STRIP or of >= 0:
+                family = int(many.argmax()) if of < 0 else of
+    out = np.empty(m, np.int64)
+    out[order] = [top(x) for x in range(m)]
+    return out
+
+
+def _cell_families(similarity: float):
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("node").combine_chunks()  # so a family's first row is its smallest node
+        node, n = group["node"].to_numpy(), group["n"].to_numpy()
+        fps = np.stack([group[f"w{k}"].to_numpy().view(np.uint64) for k in range(WIDE)], axis=1)
+        _, first, which, many = np.unique(families(fps, n, similarity), return_index=True, return_inverse=True, return_counts=True)
+        some = many[which] > 1
+        star = first[which[some]]
+        return pa.table({"star": node[star], "star_n": n[star], "node": node[some], "n": n[some]})
+
+    return run
+
+
+def wide_families(rows: DataFrame, similarity: float) -> DataFrame:
+    """star, star_n, node, n: each family of each cell under its smallest node, itself included.
+
+    rows has node, n (the set's size), w0, w1, ... (WIDE words of its long fingerprint) and cells. Two sets of at least
+    the similarity are in one family but for MISS and the odds of wide_limit. A cell of more than CELL_BLOCK rows is
+    compared in blocks, each pair of them in its own group.
+    """
+    own = rows.select("node", "n", *(f"w{k}" for k in range(WIDE)), F.explode("cells").alias("cell"))
+    crowded = own.groupBy("cell").agg(F.count("*").alias("m")).filter(F.col("m") > CELL_BLOCK)
+    hot = table(crowded.select("cell", F.ceil(F.col("m") / CELL_BLOCK).cast("int").alias("k")), "simhash-crowded")
+    if not hot.isEmpty():
+        own = deal(own.join(few(hot), "cell", "left").fillna(1, ["k"]), "node", ["cell"])
+    else:
+        own = own.withColumns({"i": F.lit(0), "j": F.lit(0)})
+    return own.groupBy("cell", "i", "j").applyInArrow(_cell_families(similarity), "star long, star_n long, node long, n long").distinct()
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of one task as stars: within at most CHUNK nodes at once, each node is linked to the smallest it reaches."""
     up: dict[int, int] = {}

@@ -836,6 +836,51 @@ def test_pipeline_drops_near_copies(spark, monkeypatch):
         assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == roots
 
 
+def test_near_copies_by_simhash(spark, monkeypatch):
+    """The stage's candidates are operator 4's families and nothing else: without them no near copy is found."""
+    words = [f"w{k}" for k in range(200)]
+    docs = spark.createDataFrame([(k, " ".join([*words[:100], f"x{k}", *words[101:]])) for k in range(9)], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()] == [0]
+    monkeypatch.setattr(nearcopies, "wide_families", lambda rows, similarity: rows.selectExpr("node star", "n star_n", "node", "n").limit(0))
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 9
+
+
+@pytest.mark.parametrize("block", [1 << 16, 60])
+def test_wide_families_are_whole(spark, monkeypatch, block):
+    """Every pair at 0.8 or above, of 4 to 500 shingles, lies in a family, also where cells are cut into blocks."""
+    rng, sets = np.random.default_rng(8), []
+    for k in range(200):
+        base = rng.integers(0, 1 << 63, rng.integers(5, 500), np.uint64) * np.uint64(2)
+        sets += [base, base[: -(-len(base) * 4 // 5)], base[len(base) // 5 :], rng.integers(0, 1 << 63, 100, np.uint64)]
+    tables, width = simhash.choose_tables(len(sets), 0.8)
+    fps = np.array([simhash.long_fingerprint(s, -(-tables * width // 32)) for s in sets])
+    cells = simhash.wide_cells(fps, tables, width).tolist()
+    signed = fps[:, : simhash.WIDE].copy().view(np.int64).tolist()
+    ddl = "node long, n long, " + "".join(f"w{k} long, " for k in range(simhash.WIDE)) + "cells array<long>"
+    rows = spark.createDataFrame([(k, len(s), *signed[k], cells[k]) for k, s in enumerate(sets)], ddl)
+    monkeypatch.setattr(simhash, "CELL_BLOCK", block)
+    met = simhash.wide_families(rows, 0.8).toPandas()
+    stars = met.groupby("node").star.agg(set)
+    assert set(met.n) <= {len(s) for s in sets} and not any(k in stars.index for k in range(3, len(sets), 4))
+    assert all(stars[k] & stars[k + other] for k in range(0, len(sets), 4) for other in (1, 2))
+
+
+def test_families_join_what_chains_join():
+    """A crowd, chains and strangers of one cell: labels equal those of all pairs compared one by one."""
+    rng = np.random.default_rng(9)
+    fps, size = rng.integers(0, 1 << 63, (1500, simhash.WIDE), np.uint64), rng.integers(50, 500, 1500)
+    for k in range(1, 900):  # 0 to 599 a crowd around the first, 600 to 899 chains of 10
+        if k % 10 or k < 600:
+            fps[k] = fps[0 if k < 600 else k - 1]
+            size[k] = size[0 if k < 600 else k - 1]
+            for bit in rng.choice(64 * simhash.WIDE, 30, replace=False):
+                fps[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    limit, close = simhash.wide_limit(0.8), lambda a, b: min(size[a], size[b]) >= 0.8 * max(size[a], size[b])
+    near = [(a, int(b)) for a in range(1500) for b in np.nonzero(np.bitwise_count(fps[:a] ^ fps[a]).sum(1, dtype=int) <= limit)[0] if close(a, b)]
+    got, want = simhash.families(fps, size, 0.8), unite(1500, near)
+    assert len(near) > 100_000 and len(set(want)) == len(set(got.tolist())) == len(set(zip(want, got.tolist())))
+
+
 def test_near_copies_forest():
     """Of stars with crowds just below and above the similarity, the links join what brute force joins."""
     rng = np.random.default_rng(4)
