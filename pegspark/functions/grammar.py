@@ -1,20 +1,20 @@
 """A compiled grammar and the columns it makes.
 
 Acceptance, texts, counts, spans, replacement and static extracts are Catalyst expressions over a regular expression when
-the grammar allows; trees, repeated extracts, recursion and reports of failure run in an Arrow function on the executors.
-Null input gives null.
+the grammar allows, those of a recursion through a pair of signs too; trees, repeated extracts, other recursion and reports
+of failure run in an Arrow function on the executors. Null input gives null.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans import analysis, envelope, lowering, shapes
+from ..plans import analysis, envelope, lowering, matcher, shapes
 from ..plans.syntax import Program, parse
 from . import arrow, progress
 
@@ -97,7 +97,7 @@ class Grammar:
 
     @property
     def native(self) -> bool:
-        """Whether acceptance runs inside the JVM."""
+        """Whether the grammar is one expression, so that acceptance runs inside the JVM."""
         try:
             lowering.lower(self.program)
         except lowering.NotRegular:
@@ -146,8 +146,20 @@ class Grammar:
         likely = self._likely(col, hit)
         return F.when(likely, run(F.when(likely, col))).otherwise(otherwise)
 
+    @cached_property
+    def pairs(self) -> shapes.Pairs | None:
+        """The grammar as a run of opening signs, what is inside, and a run of closing signs, which the JVM compares."""
+        return self._shape(shapes.pairs)
+
+    def _paired(self, opened: Column, closed: Column) -> Column:
+        """Of two runs of so many signs, how many belong together; as elsewhere, no more than DEEPEST rules within rules."""
+        return F.least(opened, closed, F.lit(matcher.DEEPEST - self.pairs.levels))
+
     def is_match(self, col: Column) -> Column:
         """Whether the whole text matches."""
+        if self.pairs is not None:
+            opened, closed = (F.length(F.regexp_extract(col, rf"\A{self.pairs.start}\z", k)) for k in (1, 3))
+            return (opened > 0) & (opened == closed) & (self._paired(opened, closed) == opened)
         if not self.native:
             return self._of_likely(col, False, arrow.accepts(self.key), F.lit(False))
         as_bytes = lowering.needs_bytes(self.program)
@@ -162,6 +174,10 @@ class Grammar:
 
     def prefix_length(self, col: Column) -> Column:
         """Bytes matched from the start of the text; -1 if its start does not match."""
+        if self.pairs is not None:
+            opened, inside, closed = (F.octet_length(F.regexp_extract(col, rf"\A{self.pairs.start}", k)) for k in (1, 2, 3))
+            size = 2 * opened + (inside if self.pairs.inside else 0)
+            return F.when((opened > 0) & (self._paired(opened, closed) == opened), size).when(col.isNotNull(), F.lit(-1))
         if not self.native:
             return self._of_likely(col, False, arrow.prefix(self.key), F.lit(-1))
         as_bytes = lowering.needs_bytes(self.program)
@@ -324,6 +340,6 @@ class Grammar:
 
     def match_many(self, col: Column) -> Column:
         """For an array of texts, whether each matches."""
-        if not self.native:
+        if not self.native and self.pairs is None:
             return arrow.accepts_each(self.key)(col)
         return F.transform(col, self.is_match)

@@ -8,7 +8,7 @@ an expression that every match begins with, whatever the recursion does later.
 from __future__ import annotations
 
 from .analysis import literals
-from .lowering import char_class, needs_bytes
+from .lowering import byte_set, char_class, needs_bytes
 from .syntax import Alt, Any, Byte, Expr, Extract, Isnt, Joined, Minus, NoneOf, OneOf, Program, Ref, Repeat, Seq, Text, Until
 
 #: Characters of a match that are looked at.
@@ -54,8 +54,10 @@ class _Starts:
                 return set()
             case Byte(found):
                 return self.one(places, {b for b in found if b < BEYOND})
-            case Any() | NoneOf():
+            case Any():
                 return self.one(places, set(range(BEYOND + 1)))
+            case NoneOf(items):
+                return self.one(places, set(range(BEYOND + 1)) - (byte_set(items) or set()))
             case Minus(base):
                 return go(base, places)
             case Text(text):
@@ -107,6 +109,11 @@ def beginning(program: Program) -> str | None:
     return "".join(places) or None
 
 
+def first(program: Program) -> set[int]:
+    """Signs that a match can begin with; BEYOND stands for all beyond ASCII."""
+    return _Starts(program).at[0]
+
+
 _CHAR = "(?s:.)"
 
 

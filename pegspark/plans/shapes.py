@@ -3,15 +3,19 @@
 What stands before a rule or extract, outside loops and choices, is a sequence of patterns that is the same for every
 match. As patterns are deterministic, an expression for that sequence stops where the rule begins, so its length is the
 rule's place. A loop that holds extracts is captured from its start on and gone through once more, round by round.
+
+A recursion through a pair of signs is a run of opening signs, what is inside them all, and a run of closing signs. An
+expression cannot compare the two runs, but their lengths can be compared after it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from . import envelope
 from .analysis import nullable, nullable_rules
-from .lowering import Lowering, NotRegular, byte_set, lower
-from .syntax import Expr, Extract, Isnt, Joined, Minus, NoneOf, Program, Ref, Repeat, Seq, Until, walk
+from .lowering import Lowering, NotRegular, byte_set, char_class, lower, needs_bytes
+from .syntax import Alt, Expr, Extract, Isnt, Joined, Minus, NoneOf, OneOf, Program, Ref, Repeat, Seq, Until, walk
 
 #: Rules or extracts of one match beyond which the matcher is the shorter way.
 MOST = 40
@@ -38,6 +42,24 @@ class Rounds:
     high: int | None
 
 
+@dataclass(frozen=True)
+class Pairs:
+    """Classes of opening and closing signs, and what is inside.
+
+    levels: rules within one another that the place after the last opening sign takes.
+    """
+
+    opening: str
+    inside: str
+    closing: str
+    levels: int
+
+    @property
+    def start(self) -> str:
+        """Groups: opening signs, what is inside, closing signs."""
+        return f"({self.opening}++)({self.inside})({self.closing}++)"
+
+
 class _Spine:
     def __init__(self, program: Program):
         lower(program, False)  # raises where the program is not regular, or needs bytes
@@ -131,3 +153,61 @@ def looks_ahead(program: Program) -> bool:
     """Whether some pattern can look at what comes after the match."""
     plain = lambda e: byte_set(e.items) is not None
     return any(isinstance(e, Isnt) or isinstance(e, Until) and not e.including or isinstance(e, (NoneOf, Minus)) and not plain(e) for body in program.rules.values() for e in walk(body))
+
+
+def pairs(program: Program) -> Pairs:
+    """A rule `opening then itself, something else or nothing, then closing`; NotRegular for any other.
+
+    The rule follows opening signs as far as they go. Nothing else that it tries can begin with one, so where a closing
+    sign is missing, every rule outside fails too: n opening signs match if n closing ones or more come after what is
+    inside, and else the innermost ones match, as many as there are closing signs.
+    """
+    match program.rules[program.entry]:
+        case Seq((opening, inside, closing)):
+            opens, closes = _signs(program, opening), _signs(program, closing)
+        case _:
+            raise NotRegular
+    optional = isinstance(inside, Repeat) and (inside.low, inside.high) == (0, 1)
+    choice = inside.body if optional else inside
+    options = choice.options if isinstance(choice, Alt) else (choice,)
+    others = tuple(x for x in options if not _is(x, program.entry))
+    if len(others) + 1 != len(options) or not opens or not closes or opens & closes or needs_bytes(program):
+        raise NotRegular
+    core = Alt(others) if others else None
+    if core is None and not optional:
+        raise NotRegular
+    found = ""
+    if core is not None:
+        if nullable(core, nullable_rules(program)) or any(isinstance(x, Ref) and not _flat(program, x) for x in walk(core)):
+            raise NotRegular
+        own = Program({**program.rules, program.entry: core}, program.entry)
+        if opens & envelope.first(own):
+            raise NotRegular
+        rest = Program({**own.rules, own.entry: Repeat(core, 0, 1)}, own.entry) if optional else own
+        found = lower(rest, False)[0]
+    return Pairs(char_class(opens), found, char_class(closes), 1 + any(isinstance(x, Ref) for x in walk(opening)))
+
+
+def _is(e: Expr, name: str) -> bool:
+    return isinstance(e, Ref) and e.name == name or isinstance(e, Extract) and _is(e.body, name)
+
+
+def _flat(program: Program, e: Ref) -> bool:
+    """Whether a rule follows no other."""
+    return not any(isinstance(x, Ref) for x in walk(program.rules[e.name]))
+
+
+def _signs(program: Program, e: Expr) -> frozenset[int]:
+    """The signs of a pattern that is one ASCII sign."""
+    match e:
+        case Extract(body):
+            return _signs(program, body)
+        case Ref() if _flat(program, e):
+            return _signs(program, program.rules[e.name])
+        case OneOf(items):
+            found = byte_set(items)
+        case _:
+            found = byte_set((e,))
+    if found is None or max(found, default=0) > 127:
+        raise NotRegular
+    return found
