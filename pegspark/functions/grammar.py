@@ -37,6 +37,11 @@ def _utf16(text: Column) -> Column:
 def _spans(text: Column, pattern: str, with_text: bool, length=F.length) -> Column:
     """Offsets of all hits of a pattern that never matches nothing, in characters of text, or as length measures."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return _placed(text, _bind(hits, lambda h: F.arrays_zip(F.slice(gaps, 1, F.size(h)).alias("gap"), h.alias("hit"))), with_text, length)
+
+
+def _placed(text: Column, zipped: Column, with_text: bool, length) -> Column:
+    """Offsets of the hits of a text, each given with the gap before it."""
     size = lambda p: length(p["gap"]) + length(p["hit"])
     kind = _HITS if with_text else "array<struct<start:int,end:int>>"
 
@@ -57,7 +62,6 @@ def _spans(text: Column, pattern: str, with_text: bool, length=F.length) -> Colu
         pieces = F.transform(F.sequence(F.lit(0), F.floor(F.size(pairs) / PIECE).cast("int")), lambda k: F.slice(pairs, k * PIECE + 1, PIECE))
         return F.when(F.size(pairs) <= PIECE, offsets(pairs, F.lit(0))).otherwise(_bind(pieces, in_pieces))
 
-    zipped = _bind(hits, lambda h: F.arrays_zip(F.slice(gaps, 1, F.size(h)).alias("gap"), h.alias("hit")))
     return F.when(text.isNotNull(), _bind(zipped, whole))
 
 
@@ -167,6 +171,8 @@ class Grammar:
 
     def has_hit(self, col: Column) -> Column:
         """Whether some part of the text matches (and is not empty)."""
+        if self.pairs is not None:
+            return col.rlike(self.pairs.innermost)
         if not self.native_hits:
             return F.size(self.find(col)) > 0
         hit, needed = col.rlike(self.search_regex()), self._needed(col)
@@ -213,6 +219,8 @@ class Grammar:
             pairs = F.arrays_zip(self.find(col, unit=unit).alias("hit"), self.find(col, unit="byte").alias("place"))
             with_nodes = lambda p: F.struct(p["hit"]["start"].alias("start"), p["hit"]["end"].alias("end"), p["hit"]["text"].alias("text"), self._nodes(p["hit"]["text"], p["place"]["start"]).alias("nodes"))
             return F.transform(pairs, with_nodes)
+        if not tree and unit in ("codepoint", "utf16", "byte") and self.pairs is not None:
+            return self._find_pairs(col, unit)
         if tree or unit not in ("codepoint", "utf16", "byte") or not self.native_hits:
             if unit not in ("codepoint", "utf16", "byte"):
                 raise ValueError("unit must be codepoint, utf16 or byte")
@@ -225,6 +233,23 @@ class Grammar:
         needed = self._needed(col)
         return spans if needed is None else F.when(needed, spans).when(col.isNotNull(), F.array().cast(_HITS))
 
+    def _find_pairs(self, col: Column, unit: str) -> Column:
+        """Hits of a recursion through a pair of signs: of two runs of signs, the inner ones that belong together."""
+        text, pattern = self._text(col, unit == "byte"), self.pairs.search(unit == "byte")
+        gaps, hits, opened, closed = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2, 3, 5))
+        runs = _placed(text, F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), True, _utf16 if unit == "utf16" else F.length)
+
+        def inner(z: Column) -> Column:
+            n, m, run = F.length(z["opened"]), F.length(z["closed"]), z["run"]
+            paired = self._paired(n, m)
+            said = F.substr(run["text"], n - paired + 1, F.length(run["text"]) - n - m + 2 * paired)
+            return F.struct((run["start"] + n - paired).alias("start"), (run["end"] - m + paired).alias("end"), said.alias("text"))
+
+        found = F.transform(F.arrays_zip(runs.alias("run"), opened.alias("opened"), closed.alias("closed")), inner)
+        found = F.transform(found, _from_bytes) if unit == "byte" else found
+        needed = self._needed(col)
+        return found if needed is None else F.when(needed, found).when(col.isNotNull(), F.array().cast(_HITS))
+
     def scan_bytes(self, col: Column) -> Column:
         """Hits in a binary column as array<struct<start, end>> in bytes; every byte may start one."""
         if not self.native or lowering.can_be_empty(self.program):

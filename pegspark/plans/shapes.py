@@ -44,13 +44,15 @@ class Rounds:
 
 @dataclass(frozen=True)
 class Pairs:
-    """Classes of opening and closing signs, and what is inside.
+    """Classes of opening signs, all other signs and closing signs, and what is inside, as characters and as bytes.
 
     levels: rules within one another that the place after the last opening sign takes.
     """
 
     opening: str
+    other: str
     inside: str
+    inside_bytes: str
     closing: str
     levels: int
 
@@ -59,6 +61,18 @@ class Pairs:
         """Groups: opening signs, what is inside, closing signs."""
         return f"({self.opening}++)({self.inside})({self.closing}++)"
 
+    @property
+    def innermost(self) -> str:
+        """What every hit has in its middle."""
+        return f"{self.opening}{self.inside}{self.closing}"
+
+    def search(self, as_bytes: bool = False) -> str:
+        """From the end of the hit before. Groups: what is passed, where a run of opening signs is passed as a whole; the two
+        runs and what is inside, together and each."""
+        inside = self.inside_bytes if as_bytes else self.inside
+        passed = f"(?:{self.other}++|{self.opening}++(?!{inside}{self.closing}))*+"
+        return rf"\G({passed})(({self.opening}++)({inside})({self.closing}++))"
+
 
 class _Spine:
     def __init__(self, program: Program):
@@ -176,7 +190,7 @@ def pairs(program: Program) -> Pairs:
     core = Alt(others) if others else None
     if core is None and not optional:
         raise NotRegular
-    found = ""
+    found = ["", ""]
     if core is not None:
         if nullable(core, nullable_rules(program)) or any(isinstance(x, Ref) and not _flat(program, x) for x in walk(core)):
             raise NotRegular
@@ -184,8 +198,8 @@ def pairs(program: Program) -> Pairs:
         if opens & envelope.first(own):
             raise NotRegular
         rest = Program({**own.rules, own.entry: Repeat(core, 0, 1)}, own.entry) if optional else own
-        found = lower(rest, False)[0]
-    return Pairs(char_class(opens), found, char_class(closes), 1 + any(isinstance(x, Ref) for x in walk(opening)))
+        found = [lower(rest, as_bytes)[0] for as_bytes in (False, True)]
+    return Pairs(char_class(opens), char_class(opens, negated=True), *found, char_class(closes), 1 + any(isinstance(x, Ref) for x in walk(opening)))
 
 
 def _is(e: Expr, name: str) -> bool:
